@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, language_id, private_data, quality_rules, token_counts
+from eventloom.llm import byte_bpe, language_id, private_data, quality_rules, substring_dedup, token_counts
 from eventloom.llm.common import id_remainder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -33,12 +33,16 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find(table(spark, sf_dir, "documents"), private_data.default_field())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op7_quality_rules, op8_private_data, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
