@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, language_id, private_data, quality_rules, substring_dedup, token_counts
+from eventloom.llm import byte_bpe, language_id, near_duplicates, private_data, quality_rules, substring_dedup, token_counts
 from eventloom.llm.common import id_remainder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
@@ -42,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
