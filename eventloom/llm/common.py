@@ -16,16 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import read_table as table  # noqa: F401
+
 #: ASCII white space as Spark and Java patterns take it; a word is a run of other characters.
 SPACES = " \t\n\x0b\f\r"
 #: Input bytes (as stored) that one block of documents should hold.
 BLOCK_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A cluster names it in
     spark.checkpoint.dir; only where that is unset (tests) is one made here."""
