@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, language_id, near_duplicates, private_data, quality_rules, substring_dedup, token_counts
+from eventloom.llm import byte_bpe, deleted_interpolation, language_id, near_duplicates, private_data, quality_rules, substring_dedup, token_counts
 from eventloom.llm.common import id_remainder, table
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lm, rest = deleted_interpolation, id_remainder("doc_id", 10)
+    part = F.when(rest == 0, lm.HELD_OUT).when(rest == 1, lm.DELETED).otherwise(lm.MAIN)
+    out = lm.score(table(spark, sf_dir, "documents"), part)
+    return out.select("doc_id", (F.col("part") == lm.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096)
 
@@ -46,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
