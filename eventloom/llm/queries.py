@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, deleted_interpolation, language_id, near_duplicates, private_data, quality_rules, substring_dedup, token_counts
-from eventloom.llm.common import id_remainder, table
+from eventloom.llm import byte_bpe, deleted_interpolation, language_id, near_duplicates, neighbours, packing, private_data, quality_rules, substring_dedup, token_counts
+from eventloom.llm.common import SPACES, id_remainder, table, written
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,18 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.col("part") == lm.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lengths in words and one end, so that no document is without length
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), ""))
+    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("n_tokens"))
+    return packing.pack_documents(written(lengths))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096)
 
@@ -53,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_best_fit_packing, op3_neighbours, op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
