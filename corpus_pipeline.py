@@ -1,6 +1,73 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all
+but the last return the columns of `documents`. run() writes each stage's result as
+Parquet to the shared folder and reads it again for the next.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.llm import language_id, near_duplicates, packing, private_data, substring_dedup, token_counts
+from eventloom.llm.common import table, written
+from eventloom.session import ensure_importable
+
+PIECES = "piece_bpe_32k.model"
+#: SQL can't express the stages; tests hold them against plain versions.
+ORACLE_SQL = None
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, as the text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain; a missing lang becomes the one found."""
+    ensure_importable(spark)
+    found = language_id.predict(docs, language_id.fit(docs)).where("NOT rejected")
+    return found.select(*[F.coalesce(f"row.{c}", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    ensure_importable(spark)
+    return near_duplicates.one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of windows that occur more than once."""
+    ensure_importable(spark)
+    return _counted(substring_dedup.without_repeats(docs))
+
+
+def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data and secrets replaced by their kinds."""
+    ensure_importable(spark)
+    return _counted(private_data.redacted(docs, private_data.default_field()))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by tokens, in bins of the permitted sizes."""
+    ensure_importable(spark)
+    counts = token_counts.token_counts(docs, public_tokenizers.path(PIECES))
+    return packing.pack_documents(written(counts.select("doc_id", "n_tokens")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("pii", redact_private_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -167,7 +167,7 @@ def _cells(estimates: np.ndarray, bucket: np.ndarray) -> pa.Table:
         q = np.where(ratio > 0, np.clip(np.rint(2 * np.log2(np.maximum(ratio, 1e-9))) + 20, 1, GRID - 1), 0).astype(np.int64)
         code = code * GRID + q
     found, place = np.unique(code, return_inverse=True)
-    sums = [np.bincount(place, weights=estimates[:, k], minlength=len(found)) for k in range(estimates.shape[1])]
+    sums = [np.bincount(place, weights=estimates[:, k], minlength=len(found)).astype(float) for k in range(estimates.shape[1])]
     return pa.table([pa.array(found), pa.array(np.bincount(place, minlength=len(found)).astype(float)), *map(pa.array, sums)], names=["cell", "n", *[f"s{k}" for k in range(len(sums))]])
 
 

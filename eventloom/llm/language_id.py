@@ -100,10 +100,9 @@ def _classifier(model: LanguageModel) -> Classifier:
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score and rejected in front of its own columns but text, which
-    alone a prediction reads. Narrow: no shuffle."""
+    """lang_pred, score, rejected and `row`, a struct of all columns of docs, so that none
+    of their names can clash. A prediction reads text alone. Narrow: no shuffle."""
 
-    rest = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most slices * slice_chars characters a language
 
     def run(batches):
@@ -111,10 +110,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for b in batches:
             found = [classify(t) if ok else ("und", 0.0, True) for t, ok in zip(b.column("text").to_pylist(), b.column("has_letter").to_pylist(), strict=True)]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
-            out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *(b.column(c) for c in rest)]
-            yield pa.RecordBatch.from_arrays(out, names=["lang_pred", "score", "rejected", *rest])
+            out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), b.column("row")]
+            yield pa.RecordBatch.from_arrays(out, names=["lang_pred", "score", "rejected", "row"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("text").cast("string").alias("text"), letter.alias("has_letter"), *rest)
-    schema = docs.select(F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"), *rest).schema
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("text").cast("string").alias("text"), letter.alias("has_letter"), row.alias("row"))
+    schema = docs.select(F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"), row.alias("row")).schema
     return rows.mapInArrow(run, schema)

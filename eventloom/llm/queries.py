@@ -37,10 +37,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_remainder("doc_id", 4) == 2).alias("held_out"))
-    model = language_id.fit(docs.where(~F.col("held_out")))
-    found = language_id.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out"), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    held = id_remainder("doc_id", 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~held))
+    found = language_id.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).select("doc_id", "text", "held_out"), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Rolling, binary, bucket_of, hash_words, mix, mix2, n_blocks
@@ -186,10 +186,11 @@ def _in(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
     return told[np.minimum(np.searchsorted(told, keys), len(told) - 1)] == keys
 
 
-def blocks_of(docs: DataFrame, n: int, *more) -> DataFrame:
-    """Rows dealt into n blocks by a hash of id and text; `more` are columns to keep."""
-    rows = docs.select(*more, F.col("text").cast("string").alias("text"))
-    return rows.withColumn("block", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(n)).cast("long")).repartition(n, "block")
+def blocks_of(docs: DataFrame, n: int, kept: Column) -> DataFrame:
+    """kept, text and block: rows dealt into n blocks by a hash of id and text."""
+    text = F.col("text").cast("string")
+    block = F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(n)).cast("long")
+    return docs.select(kept.alias("kept"), text.alias("text"), block.alias("block")).repartition(n, "block")
 
 
 def repeated(blocks: DataFrame, n: int, width: int, rounds: int) -> DataFrame:
@@ -239,17 +240,18 @@ def removals(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataF
             kept = [words[i] for i in np.flatnonzero(~part)] if part.any() else words
             rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())})
+        return pa.table({"doc_id": table.column("kept"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())})
 
     n = n_blocks(docs)
-    blocks = blocks_of(docs, n, F.col("doc_id").cast("long").alias("doc_id"))
+    blocks = blocks_of(docs, n, F.col("doc_id").cast("long"))
     told = repeated(blocks, n, width, rounds)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """docs with the covered words of each `text` cut out, its other characters as they are;
-    n_chars, if there is one, follows. Rows that lose nothing stay the same."""
+    """docs with the covered words of each `text` cut out, its other characters as they
+    are. Rows that lose nothing stay the same; all columns of any names are kept."""
+    place = [c.lower() for c in docs.columns].index("text")
 
     def last(key, table, told):
         texts = _texts(table)
@@ -260,14 +262,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -
             part = gone[at : at + n]
             at += n
             new.append(cut(text, part) if part.any() else text)
-        place = table.schema.get_field_index("text")
-        table = table.set_column(place, table.schema.field(place), pa.array([None if t is None else t.decode() for t in new], table.schema.field(place).type))
-        return table.select(columns)
+        row = table.column("kept").combine_chunks()
+        fields = [row.type.field(i) for i in range(row.type.num_fields)]
+        columns = row.flatten()
+        columns[place] = pa.array([None if t is None else t.decode() for t in new], fields[place].type)
+        return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    columns = docs.columns
     n = n_blocks(docs)
-    rest = [c for c in columns if c != "text"]
-    blocks = blocks_of(docs, n, *rest)
+    blocks = blocks_of(docs, n, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     told = repeated(blocks, n, width, rounds)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, docs.schema)
 
