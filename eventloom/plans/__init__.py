@@ -1 +1,6 @@
+"""Registered queries, by theme."""
 
+
+def load() -> None:
+    """Import the modules, which register their queries."""
+    from eventloom.plans import sequence_queries  # noqa: F401

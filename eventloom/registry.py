@@ -24,3 +24,12 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+def _load() -> None:
+    from eventloom.plans import load
+
+    load()
+
+
+_load()
