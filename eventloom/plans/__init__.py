@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules, which register their queries."""
-    from eventloom.plans import sequence_queries  # noqa: F401
+    from eventloom.plans import network_queries, sequence_queries  # noqa: F401
