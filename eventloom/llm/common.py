@@ -60,9 +60,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; a file scan gives its files' bytes without a job."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    """The stored bytes that df is made from: Catalyst's figures for the leaves of its plan,
+    which for files are their sizes and need no job. 0 if some leaf's size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if all(x < 1 << 60 for x in sizes) else 0
 
 
 def id_remainder(doc_id: str, n: int):
@@ -71,8 +73,9 @@ def id_remainder(doc_id: str, n: int):
 
 
 def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    spark = docs.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size_in_bytes(docs) / block_bytes))
+    """How many blocks docs should be dealt into: by its size, so that a block fits a task."""
+    size = size_in_bytes(docs)
+    return max(2, math.ceil(size / block_bytes)) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -106,15 +109,14 @@ class Memo(dict):
         return value
 
 
-_WORD_HASHES = Memo(xxhash.xxh3_64_intdigest)
-
-
 def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after another, and each text's count."""
-    get, parts = _WORD_HASHES.__getitem__, []
+    """64-bit hashes of the words of all texts, one after another, and each text's count.
+
+    The hash function costs less than a look-up in a table of words would."""
+    parts = []
     for t in texts:
         words = t.split() if t else ()
-        parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), counts
 
