@@ -68,7 +68,8 @@ def order_log_likelihood(rows: DataFrame, k: int) -> DataFrame:
     before it as there are, up to k. One count of contexts of each length serves it all."""
     total = F.sum("n").over(Window.partitionBy())
     marginal = rows.select(F.explode("states").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).select("s", F.log(F.col("n") / total).alias("lp"))
-    first = rows.select(F.col("states")[0].alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+    from_marginal = F.explode("states") if k == 0 else F.col("states")[0]
+    first = rows.select(from_marginal.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m"))
     out = first.join(marginal, "s").agg(F.sum(F.col("m") * F.col("lp")).alias("ll"))
     for j in range(1, k + 1):
         g = grams(rows, j + 1)

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
+def _all() -> Window:
+    return Window.partitionBy()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -34,14 +35,14 @@ def scaled(edges: DataFrame, method: str, zeros: bool = False) -> DataFrame:
     (sqrt of the machine epsilon, 1]."""
     w = F.col("weight")
     if method == "minmax" and zeros:
-        low, high = F.min(w).over(ALL), F.max(w).over(ALL)
+        low, high = F.min(w).over(_all()), F.max(w).over(_all())
         return edges.withColumn("weight", F.when(high > low, (w - low) / (high - low)).otherwise(w))
     if method == "minmax":
         some = F.when(w != 0, w)
-        low, high, least = F.min(some).over(ALL), F.max(some).over(ALL), 2.0**-26
+        low, high, least = F.min(some).over(_all()), F.max(some).over(_all()), 2.0**-26
         return edges.withColumn("weight", F.when((w != 0) & (high > low), least + (1 - least) * (w - low) / (high - low)).otherwise(w))
     if method == "max":
-        top = F.max(F.abs(w)).over(ALL)
+        top = F.max(F.abs(w)).over(_all())
         return edges.withColumn("weight", F.when(top > 0, w / top).otherwise(w))
     if method == "rank":
         rank = F.rank().over(Window.partitionBy(w != 0).orderBy(w)) + (F.count(F.lit(1)).over(Window.partitionBy("weight")) - 1) / 2
@@ -85,9 +86,9 @@ def comparison_scaling(edges: DataFrame, method: str) -> DataFrame:
         total = F.sum("weight").over(Window.partitionBy("from"))
         new = F.when(total != 0, w / total).otherwise(0.0)
     elif method == "frobenius":
-        new = w / F.sqrt(F.sum(w * w).over(ALL))
+        new = w / F.sqrt(F.sum(w * w).over(_all()))
     elif method == "zscore":
-        new = (w - F.avg(w).over(ALL)) / F.stddev_samp(w).over(ALL)
+        new = (w - F.avg(w).over(_all())) / F.stddev_samp(w).over(_all())
     elif method == "robust":
         middle = edges.agg(F.median("weight")).first()[0]
         spread = edges.agg(F.median(F.abs(w - middle))).first()[0] * 1.4826
@@ -97,10 +98,10 @@ def comparison_scaling(edges: DataFrame, method: str) -> DataFrame:
     elif method == "log1p":
         new = F.log1p(w)
     elif method == "softmax":
-        new = F.exp(w - F.max(w).over(ALL))
-        return edges.withColumn("weight", new).withColumn("weight", w / F.sum("weight").over(ALL))
+        new = F.exp(w - F.max(w).over(_all()))
+        return edges.withColumn("weight", new).withColumn("weight", w / F.sum("weight").over(_all()))
     elif method == "quantile":
-        new = (F.rank().over(Window.orderBy("weight")) + (F.count(F.lit(1)).over(Window.partitionBy("weight")) - 1) / 2) / F.count(F.lit(1)).over(ALL)
+        new = (F.rank().over(Window.orderBy("weight")) + (F.count(F.lit(1)).over(Window.partitionBy("weight")) - 1) / 2) / F.count(F.lit(1)).over(_all())
     else:
         return scaled(edges, method, zeros=True)
     return edges.withColumn("weight", new)
