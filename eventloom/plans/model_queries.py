@@ -430,3 +430,49 @@ def macro_network(spark, sf_dir):
     a = nw.macro(edges, clusters).select(F.lit("macro").alias("layer"), F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
     b = nw.within(edges, clusters).select(F.col("cluster").alias("layer"), F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
     return a.unionByName(b)
+
+
+# ---- panels ---------------------------------------------------------------------------
+
+
+@register("bootstrap_association")
+def bootstrap_association(spark, sf_dir):
+    from eventloom.operators import panels
+
+    df, columns = _embedding_columns(spark, sf_dir, 6)
+    return _edge_rows(spark, panels.bootstrap_association(df, columns, "pcor", 50), ["weight", "mean", "low", "high", "inclusion"])
+
+
+@register("network_comparison_test")
+def network_comparison_test(spark, sf_dir):
+    from eventloom.operators import panels
+
+    li = read_table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_returnflag")
+    x = panels.compare_networks(li.where("l_returnflag = 'R'").drop("l_returnflag"), li.where("l_returnflag = 'A'").drop("l_returnflag"), NUMBERS, "cor", 50)
+    return spark.createDataFrame([("strength", float(x["strength"]), float(x["p_strength"])), ("largest", float(x["largest"]), float(x["p_largest"])), *[(f"{a} - {b}", d, float(p)) for a, b, d, p in x["edges"]]], "statistic string, value double, p_value double")
+
+
+@register("strength_stability")
+def strength_stability(spark, sf_dir):
+    from eventloom.operators import panels
+
+    df, columns = _embedding_columns(spark, sf_dir, 6)
+    return spark.createDataFrame([tuple(float(v) for v in r.values()) for r in panels.strength_stability(df, columns, "pcor", (0.1, 0.5), 30)], "drop double, mean double, share_above double, coefficient double")
+
+
+@register("item_composites", "SELECT l_orderkey, l_linenumber, round((l_quantity / 50 + l_discount) / 2, 9) AS size, l_tax AS tax FROM lineitem")
+def item_composites(spark, sf_dir):
+    from eventloom.operators import panels
+
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), "l_discount", "l_tax")
+    made = panels.composites(li.withColumnRenamed("l_orderkey", "k").withColumnRenamed("l_linenumber", "n"), {"l_orderkey": ["k"], "l_linenumber": ["n"], "size": ["q", "l_discount"], "tax": ["l_tax"]})
+    return made.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), F.round("size", 9).alias("size"), "tax")
+
+
+@register("layered_association")
+def layered_association(spark, sf_dir):
+    from eventloom.operators import panels
+
+    df, columns = _embedding_columns(spark, sf_dir, 6)
+    x = panels.layered_association(df, {"a": columns[:3], "b": columns[3:]}, "pcor")
+    return spark.createDataFrame([(r["item"], r["cluster"], r["own"], r["other"], r["cross"], bool(r["misfit"])) for r in x["loadings"]], "item string, cluster string, own double, other string, cross_weight double, misfit boolean")
