@@ -245,3 +245,24 @@ def test_mixture_separates_two_chains():
     fit = cl.chain_mixture(np.array(counts), np.array(first), 2, 3)
     assert len(set(fit["labels"][::2])) == 1 and len(set(fit["labels"][1::2])) == 1 and fit["labels"][0] != fit["labels"][1]
     assert fit["bic"] < cl.chain_mixture(np.array(counts), np.array(first), 1, 1)["bic"]
+
+
+def test_multinomial_regression():
+    from eventloom.kernels import regression
+
+    x = np.array([[1.0, 0], [1, 1], [1, 0], [1, 1]])
+    y, n = np.array([0, 0, 1, 1]), np.array([30.0, 10, 20, 40])
+    fit = regression.multinomial(x, y, n)
+    assert fit["odds_ratio"][0, 1] == pytest.approx((40 * 30) / (20 * 10)) and fit["beta"][0, 0] == pytest.approx(math.log(20 / 30))
+    assert fit["se"][0, 1] == pytest.approx(math.sqrt(1 / 30 + 1 / 10 + 1 / 20 + 1 / 40))
+    apart = regression.multinomial(np.array([[1.0, 0], [1, 1]]), np.array([0, 1]), np.array([10.0, 10]), firth=True)
+    # with cells of 10 and 0, Firth's estimate adds a half to each cell
+    assert apart["beta"][0, 1] == pytest.approx(2 * math.log(10.5 / 0.5), rel=1e-3)
+
+
+def test_likeness():
+    from eventloom.kernels import likeness
+
+    m = np.random.default_rng(0).random((4, 4))
+    assert likeness.distance_correlation(m, 2 * m + 1) == pytest.approx(1) and likeness.rv(m, 3 * m) == pytest.approx(1)
+    assert likeness.distance_correlation(m, np.ones((4, 4))) == 0
