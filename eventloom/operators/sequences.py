@@ -52,16 +52,20 @@ def sessions(df: DataFrame, actor: Sequence[str], time: str, order: Sequence[str
     """df with `session` (from 1 in each actor) and `pos` (from 1 in each session).
 
     A session ends where the gap to the next event is larger than gap_seconds, or unknown;
-    with None an actor is one session. One exchange by actor serves both windows."""
+    with None an actor is one session. All windows share one partitioning and one order, so
+    there is one exchange and one sort: the position in a session is the actor's row number
+    less the one where the session began."""
     by = Window.partitionBy(*actor).orderBy(time, *order)
-    out = df.withColumn("session", F.lit(1).cast("long"))
-    if gap_seconds is not None:
-        micros = F.unix_micros(F.col(time).cast("timestamp"))
-        gap = (micros - F.lag(micros).over(by)) / 1e6
-        starts = F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0)
-        out = df.withColumn("_starts", starts).withColumn("session", F.sum("_starts").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
-    inside = Window.partitionBy(*actor, "session").orderBy(time, *order)
-    return out.withColumn("pos", F.row_number().over(inside))
+    number = F.row_number().over(by)
+    if gap_seconds is None:
+        return df.withColumn("session", F.lit(1).cast("long")).withColumn("pos", number)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    gap = (micros - F.lag(micros).over(by)) / 1e6
+    starts = F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_starts", starts).withColumn("_number", number)
+    began = F.max(F.when(F.col("_starts") == 1, F.col("_number"))).over(so_far)
+    return out.select("*", F.sum("_starts").over(so_far).alias("session"), (F.col("_number") - began + 1).alias("pos")).drop("_starts", "_number")
 
 
 def session_metadata(df: DataFrame, seq: Sequence[str], numbers: Sequence[str] = (), labels: Sequence[str] = ()) -> DataFrame:
