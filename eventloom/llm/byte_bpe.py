@@ -36,7 +36,7 @@ from eventloom.llm.token_counts import MergeRules
 class Transducer:
     """rank: token bytes -> id; ids are ranks of merges. State 0 is the start."""
 
-    def __init__(self, rank: dict[bytes, int], most_states: int = 1 << 17):
+    def __init__(self, rank: dict[bytes, int], most_states: int = 1 << 18):
         self.rank, self.rules, self.most = rank, MergeRules(rank), most_states
         self.trie: dict[int, int] = {}
         self.token_at: list[bytes | None] = [None]
@@ -187,7 +187,7 @@ class Utf8Stream:
 class ByteBpe:
     """Encoder and decoder of a rank file; each match of the pattern is encoded by itself."""
 
-    def __init__(self, rank_file: str, pattern: str, keep: int = 1 << 17):
+    def __init__(self, rank_file: str, pattern: str, keep: int = 1 << 18):
         with open(rank_file, "rb") as f:
             self.rank = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
         self.token = {i: t for t, i in self.rank.items()}
