@@ -69,5 +69,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_deleted_interpolation, op2_best_fit_packing, op3_neighbours, op4_token_counts, op5_language_id, op6_near_duplicates, op7_quality_rules, op8_private_data, op9_substring_dedup, op10_byte_bpe)}
 
 
+#: Windows by hash, those that start twice, the words under them, what is left.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS k FROM w),
+r AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM h SEMI JOIN r USING (k)),
+x AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_filter(ws, lambda v, p: NOT list_contains(coalesce(gone, []), p)), ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9_SQL}
