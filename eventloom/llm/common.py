@@ -37,9 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    few: in two files for each of the cluster's cores at most, for what is small beside the
+    documents: a file costs the store more than its bytes."""
     spark = df.sparkSession
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
     path = f"{shared_dir(spark)}/eventloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
