@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import Rolling, binary, bucket_of, hash_words, mix, mix2, n_blocks
 
 WIDTH, ROUNDS = 35, 7
+#: Stored bytes of a block: its words take some forty times that in arrays.
+BLOCK_BYTES = 2 << 20
 FAR = 1 << 40
 
 
@@ -242,7 +244,7 @@ def removals(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataF
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         return pa.table({"doc_id": table.column("kept"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())})
 
-    n = n_blocks(docs)
+    n = n_blocks(docs, BLOCK_BYTES)
     blocks = blocks_of(docs, n, F.col("doc_id").cast("long"))
     told = repeated(blocks, n, width, rounds)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -268,7 +270,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -
         columns[place] = pa.array([None if t is None else t.decode() for t in new], fields[place].type)
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    n = n_blocks(docs)
+    n = n_blocks(docs, BLOCK_BYTES)
     blocks = blocks_of(docs, n, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     told = repeated(blocks, n, width, rounds)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, docs.schema)
