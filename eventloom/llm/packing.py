@@ -89,7 +89,8 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * largest).alias("token_start"), F.least(F.lit(largest), n - F.col("piece") * largest).cast("long").alias("n_tokens"))
     many = rows.agg(F.sum(F.floor((n - 1) / largest) + 1)).first()[0] or 0
     groups = max(1, -(-many // group_rows))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
+    # the row's number keeps rows of one id, or of none, from meeting in one group
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(key, table):
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])

@@ -183,6 +183,15 @@ def test_darts_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_crowded_bands_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PART", 8)
+    r = random.Random(1)
+    sketches = [bytes(r.randrange(256) for _ in range(640)) for _ in range(20)]
+    rows = [(1, b"%02d%d" % (i, side), s) for i, s in enumerate(sketches) for side in (0, 1)]
+    found = near_duplicates._closest(spark.createDataFrame(rows, "band long, node binary, sketch binary"), 0.8).collect()
+    assert {(bytes(x.node), bytes(x.hub)) for x in found} == {(b"%02d0" % i, b"%02d1" % i) for i in range(20)}
+
+
 # ---- repeated substrings --------------------------------------------------------------
 
 
