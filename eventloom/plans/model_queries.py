@@ -422,16 +422,44 @@ def cluster_profiles(spark, sf_dir):
     return a.withColumns({c: F.round(c, 4) for c in a.columns if c.endswith("_o_totalprice")})
 
 
-@register("macro_network")
+_LAYERS = f"WITH {P}, m AS (SELECT DISTINCT f AS s, CASE WHEN f = 'purchase' THEN 'money' ELSE 'other' END AS k FROM c)"
+
+
+@register(
+    "macro_network",
+    f"{_LAYERS} SELECT 'macro' AS layer, a.k AS from_state, b.k AS to_state, sum(w) AS weight FROM c JOIN m a ON a.s = f JOIN m b ON b.s = t GROUP BY a.k, b.k UNION ALL SELECT a.k, f, t, round(w / sum(w) OVER (PARTITION BY a.k, f), 9) FROM c JOIN m a ON a.s = f JOIN m b ON b.s = t WHERE a.k = b.k",
+)
 def macro_network(spark, sf_dir):
     """Macro and within layers in one frame."""
     edges = tr.frequency(event_sequences(spark, sf_dir), SEQ)
     clusters = spark.createDataFrame([(s, "money" if s == "purchase" else "other") for s in DAY_STATES], "node string, cluster string")
     a = nw.macro(edges, clusters).select(F.lit("macro").alias("layer"), F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
-    b = nw.within(edges, clusters).select(F.col("cluster").alias("layer"), F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
+    b = nw.within(edges, clusters).select(F.col("cluster").alias("layer"), F.col("from").alias("from_state"), F.col("to").alias("to_state"), F.round("weight", 9).alias("weight"))
     return a.unionByName(b)
 
 
+@register("mosaic_statistic", f"WITH {_CONT}, x AS (SELECT sum((n - r * k / t) ** 2 / (r * k / t)) + sum(n) - sum(r * k / t) AS v, sum(n) AS n, count(DISTINCT \"row\") AS a, count(DISTINCT \"column\") AS b FROM t) SELECT round(v, 6) AS statistic, CAST((a - 1) * (b - 1) AS INTEGER) AS df, round(sqrt(v / (n * (least(a, b) - 1))), 9) AS cramers_v FROM x")
+def mosaic_statistic(spark, sf_dir):
+    return mosaic_test(spark, sf_dir).select(F.round("statistic", 6).alias("statistic"), "df", F.round("cramers_v", 9).alias("cramers_v"))
+
+
+@register(
+    "rank_statistic",
+    """WITH o AS (SELECT o_orderpriority AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM orders), s AS (SELECT g, sum(r) AS r, count(*) AS n FROM o GROUP BY g), n AS (SELECT sum(n) AS n FROM s),
+    t AS (SELECT sum(k * k * k - k) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM orders GROUP BY o_totalprice)) SELECT round((12 / (n.n * (n.n + 1)) * (SELECT sum(r * r / n) FROM s) - 3 * (n.n + 1)) / (1 - t.t / (CAST(n.n AS DOUBLE) ** 3 - n.n)), 5) AS statistic FROM n, t""",
+)
+def rank_statistic(spark, sf_dir):
+    return rank_test(spark, sf_dir).select(F.round("statistic", 5).alias("statistic"))
+
+
+@register(
+    "certainty_moments",
+    f"WITH {P}, z AS (SELECT f, t, w, w + 0.5 AS a, sum(w) OVER (PARTITION BY f) AS n, sum(w) OVER (PARTITION BY f) + 0.5 * (SELECT count(DISTINCT t) FROM c) AS s FROM c) SELECT f AS from_state, t AS to_state, round(w / n, 9) AS weight, round(a / s, 9) AS mean, round(sqrt(a * (s - a) / (s * s * (s + 1))), 9) AS sd FROM z",
+)
+def certainty_moments(spark, sf_dir):
+    return certainty(spark, sf_dir).select("from_state", "to_state", *[F.round(c, 9).alias(c) for c in ("weight", "mean", "sd")])
+
+
 # ---- panels ---------------------------------------------------------------------------
 
 
