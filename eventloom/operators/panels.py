@@ -129,6 +129,34 @@ def composites(df: DataFrame, clusters: dict[str, Sequence[str]], weights: dict[
     return df.select(*out)
 
 
+def item_loadings(w: np.ndarray, clusters: dict[str, Sequence[str]]) -> list[dict]:
+    """An item's mean absolute weight with its own cluster, and the other cluster it is closest to."""
+    at = {c: i for i, c in enumerate(c for members in clusters.values() for c in members)}
+    w = np.abs(w)
+    out = []
+    for name, members in clusters.items():
+        for c in members:
+            mean = {k: float(np.mean([w[at[c], at[m]] for m in ms if m != c])) if any(m != c for m in ms) else 0.0 for k, ms in clusters.items()}
+            other = max((k for k in mean if k != name), key=mean.get, default=None)
+            out.append({"item": c, "cluster": name, "own": mean[name], "other": other, "cross": mean.get(other, 0.0), "misfit": other is not None and mean[other] > mean[name]})
+    return out
+
+
+def loading_stability(df: DataFrame, clusters: dict[str, Sequence[str]], method: str = "pcor", iterations: int = 100, seed: int = 1, level: float = 0.05) -> list[dict]:
+    """Each item's loading on its own cluster, its interval over resampled rows, and how often
+    another cluster came closer."""
+    items = [c for members in clusters.values() for c in members]
+    whole, boot = moment_replicates(df, items, iterations, seed)
+    model = _model(method, whole[0])
+    observed = item_loadings(model(_correlation(whole, len(items))), clusters)
+    drawn = [item_loadings(model(_correlation(m, len(items))), clusters) for m in boot]
+    out = []
+    for k, o in enumerate(observed):
+        own = np.array([d[k]["own"] for d in drawn])
+        out.append({"item": o["item"], "cluster": o["cluster"], "own": o["own"], "low": float(np.quantile(own, level / 2)), "high": float(np.quantile(own, 1 - level / 2)), "misfit_share": float(np.mean([d[k]["misfit"] for d in drawn]))})
+    return out
+
+
 def layered_association(df: DataFrame, clusters: dict[str, Sequence[str]], method: str = "pcor") -> dict[str, list[dict]]:
     """The network of clusters' composites (`macro`) and that of each cluster's items, and
     loadings: an item's mean weight with its own cluster and the most with another."""
@@ -136,14 +164,7 @@ def layered_association(df: DataFrame, clusters: dict[str, Sequence[str]], metho
 
     items = [c for members in clusters.values() for c in members]
     r, n = correlations(df, items)
-    w = np.abs(_model(method, n)(r))
-    at = {c: i for i, c in enumerate(items)}
-    loadings = []
-    for name, members in clusters.items():
-        for c in members:
-            mean = {k: float(np.mean([w[at[c], at[m]] for m in ms if m != c])) if any(m != c for m in ms) else 0.0 for k, ms in clusters.items()}
-            other = max((k for k in mean if k != name), key=mean.get, default=None)
-            loadings.append({"item": c, "cluster": name, "own": mean[name], "other": other, "cross": mean.get(other, 0.0), "misfit": other is not None and mean[other] > mean[name]})
+    loadings = item_loadings(_model(method, n)(r), clusters)
     out = {"macro": network(composites(df, clusters), list(clusters), method), "loadings": loadings}
     for name, members in clusters.items():
         out[name] = network(df, list(members), method) if len(members) > 1 else []

@@ -497,6 +497,15 @@ def item_composites(spark, sf_dir):
     return made.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), F.round("size", 9).alias("size"), "tax")
 
 
+@register("loading_stability")
+def loading_stability(spark, sf_dir):
+    from eventloom.operators import panels
+
+    df, columns = _embedding_columns(spark, sf_dir, 6)
+    rows = panels.loading_stability(df, {"a": columns[:3], "b": columns[3:]}, "pcor", 50)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "item string, cluster string, own double, low double, high double, misfit_share double")
+
+
 @register("layered_association")
 def layered_association(spark, sf_dir):
     from eventloom.operators import panels

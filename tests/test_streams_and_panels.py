@@ -63,3 +63,14 @@ def test_expressions(spark):
     assert sorted(r.r for r in df.select(ex.average_rank("v").alias("r")).collect()) == [1.5, 1.5, 3.0]
     assert df.select(ex.share_of("v").alias("s")).agg(F.sum("s")).first()[0] == pytest.approx(1)
     assert spark.createDataFrame([(0.5,), (0.5,)], "p double").agg(ex.entropy(F.col("p")).alias("h")).first().h == pytest.approx(1)
+
+
+def test_loadings(spark):
+    r = np.random.default_rng(2)
+    f, g = r.standard_normal((2, 500))
+    x = np.column_stack([f + r.standard_normal(500) * 0.5 for _ in range(3)] + [g + r.standard_normal(500) * 0.5 for _ in range(3)])
+    names = list("abcdef")
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{c} double" for c in names))
+    rows = panels.loading_stability(df, {"one": names[:3], "two": names[3:]}, "cor", 20)
+    assert all(t["low"] <= t["own"] <= t["high"] and t["misfit_share"] == 0 for t in rows)
+    assert not any(t["misfit"] for t in panels.layered_association(df, {"one": names[:3], "two": names[3:]}, "cor")["loadings"])
