@@ -85,7 +85,7 @@ class Classifier:
         best, _, language = found[0]
         # a byte of difference halves the odds, as the code lengths of a mixture would
         score = 1.0 / sum(0.5 ** min(size - best, 60) for size, _, _ in found)
-        gap = 1000.0 * (found[1][0] - best) / len(data) if len(found) > 1 else float("inf")
+        gap = 1000.0 * (found[1][0] - best) / max(1, len(data)) if len(found) > 1 else float("inf")
         return language, score, gap < self.model.margin
 
 
@@ -103,18 +103,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """lang_pred, score, rejected and `row`, a struct of all columns of docs, so that none
     of their names can clash. A prediction reads text alone. Narrow: no shuffle."""
 
+    place = [c.lower() for c in docs.columns].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most slices * slice_chars characters a language
 
     def run(batches):
         classify = _classifier(shared.value).predict
         for b in batches:
-            found = [classify(t) if ok else ("und", 0.0, True) for t, ok in zip(b.column("text").to_pylist(), b.column("has_letter").to_pylist(), strict=True)]
+            texts = b.column("row").field(place).cast(pa.string())
+            found = [classify(t) if ok else ("und", 0.0, True) for i in range(0, b.num_rows, 512) for t, ok in zip(texts.slice(i, 512).to_pylist(), b.column("has_letter").slice(i, 512).to_pylist(), strict=True)]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), b.column("row")]
             yield pa.RecordBatch.from_arrays(out, names=["lang_pred", "score", "rejected", "row"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col("text").cast("string").alias("text"), letter.alias("has_letter"), row.alias("row"))
+    rows = docs.select(letter.alias("has_letter"), row.alias("row"))
     schema = docs.select(F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"), row.alias("row")).schema
     return rows.mapInArrow(run, schema)
