@@ -30,6 +30,8 @@ from eventloom.llm.common import Memo
 
 MARK = "▁"
 INF = float("inf")
+#: Bits of a piece's number in the key of a pair.
+SHIFT = 20
 
 
 class MergeRules:
@@ -43,8 +45,8 @@ class MergeRules:
 
     def __init__(self, rank: dict):
         self.rank = rank
-        self.spines = Memo(self._trace, 1 << 16)
-        self.pairs = Memo(self._pair, 1 << 19)
+        self.spines = Memo(self._trace, 1 << 15)
+        self.pairs = Memo(self._pair, 1 << 17)
 
     def merge(self, token) -> list[tuple]:
         """(part, time, left spine, right spine) of the parts that token's units merge to."""
@@ -96,7 +98,7 @@ class MergeRules:
 class PrefixCounter:
     """Counts of a sentencepiece BPE model, for whole texts and for every prefix."""
 
-    def __init__(self, model_file: str, keep: int = 1 << 18):
+    def __init__(self, model_file: str, keep: int = 1 << 17):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
@@ -104,26 +106,31 @@ class PrefixCounter:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds the space mark after another character: segments would not be independent")
         self.rules = MergeRules(pieces)
-        self.pieces = {p for p in pieces if self.rules.reachable(p)} if len(pieces) < 1 << 17 else set(pieces)
         self.known = set("".join(pieces))
+        # numbers for all that can be a token: pieces that merges make, and single characters
+        self.names = sorted({p for p in pieces if self.rules.reachable(p)} | self.known)
+        self.number = {p: i for i, p in enumerate(self.names)}
+        if len(self.names) >> SHIFT:
+            raise ValueError("the model has too many pieces")
+        self.pairs = Memo(lambda key: self.rules._pair((self.names[key >> SHIFT], self.names[key & (1 << SHIFT) - 1])), 1 << 18)
         self.longest = max(map(len, pieces))
         self.by_segment = Memo(lambda s: self.prefixes(s)[-1], keep)
         self.by_word = Memo(lambda w: self.prefixes(MARK + w)[-1], keep)
 
     def prefixes(self, segment: str) -> list[int]:
         """Tokens of segment[:0], segment[:1], ...: the dynamic programme."""
-        pieces, pairs, longest = self.pieces, self.rules.pairs, self.longest
-        count, last = [0], [None]
+        number, pairs, longest = self.number.get, self.pairs, self.longest
+        count, last = [0], [-1]
         for end in range(1, len(segment) + 1):
             c = segment[end - 1]
             if c not in self.known:
                 run = not self.fallback and end > 1 and segment[end - 2] not in self.known
                 count.append(count[-1] + (len(c.encode()) if self.fallback else 1 - run))
-                last.append(None)
+                last.append(-1)
                 continue
             for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                piece = segment[start:end]
-                if (piece in pieces or start == end - 1) and ((before := last[start]) is None or pairs[before, piece]):
+                piece = number(segment[start:end])
+                if piece is not None and ((before := last[start]) < 0 or pairs[before << SHIFT | piece]):
                     count.append(count[start] + 1)
                     last.append(piece)
                     break
