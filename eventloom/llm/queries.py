@@ -33,7 +33,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096, keep=1 << 18)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

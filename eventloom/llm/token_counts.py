@@ -177,17 +177,17 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
+_COUNTERS: dict[tuple[str, int], PrefixCounter] = {}
 
 
-def counter(model_file: str) -> PrefixCounter:
-    """One counter a worker process."""
-    if model_file not in _COUNTERS:
-        _COUNTERS[model_file] = PrefixCounter(model_file)
-    return _COUNTERS[model_file]
+def counter(model_file: str, keep: int = 1 << 17) -> PrefixCounter:
+    """One counter a worker process, that keeps the counts of so many words."""
+    if (model_file, keep) not in _COUNTERS:
+        _COUNTERS[model_file, keep] = PrefixCounter(model_file, keep)
+    return _COUNTERS[model_file, keep]
 
 
-def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, budgets: tuple[int, ...] = ()) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, budgets: tuple[int, ...] = (), keep: int = 1 << 17) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row, and with budgets the array
     `cuts`: for each the characters of the longest prefix within it.
 
@@ -195,7 +195,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, budgets: t
     """
 
     def run(batches):
-        c = counter(model_file)
+        c = counter(model_file, keep)
         for b in batches:
             texts = b.column(2).to_pylist()
             out = [b.column(0), b.column(1), pa.array([c.count(t) for t in texts], pa.int64())]
