@@ -44,7 +44,9 @@ PART, CLOSEST, SLACK = 1024, 3, 0.065
 
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hash and count of each distinct shingle, sorted by document and hash."""
+    """Document, hash and count of each distinct shingle, sorted by document and hash.
+
+    Hashes are of 56 bits, so they are the same in every slice of up to 256 texts."""
     words, counts = hash_words(texts)
     ends = np.cumsum(counts)
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -56,7 +58,7 @@ def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray
     owner = doc[start]
     hashes = Rolling(words).spans(start, np.minimum(start + size, ends[owner])) + mix(np.minimum(counts[owner], size).astype(np.uint64), 5)
     # one sort of 64-bit keys: the document above, as many bits of the hash as are left below
-    bits = np.uint64(64 - max(1, (len(texts) - 1).bit_length()))
+    bits = np.uint64(64 - max(8, (len(texts) - 1).bit_length()))
     keys = np.sort((owner.astype(np.uint64) << bits) | (hashes >> (np.uint64(64) - bits)))
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     found = keys[at]

@@ -192,6 +192,14 @@ def test_crowded_bands_are_compared_in_blocks(spark, monkeypatch):
     assert {(bytes(x.node), bytes(x.hub)) for x in found} == {(b"%02d0" % i, b"%02d1" % i) for i in range(20)}
 
 
+def test_shingles_are_the_same_in_slices_of_any_size(texts):
+    some = [t.encode() for t in texts if t and len(words(t)) > 20]
+    one = near_duplicates.shingles(some[:1])
+    for n in (2, 4, len(some)):
+        d, h, w = near_duplicates.shingles((some * 256)[: 256 if n == len(some) else n])
+        assert np.array_equal(h[d == 0], one[1]) and np.array_equal(w[d == 0], one[2])
+
+
 # ---- repeated substrings --------------------------------------------------------------
 
 
