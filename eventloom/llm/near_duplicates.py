@@ -12,10 +12,11 @@ are cut into bands; texts with an equal band form a group. In each group the mem
 shares most bands with others overall (the original among its copies) is the hub; the
 others are compared with it, exactly, on their texts. Where some differ from their hub,
 the group's members are grouped anew by narrower bands of longer signatures, again with a
-hub each, and those that differ from that hub too are compared with each other by their
-signatures, in blocks of bounded size, each naming the few it is closest to. Every link is
-then verified on texts. Rows stay linear in the members: no group is gathered or emitted as
-pairs. Links give classes by spreading the least label along links and labels.
+hub each, and those that differ from that hub too are compared with each other in blocks of
+bounded size: by their signatures, and where these come near, on their texts, all pairs but
+those that links have joined already. Every link is verified on texts. Rows stay linear in
+the members: no group is gathered or emitted as pairs. Links give classes by spreading the
+least label along links and labels.
 
 Every exchange is by hash with partial sums before it or is a plain equi-join, which
 Spark splits where a key is hot. Tables between rounds are written to the shared folder.
@@ -38,9 +39,9 @@ from eventloom.llm.common import Rolling, binary, forget, hash_words, mix, mix2,
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 FINE_BANDS, FINE_ROWS = 64, 10
-#: Rows of a band that one task compares with each other; partners each may name; what a
+#: Rows, and bytes of text, in each of the two chunks of a band that one task compares; what a
 #: sketch of 640 bytes may fall short of the similarity it stands for (four deviations).
-PART, CLOSEST, SLACK = 1024, 3, 0.065
+PART, PART_BYTES, SLACK = 1024, 8 << 20, 0.065
 
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,14 +153,19 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     return source.mapInArrow(run, "doc_id long, mark long, node binary, bands array<long>")
 
 
+def _overlap(h: np.ndarray, w: np.ndarray, g: np.ndarray, v: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of hashes with counts."""
+    total = int(w.sum()) + int(v.sum())
+    _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+    both = int(np.minimum(w[i], v[j]).sum())
+    return both / (total - both) if total > both else float(total > 0)
+
+
 def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
     """Exact weighted Jaccard similarity of the shingle counts of two texts."""
     d, h, w = shingles([a, b], size)
     cut = np.searchsorted(d, 1)
-    total = int(w.sum())
-    _, i, j = np.intersect1d(h[:cut], h[cut:], assume_unique=True, return_indices=True)
-    both = int(np.minimum(w[:cut][i], w[cut:][j]).sum())
-    return both / (total - both) if total > both else float(total > 0)
+    return _overlap(h[:cut], w[:cut], h[cut:], w[cut:])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
@@ -207,36 +213,107 @@ def _finer(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>, sketch binary")
 
 
-def _closest(rows: DataFrame, least: float) -> DataFrame:
-    """node, hub: for each row of a band (band, node, sketch) its CLOSEST others by sketch, if
-    they come near `least`.
-
-    A band's rows are compared with each other in blocks: a band of more than PART rows is
-    cut into chunks, and each two chunks are one task's work. What a task returns grows with
-    its rows, not with their pairs."""
-    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    met = dealt.select("band", "node", "sketch", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
-    met = met.select("band", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "sketch")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (band, node, label, ...) with i, j, the two chunks that meet, and chunk, the row's own.
+
+    Only rows of unequal labels have to meet. The commonest label of a band makes its own
+    chunks, which meet those of the others but not each other. A chunk is of PART rows or
+    PART_BYTES of text, about; rows are repeated once a chunk, never once a row."""
+    rows = rows.withColumn("bytes", F.length("text") if "text" in rows.columns else F.lit(0))
+    parts = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    chunks = lambda n, size: F.ceil(F.greatest(n / PART, size / PART_BYTES)).cast("int")
+    tops = parts.groupBy("band").agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
+    tops = tops.select("band", F.col("top.label").alias("top"), chunks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"), chunks(F.col("top.n"), F.col("top.bytes")).alias("tops"))
+    dealt = rows.drop("bytes").join(tops, "band")
+    hashed, own = F.xxhash64("node"), F.col("label") == F.col("top")
+    chunk = F.when(own, F.col("others") + F.pmod(hashed, F.col("tops"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    last = F.when(own, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    met = dealt.withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumns({"i": F.least("chunk", "with"), "j": F.greatest("chunk", "with")}).drop("with", "top", "others", "tops")
+
+
+def _candidates(key: tuple, table: pa.Table, least: float) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and labels (as numbers) of a block, and its pairs of rows of unequal labels whose
+    sketches come near `least`, with their likeness."""
+    nodes, chunk = table.column("node").to_pylist(), table.column("chunk").to_numpy()
+    numbers: dict[bytes, int] = {}
+    label = np.array([numbers.setdefault(v, len(numbers)) for v in table.column("label").to_pylist()])
+    x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+    i, j = key[1].as_py(), key[2].as_py()
+    right = np.flatnonzero(chunk == j)
+    first, second, likeness = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for k in np.flatnonzero(chunk == i):
+        to = right[label[right] != label[k]]
+        to = to[to > k] if i == j else to
+        alike = (x[to] == x[k]).mean(1) if len(to) else np.zeros(0)
+        near = alike >= least - SLACK
+        first.append(np.full(near.sum(), k))
+        second.append(to[near])
+        likeness.append(alike[near])
+    return nodes, label, np.concatenate(first), np.concatenate(second), np.concatenate(likeness)
+
+
+def _near(rows: DataFrame, least: float) -> DataFrame:
+    """Of rows (band, node, label, sketch) those with a row of another label near them: band, node."""
 
     def run(key, table):
-        nodes, chunk = table.column("node").to_pylist(), table.column("chunk").to_numpy()
-        x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
-        one = key[1].as_py() == key[2].as_py()
-        found = []
-        for k in range(len(nodes)):
-            alike = (x == x[k]).mean(1)
-            alike[k] = 0
-            if not one:
-                alike[chunk == chunk[k]] = 0
-            top = np.argsort(-alike, kind="stable")[:CLOSEST]
-            found += [(nodes[k], nodes[t]) for t in top if alike[t] >= least - SLACK]
-        found = sorted({(min(p), max(p)) for p in found})
-        return pa.table({"node": binary([a for a, _ in found]), "hub": binary([b for _, b in found])})
+        nodes, _, a, b, _ = _candidates(key, table, least)
+        found = [nodes[k] for k in np.unique(np.append(a, b))]
+        return pa.table({"band": pa.array([key[0].as_py()] * len(found), pa.int64()), "node": binary(found)})
+
+    met = _blocks(rows).select("band", "i", "j", "chunk", "node", "label", "sketch")
+    return met.groupBy("band", "i", "j").applyInArrow(run, "band long, node binary").distinct()
+
 
+def _closest(rows: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
+    """node, hub: links that join all rows of a band (band, node, sketch) that are alike.
+
+    Rows may have a label: those of equal labels are joined already. With a text, likeness
+    is exact wherever sketches come near `least`; else sketches decide. A block's pairs are
+    tried from the closest on, all but those between rows that its links have joined by
+    then. So no likeness between families is lost, and a block returns fewer links than it
+    has rows."""
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.col("node"))
+    exact = "text" in rows.columns
+
+    def run(key, table):
+        nodes, label, a, b, likeness = _candidates(key, table, least)
+        order = np.argsort(-likeness, kind="stable")
+        texts = table.column("text").cast(pa.binary()) if exact else None
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        top = list(range(int(label.max()) + 1))
+
+        def find(v):
+            while top[v] != v:
+                top[v] = v = top[top[v]]
+            return v
+
+        def counts(k):
+            if k not in sets:
+                sets[k] = shingles([texts[k].as_py()], size)[1:]
+            return sets[k]
+
+        found = set()
+        for k, t in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            u, v = find(label[k]), find(label[t])
+            if u != v and (not exact or _overlap(*counts(k), *counts(t)) >= least):
+                top[u] = v
+                found.add((min(nodes[k], nodes[t]), max(nodes[k], nodes[t])))
+        return pa.table({"node": binary([p for p, _ in sorted(found)]), "hub": binary([q for _, q in sorted(found)])})
+
+    met = _blocks(rows).select("band", "i", "j", "chunk", "node", "label", "sketch", *["text"] * exact)
     return met.groupBy("band", "i", "j").applyInArrow(run, "node binary, hub binary").distinct()
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """node, label: for each node of edges (node, hub) a node that stands for its component."""
+    ends = edges.select("node").union(edges.select("hub")).distinct()
+    found = classes(edges, ends.select("node", F.col("node").alias("name")))
+    out = written(found.select("node", F.col("label.node").alias("label")), few=True)
+    forget(found)
+    return out
+
+
 def links(sig: DataFrame, docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Distinct links (node, hub) between different texts that are alike."""
     texts = sig.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("bands").alias("bands"))
@@ -258,10 +335,13 @@ def links(sig: DataFrame, docs: DataFrame, least: float = SIMILARITY, size: int
     # those that differ from a fine band's hub are compared with each other
     known = tried.union(more)
     rest = fine_hub.join(known.where("NOT alike").select("node", "hub"), ["node", "hub"], "left_semi").select("band", "node")
-    close = _closest(rest.join(fine.select("node", "sketch"), "node"), least).join(known.select("node", "hub"), ["node", "hub"], "left_anti")
-    last = _verified(close, wanted, least, size)
-    out = written(known.union(last).where("alike").select("node", "hub").distinct(), few=True)
-    for t in (members, at_hub, tried, fine, fine_hub, more, wanted):
+    found = known.where("alike").select("node", "hub").distinct()
+    label = _joined(found)
+    rest = rest.distinct().join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    near = written(_near(rest.join(fine.select("node", "sketch"), "node"), least), few=True)
+    close = near.join(rest, ["band", "node"]).join(fine.select("node", "sketch"), "node").join(wanted, "node")
+    out = written(found.union(_closest(close, least, size)).distinct(), few=True)
+    for t in (members, at_hub, tried, fine, fine_hub, more, wanted, near, label):
         forget(t)
     return out
 

@@ -200,6 +200,34 @@ def test_shingles_are_the_same_in_slices_of_any_size(texts):
         assert np.array_equal(h[d == 0], one[1]) and np.array_equal(w[d == 0], one[2])
 
 
+def altered(base, start=0, end=0, name=""):
+    """base with its first `start` and last `end` words replaced."""
+    cut = len(base) - end
+    return " ".join([f"{name}s{i}" for i in range(start)] + base[start:cut] + [f"{name}e{i}" for i in range(end)])
+
+
+def test_families_that_are_alike_are_joined_in_a_block(spark, monkeypatch):
+    base = [f"w{i}" for i in range(1004)]
+    left = [altered(base, end=26, name=f"a{k}") for k in range(5)]
+    right = [altered([*(f"b{i}" for i in range(73)), *base[73:]], end=26, name=f"b{k}") for k in range(5)]
+    far = [altered([*(f"c{i}" for i in range(100)), *base[100:]], end=26, name=f"c{k}") for k in range(5)]
+    like = lambda a, b: near_duplicates.similarity(a.encode(), b.encode())
+    assert like(left[0], left[1]) > 0.94 and 0.8 < like(left[0], right[0]) < 0.83 and like(left[0], far[0]) < 0.8
+    texts = dict(enumerate([*left, *right, *far]))
+    table = spark.createDataFrame([(b"%02d" % i, t) for i, t in texts.items()], "node binary, text string")
+    rows = near_duplicates._finer(table, 5).join(table, "node").select(F.lit(1).cast("long").alias("band"), "node", "sketch", "text")
+    want = plain_classes(texts)
+    for part in (1024, 4):
+        monkeypatch.setattr(near_duplicates, "PART", part)
+        links = [(int(x.node), int(x.hub)) for x in near_duplicates._closest(rows, 0.8).collect()]
+        assert all(like(texts[a], texts[b]) >= 0.8 for a, b in links)
+        top = {i: i for i in texts}
+        for _ in texts:
+            for a, b in links:
+                top[a] = top[b] = min(top[a], top[b])
+        assert top == want
+
+
 # ---- repeated substrings --------------------------------------------------------------
 
 
