@@ -228,6 +228,23 @@ def test_families_that_are_alike_are_joined_in_a_block(spark, monkeypatch):
         assert top == want
 
 
+def test_rows_alike_to_a_hub_are_compared_with_those_that_are_not(spark, docs):
+    # in all bands where the last two meet, some of the first twelve are hubs, at 0.775 from the last
+    base = [f"6w{i}" for i in range(1004)]
+    core = [[*base[: 200 + 30 * k], *(f"6k{k}_{i}" for i in range(6)), *base[206 + 30 * k :]] for k in range(12)]
+    near = [*base[:992], *(f"6u{i}" for i in range(12))]
+    items = {i: " ".join(w) for i, w in enumerate([*core, near, [*(f"6t{i}" for i in range(105)), *near[105:]]])}
+    like = [near_duplicates.similarity(items[i].encode(), items[13].encode()) for i in range(13)]
+    assert max(like[:12]) < 0.8 < like[12]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in items.items()], docs.schema).coalesce(1)
+    assert {r.class_id for r in near_duplicates.near_duplicates(df).collect()} == {0}
+
+
+def test_fine_bands_miss_no_more_than_the_first():
+    miss = lambda bands, rows: (1 - near_duplicates.SIMILARITY**rows) ** bands
+    assert miss(near_duplicates.FINE_BANDS, near_duplicates.FINE_ROWS) <= miss(near_duplicates.BANDS, near_duplicates.ROWS)
+
+
 # ---- repeated substrings --------------------------------------------------------------
 
 
