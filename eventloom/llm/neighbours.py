@@ -15,8 +15,9 @@ The spread comes from a sample of at most SAMPLE vectors; every vector is indexe
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than most; repeated rows count once; an id with
-several vectors is as near as its nearest; ties go to the smaller id; with fewer than k
-candidates all that the buckets hold are returned; an empty table gives no rows.
+several vectors is as near as its nearest; ties go to the smaller id; a query whose buckets
+hold fewer than k others is compared with all vectors, in blocks, so fewer than k come back
+only where there are no more; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import binary, mix2, n_blocks
+from eventloom.llm.common import binary, mix2, n_blocks, written
 
 TABLES, FUNCTIONS, WIDTH, PROBES, PART, SAMPLE = 10, 8, 2.0, 100, 4096, 2000
 
@@ -170,6 +171,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     found = split.select(group, unit, "vector", "ids").groupBy("group").cogroup(spread_out.select(group, unit, "query_id", "vector").groupBy("group")).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = written(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    # queries with fewer than k so far: exactly, against every block of vectors
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([binary(packed(b)), *b.columns[1:]], names=["vector", *b.schema.names[1:]])
+
+    short = rows.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct().join(enough, "query_id", "left_anti").select("v", "query_id").mapInArrow(pack, "vector binary, query_id long")
+    short = written(short, few=True)
+    if not short.isEmpty():
+        block = F.pmod(F.xxhash64("vector"), F.lit(n)).alias("unit")
+        held = entries.mapInArrow(pack, "vector binary, ids array<long>").select(block, "vector", "ids").withColumn("group", F.col("unit"))
+        everywhere = short.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("group", F.col("unit"))
+        more = held.groupBy("group").cogroup(everywhere.groupBy("group")).applyInArrow(search, "query_id long, vec_id long, score double")
+        found = found.union(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

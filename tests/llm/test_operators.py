@@ -540,6 +540,18 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_outliers_and_of_few_vectors(spark):
+    r = np.random.default_rng(4)
+    many = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((60, 16)))] + [(100 + i, (v * 60).tolist()) for i, v in enumerate(r.standard_normal((2, 16)))]
+    few = [(i, (v * 10.0**i).tolist()) for i, v in enumerate(r.standard_normal((6, 16)))]
+    for rows, queries in ((many, [100, 101]), (few, range(6))):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for x in neighbours.nearest(df, F.col("vec_id").isin(*queries)).orderBy("query_id", "rank").collect():
+            got[x.query_id].append(x.vec_id)
+        assert got == {q: [i for _, i in exact(rows, (q, np.array(dict(rows)[q])), 10)] for q in queries}
+
+
 def test_perturbations_come_in_order_of_cost():
     import itertools
 
