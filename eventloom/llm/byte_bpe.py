@@ -3,17 +3,21 @@
 Encoding. The merges are compiled to a relation on bytes: from a token boundary whose
 last token is t, any token that is compatible with t (the two encode to themselves) may
 follow. Reading bytes, the transducer keeps every boundary from which some token still
-fits, each with its place in the trie of tokens: a tree of hypotheses. That tree, with
-positions taken relative to what has been emitted, is one deterministic state. States and
-their moves are made when first needed and kept in a bounded table. A token is emitted as
-soon as all living hypotheses share it, which is after at most the longest token's bytes.
-The end of a pretoken emits the path to the newest boundary.
+fits, each with its place in the trie of tokens and the tokens that lead to it and are not
+given out yet: a tree of hypotheses. That tree is one deterministic state, and a move from
+it by a byte gives out the tokens that all living hypotheses share from then on, which is
+after at most the longest token's bytes. States and moves are made when first needed and
+kept in a bounded table, however long a pretoken is. The end of a pretoken gives out what
+leads to its last boundary.
 
-Decoding. Tokens become bytes by table; text comes from an incremental machine over UTF-8
-whose state carries over token ends, so any prefix of a stream decodes at once.
+Decoding. A machine over UTF-8, whose state is the bytes of a character begun, is stepped
+from token to token; its moves by tokens are made from those by bytes when first needed.
+Its state carries over token ends, so any prefix of a stream decodes at once.
 
 Edge cases: null and empty texts have no ids; ids outside the vocabulary raise KeyError;
-ill-formed bytes become U+FFFD, one for each maximal ill-formed part.
+ill-formed bytes become U+FFFD, one for each maximal ill-formed part; a null doc_id stays
+null; repeated rows are encoded each on its own; a long run without a match's end costs
+time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -29,16 +33,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Memo
+from eventloom.llm.common import Memo, ensure_importable
 from eventloom.llm.token_counts import MergeRules
 
 
 class Transducer:
     """rank: token bytes -> id; ids are ranks of merges. State 0 is the start."""
 
-    def __init__(self, rank: dict[bytes, int], most_states: int = 1 << 18):
+    def __init__(self, rank: dict[bytes, int], most_states: int = 1 << 19):
         self.rank, self.rules, self.most = rank, MergeRules(rank), most_states
         self.trie: dict[int, int] = {}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.token_at: list[bytes | None] = [None]
         for token in rank:
             if len(token) > 1 and not self._made(token):
@@ -59,75 +64,68 @@ class Transducer:
         return any(self.rank.get(token[:i], r) < r and self.rank.get(token[i:], r) < r for i in range(1, len(token)))
 
     def _restart(self) -> None:
-        #: A state is the living boundaries, oldest first: each (bytes back, token before it, node of the trie).
-        first = ((0, None, 0),)
+        """Forget all states but the first: no hypothesis but the text's own beginning."""
+        #: A state: the last token given out, if that matters, and the living boundaries, oldest
+        #: first, each with the tokens that lead to it and its node of the trie.
+        first = (None, (((), 0),))
         self.states, self.number = [first], {first: 0}
-        self.moves: dict[int, tuple[int, int, int]] = {}
+        self.moves.clear()
 
-    def _move(self, state: int, byte: int) -> tuple[int, int, int]:
-        """The next state, and what ends at the new boundary: a token's id and its bytes."""
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state, and the ids that are certain from then on."""
         trie, token_at, pairs = self.trie, self.token_at, self.rules.pairs
-        tree, new, size = [], None, 0
-        for back, token, node in self.states[state]:
+        base, living = self.states[state]
+        tree, new = [], None
+        for path, node in living:
             node = trie.get(node << 8 | byte, 0)
             if node:
-                back += 1
-                tree.append((back, token, node))
-                if new is None and (t := token_at[node]) is not None and (token is None or pairs[token, t]):
-                    new, size = t, back
-        tree.append((0, new, 0))
-        kept = tuple(tree)
+                tree.append((path, node))
+                if new is None and (t := token_at[node]) is not None:
+                    before = path[-1] if path else base
+                    if before is None or pairs[before, t]:
+                        new = (*path, t)
+        same = len(new)
+        for path, _ in tree:
+            while same and path[:same] != new[:same]:
+                same -= 1
+        tree.append((new, 0))
+        given = new[:same]
+        if given:
+            base = given[-1]
+        if all([len(path) > same for path, _ in tree]):
+            base = b""  # no boundary follows what has been given out directly
+        kept = base, tuple([(path[same:], node) for path, node in tree]) if same else tuple(tree)
+        ids = tuple([self.rank[t] for t in given])
         to = self.number.get(kept)
         if to is None:
+            if len(self.states) >= self.most:
+                self._restart()
+                state = -1  # its number has gone
             to = self.number[kept] = len(self.states)
             self.states.append(kept)
-        self.moves[state << 8 | byte] = step = (to, self.rank[new], size)
-        return step
+        if state >= 0:
+            self.moves[state << 8 | byte] = to, ids
+        return to, ids
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of one pretoken's bytes, each as soon as all living boundaries share it."""
-        if len(self.states) > self.most:
-            self._restart()
-        state, moves, steps, given = 0, self.moves, [], 0  # steps: after the bytes of what has been given
+        state = 0
         for byte in data:
-            state, token, size = moves.get(state << 8 | byte) or self._move(state, byte)
-            steps.append((token, size))
-            n, paths = len(steps), []
-            for back, _, _ in self.states[state]:
-                at, path = n - back, []
-                while at > 0:
-                    path.append(at)
-                    at -= steps[at - 1][1]
-                paths.append(path[::-1])
-            for same in zip(*paths, strict=False):
-                if len(set(same)) > 1:
-                    break
-                given = same[0]
-                yield steps[given - 1][0]
-            del steps[:given]
-            given = 0
-        yield from self._path(steps)
-
-    @staticmethod
-    def _path(steps: list[tuple[int, int]]) -> list[int]:
-        ids, at = [], len(steps)
-        while at > 0:
-            token, size = steps[at - 1]
-            ids.append(token)
-            at -= size
-        return ids[::-1]
+            state, ids = self.moves.get(state << 8 | byte) or self._move(state, byte)
+            yield from ids
+        yield from map(self.rank.__getitem__, self.states[state][1][-1][0])
 
     def encode(self, data: bytes) -> list[int]:
-        """All ids of one pretoken: the path to its last boundary."""
+        """All ids of one pretoken: the stream at once."""
         if (whole := self.rank.get(data)) is not None:
             return [whole]
-        if len(self.states) > self.most:
-            self._restart()
-        state, get, move, steps = 0, self.moves.get, self._move, []
+        state, get, move, out = 0, self.moves.get, self._move, []
         for byte in data:
-            state, token, size = get(state << 8 | byte) or move(state, byte)
-            steps.append((token, size))
-        return self._path(steps)
+            state, ids = get(state << 8 | byte) or move(state, byte)
+            if ids:
+                out += ids
+        out += map(self.rank.__getitem__, self.states[state][1][-1][0])
+        return out
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -184,53 +182,114 @@ class Utf8Stream:
         return rest
 
 
+class TokenDecoder:
+    """The machine over UTF-8 stepped by tokens: from a state (the bytes of a character that
+    has begun) and an id to the text that is complete then, and the next state."""
+
+    def __init__(self, token: dict[int, bytes]):
+        self.token, self.at = token, {}
+        self.start = self._state(b"")
+
+    def _state(self, part: bytes) -> Memo:
+        """The moves from a state: at most three bytes can be waiting, so there are few."""
+        if part not in self.at:
+            self.at[part] = Memo(lambda i: self._move(part, i), 1 << 18)
+        return self.at[part]
+
+    def _move(self, part: bytes, i: int) -> tuple[str, Memo]:
+        machine = Utf8Stream()
+        text = machine.feed(part) + machine.feed(self.token[i])
+        return text, self._state(bytes(machine.part))
+
+    def stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text that each id completes, then what is left at the end."""
+        state = self.start
+        for i in ids:
+            text, state = state[i]
+            yield text
+        yield "\ufffd" if state is not self.start else ""
+
+    def decode(self, ids: Iterable[int]) -> str:
+        state, out = self.start, []
+        for i in ids:
+            text, state = state[i]
+            out.append(text)
+        return "".join(out) + ("\ufffd" if state is not self.start else "")
+
+
+#: Spaces that part chunks if the pattern begins a match at each space between other characters.
+_BETWEEN = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
+
+
 class ByteBpe:
-    """Encoder and decoder of a rank file; each match of the pattern is encoded by itself."""
+    """Encoder and decoder of a rank file; each match of the pattern is encoded by itself.
+
+    space_starts: the pattern begins a match at every single space between two characters
+    that are no white space, nowhere includes such a space later in a match, and takes a
+    space and the letters after it as one match. Texts can then be looked up in chunks that
+    end before such spaces."""
 
-    def __init__(self, rank_file: str, pattern: str, keep: int = 1 << 18):
+    def __init__(self, rank_file: str, pattern: str, space_starts: bool = False, keep: int = 1 << 19):
         with open(rank_file, "rb") as f:
             self.rank = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
         self.token = {i: t for t, i in self.rank.items()}
-        self.split = regex.compile(pattern).findall
-        self.fst = Transducer(self.rank)
+        self.split, self.space_starts = regex.compile(pattern).findall, space_starts
+        self.fst, self.decoder = Transducer(self.rank), TokenDecoder(self.token)
         self.packed = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep)
+        self.first = Memo(self._matches, keep)
+        self.word = Memo(self._word, keep)
+
+    def _word(self, s: str) -> bytes | None:
+        """The ids of a space and s; None where the space stands beside other white space."""
+        if s.isalpha():
+            return self.packed[" " + s]
+        return None if not s or s[0].isspace() or s[-1].isspace() else self._matches(" " + s)
+
+    def _matches(self, text: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.split(text)))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        if not self.space_starts:
+            return self._matches(text)
+        head, *rest = text.split(" ")
+        if not head or head[-1].isspace():
+            found = [None]
+        else:
+            found = [self.first[head], *map(self.word.__getitem__, rest)]
+        if None in found:  # white space of several characters
+            head, *rest = _BETWEEN.split(text)
+            found = [self._matches(head), *(self._matches(" " + s) for s in rest)]
+        return b"".join(found)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text that each id completes, then what is left at the end."""
-        machine = Utf8Stream()
-        for i in ids:
-            yield machine.feed(self.token[i])
-        yield machine.close()
+        return self.decoder.stream(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+        return self.decoder.decode(ids)
 
 
-_CODECS: dict[tuple[str, str], ByteBpe] = {}
+_CODECS: dict[tuple, ByteBpe] = {}
 
 
-def codec(rank_file: str, pattern: str) -> ByteBpe:
-    key = rank_file, pattern
+def codec(rank_file: str, pattern: str, space_starts: bool = False) -> ByteBpe:
+    key = rank_file, pattern, space_starts
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(*key)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, space_starts: bool = False) -> DataFrame:
     """doc_id and `ids` (array of int) of every row; a null text gives an empty array."""
+    ensure_importable(docs.sparkSession)
 
     def run(batches):
-        bpe = codec(rank_file, pattern)
+        bpe = codec(rank_file, pattern, space_starts)
         for b in batches:
             ids = [np.frombuffer(bpe.encode_packed(t), "<i4") for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -242,6 +301,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id and `text` of rows with doc_id and ids; a null array gives an empty text."""
+    ensure_importable(tokens.sparkSession)
 
     def run(batches):
         bpe = codec(rank_file, pattern)
@@ -251,17 +311,18 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, space_starts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the text encoded, then
     its ids decoded, and both hashed where they are, so nothing large leaves a task."""
+    ensure_importable(docs.sparkSession)
 
     def run(batches):
-        bpe = codec(rank_file, pattern)
+        bpe = codec(rank_file, pattern, space_starts)
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
                 packed = bpe.encode_packed(text)
-                back = bpe.decode_bytes(np.frombuffer(packed, "<u4").tolist())
+                back = bpe.decode(np.frombuffer(packed, "<u4").tolist()).encode()
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, ids, raw = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import ensure_importable  # noqa: F401
 from eventloom.session import read_table as table  # noqa: F401
 
 #: ASCII white space as Spark and Java patterns take it; a word is a run of other characters.
