@@ -8,10 +8,15 @@ exact count of every prefix, which answers "how many tokens has this cut" and "w
 the longest cut within a budget" without encoding anything again.
 
 No piece holds the space mark after another character, so a text falls apart before each
-run of space marks into segments that encode by themselves; the counts of segments are
-kept in a bounded table. Memory a worker needs is bounded by that table and one batch.
+run of space marks into segments that encode by themselves. The counts at every prefix of a
+segment are stored in a bounded table; a text's count is the sum of its segments' last ones,
+and a cut within a budget is found in the one segment where the sum passes it. Memory a
+worker needs is bounded by that table and one batch.
 
-Edge cases: a null or empty text has no tokens; unknown characters count as their UTF-8
+Models are those that take text as it is: no normalisation, a space mark in front, white
+space kept. Others are refused, as are those with a piece that has the mark inside.
+
+Edge cases: a null or empty text has no tokens, and its cut is 0; a null doc_id stays null; unknown characters count as their UTF-8
 bytes (byte fallback) or, in a model without it, a run of them as one; a very long word
 costs time in proportion to its length; repeated rows are counted each on its own.
 """
@@ -19,14 +24,16 @@ costs time in proportion to its length; repeated rows are counted each on its ow
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
-from eventloom.llm.common import Memo
+from eventloom.llm.common import Memo, ensure_importable
 
 MARK = "▁"
 INF = float("inf")
@@ -100,6 +107,10 @@ class PrefixCounter:
 
     def __init__(self, model_file: str, keep: int = 1 << 17):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+        norm, kind = spec.normalizer_spec, spec.trainer_spec.model_type
+        if kind != 2 or norm.precompiled_charsmap or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only byte-pair models that take text as it is, with a space mark in front, are counted")
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
         self.fallback = any(sp.is_byte(i) for i in range(sp.get_piece_size()))
@@ -114,8 +125,14 @@ class PrefixCounter:
             raise ValueError("the model has too many pieces")
         self.pairs = Memo(lambda key: self.rules._pair((self.names[key >> SHIFT], self.names[key & (1 << SHIFT) - 1])), 1 << 18)
         self.longest = max(map(len, pieces))
-        self.by_segment = Memo(lambda s: self.prefixes(s)[-1], keep)
-        self.by_word = Memo(lambda w: self.prefixes(MARK + w)[-1], keep)
+        # a line end that is a byte token stands between segments: nothing joins it
+        self.lines = self.fallback and "\n" not in self.known
+        #: The counts at every prefix of a segment, as the dynamic programme gave them.
+        self.stored = Memo(lambda s: array("I", self.prefixes(s)), max(1, keep >> 2))
+        self.by_segment = Memo(lambda s: self.stored[s][-1], keep)
+        self.by_word = Memo(lambda w: self.stored[MARK + w][-1], keep)
+
+    _segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def prefixes(self, segment: str) -> list[int]:
         """Tokens of segment[:0], segment[:1], ...: the dynamic programme."""
@@ -140,11 +157,11 @@ class PrefixCounter:
         """Tokens of a whole text, as the library's encode gives them."""
         if not text:
             return 0
-        if text[0] == " " or "  " in text or MARK in text:
+        if text[0] == " " or "  " in text or MARK in text or not self.lines:
             return sum(map(self.by_segment.__getitem__, self.segments(text)))
         total = 0
         for k, line in enumerate(text.split("\n")):
-            if k:  # a line end is a byte and stands between segments
+            if k:
                 total += 1
             words = line.split(" ")
             if k and words[0]:
@@ -155,8 +172,23 @@ class PrefixCounter:
             total += sum(map(self.by_word.__getitem__, words))
         return total
 
+    def cut(self, text: str | None, budget: int) -> int:
+        """The most characters of text whose tokens keep within budget, from stored counts.
+
+        Segments are walked up to the one whose end is beyond the budget; its own prefixes,
+        or else its beginning, hold the answer. Later ones only have more tokens."""
+        base, end = 0, -1  # segments have a mark in front of the text
+        for m in self._segment.finditer((MARK + (text or "")).replace(" ", MARK)) if text else ():
+            counts = self.stored[m[0]]
+            if base + counts[-1] > budget:
+                inside = [i for i, n in enumerate(counts) if i and base + n <= budget]
+                return max(0, end + max(inside, default=0))
+            base += counts[-1]
+            end += len(m[0])
+        return max(0, end)
+
     def segments(self, text: str) -> list[str]:
-        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", (MARK + text).replace(" ", MARK))
+        return self._segment.findall((MARK + text).replace(" ", MARK))
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """int32 counts of text[:0], text[:1], ... text[:n]."""
@@ -193,16 +225,47 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, budgets: t
 
     Narrow: no shuffle. model_file is a path that every executor has.
     """
+    ensure_importable(docs.sparkSession)
 
     def run(batches):
         c = counter(model_file, keep)
         for b in batches:
             texts = b.column(2).to_pylist()
-            out = [b.column(0), b.column(1), pa.array([c.count(t) for t in texts], pa.int64())]
+            counts = [c.count(t) for t in texts]
+            out = [b.column(0), b.column(1), pa.array(counts, pa.int64())]
             if budgets:
-                out.append(pa.array([[longest_prefix(p, n) for n in budgets] for p in map(c.prefix_counts, texts)], pa.list_(pa.int64())))
+                # a text that is within a budget as a whole is its own longest prefix
+                out.append(pa.array([[len(t or "") if n <= m else c.cut(t, m) for m in budgets] for t, n in zip(texts, counts, strict=True)], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_tokens", "cuts"][: len(out)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long" + ", cuts array<long>" * bool(budgets))
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def prefix_table(docs: DataFrame, model_file: str, keep: int = 1 << 17) -> DataFrame:
+    """doc_id and `counts`: the exact tokens of text[:0], text[:1], ... of every row. Written
+    once, it answers count_of and cut_within in DataFrame functions, without encoding."""
+    ensure_importable(docs.sparkSession)
+
+    def run(batches):
+        c = counter(model_file, keep)
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                counts = [c.prefix_counts(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts), pa.int32()))], names=["doc_id", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, counts array<int>")
+
+
+def count_of(counts: Column, chars: Column | int) -> Column:
+    """The tokens of the first `chars` characters, or of all where there are fewer."""
+    return F.get(counts, F.least(F.lit(chars) if isinstance(chars, int) else chars, F.size(counts) - 1))
+
+
+def cut_within(counts: Column, budget: Column | int) -> Column:
+    """The most characters whose tokens keep within budget."""
+    within = F.transform(counts, lambda n, i: F.when(n <= budget, i))
+    return F.array_max(within)
