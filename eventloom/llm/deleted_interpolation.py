@@ -17,7 +17,8 @@ All of it is one lazy plan over one exchange of texts.
 
 Edge cases: null and empty texts are one end token; a null doc_id counts as the empty
 text where it decides the part; with no training documents every estimate is uniform;
-contexts never seen leave the orders below; repeated rows count each time.
+contexts never seen leave the orders below; repeated rows count each time. Which block a
+row goes to follows its place in docs: docs should be a table, which is read alike each time.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import binary, bucket_of, hash_words, mix, mix2, n_blocks
+from eventloom.llm.common import binary, bucket_of, ensure_importable, hash_words, mix, mix2, n_blocks
 
 ORDER, GRID, BUCKETS = 2, 64, 32
+#: Blocks of documents for each bucket of keys: a bucket holds what a task can, so that the
+#: rows between blocks and buckets, and not only their bytes, stay few.
+BLOCKS_A_BUCKET = 4
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
 HELD_OUT, MAIN, DELETED = 0, 1, 2
 
@@ -89,14 +93,14 @@ ASKED = "bucket long, block long, level int, keys binary, counts binary"
 TOLD = "block long, bucket long, level int, main binary, total binary, stats array<double>"
 
 
-def _asked(block: int, texts: list, train: np.ndarray, order: int, n: int) -> pa.Table:
+def _asked(block: int, texts: list, train: np.ndarray, order: int, buckets: int) -> pa.Table:
     t = Tokens(texts, order)
     counted = np.repeat(train, t.sizes)
     rows: list[tuple] = []
     for level, keys in enumerate(t.keys, 1):
         found, place = np.unique(keys, return_inverse=True)
         counts = np.bincount(place[counted], minlength=len(found))
-        bucket = bucket_of(found, n)
+        bucket = bucket_of(found, buckets)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows += [(int(bucket[a]), block, level, _pack_keys(found[a:b]), _pack_counts(counts[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(found)), strict=True)]
     cols = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -131,13 +135,13 @@ def _told_table(cols: list) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), binary(cols[3]), binary(cols[4]), pa.array(cols[5], pa.list_(pa.float64()))], names=["block", "bucket", "level", "main", "total", "stats"])
 
 
-def _totals(t: Tokens, told: list[dict], column: str, n: int) -> list[np.ndarray]:
+def _totals(t: Tokens, told: list[dict], column: str, buckets: int) -> list[np.ndarray]:
     """For each order the total of every token's n-gram, from the answers to this block."""
     out = []
     for level, keys in enumerate(t.keys, 1):
         found, place = np.unique(keys, return_inverse=True)
-        bucket = bucket_of(found, n)
-        sizes = np.bincount(bucket, minlength=n)
+        bucket = bucket_of(found, buckets)
+        sizes = np.bincount(bucket, minlength=buckets)
         rows = sorted((r for r in told if r["level"] == level), key=lambda r: r["bucket"])
         counts = [_unpack_counts(r[column], int(sizes[r["bucket"]])) for r in rows]
         out.append((np.concatenate(counts) if counts else np.zeros(0, np.int64))[place])
@@ -201,17 +205,20 @@ def score(docs: DataFrame, part: Column, order: int = ORDER) -> DataFrame:
 
     part: HELD_OUT rows are scored alone, MAIN ones counted, DELETED ones counted in the
     end and used before that for the weights."""
+    ensure_importable(docs.sparkSession)
     n = n_blocks(docs)
     more = max(1, n // 8)  # for deleted documents: about a tenth as many
+    buckets = -(-n // BLOCKS_A_BUCKET)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.cast("int").alias("part"))
-    dealt = F.xxhash64("doc_id", "text")
+    # the row's number keeps rows of one id and text, however many, from meeting in one block
+    dealt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     blocks = rows.withColumn("block", F.when(F.col("part") == DELETED, n + F.pmod(dealt, F.lit(more))).otherwise(F.pmod(dealt, F.lit(n))).cast("long")).repartition(n + more, "block")
 
     def texts(table):
         return table.column("text").cast(pa.binary()).to_pylist()
 
     def ask(key, table):
-        return _asked(key[0].as_py(), texts(table), table.column("part").to_numpy() != HELD_OUT, order, n)
+        return _asked(key[0].as_py(), texts(table), table.column("part").to_numpy() != HELD_OUT, order, buckets)
 
     def tell(key, table):
         return _told(key[0].as_py(), table, n)
@@ -237,7 +244,7 @@ def score(docs: DataFrame, part: Column, order: int = ORDER) -> DataFrame:
         if not table.num_rows:
             return _cells(np.zeros((0, order + 1)), np.zeros(0, np.int64))
         t = Tokens(texts(table), order)
-        return _cells(*_estimates(t, _totals(t, told, "main", n), numbers[0], numbers[1]))
+        return _cells(*_estimates(t, _totals(t, told, "main", buckets), numbers[0], numbers[1]))
 
     deleted = blocks.where(F.col("block") >= n)
     asked_by_deleted = answers.where(F.col("block") >= n).unionByName(for_blocks(sums, stats, n, n + more - 1))
@@ -262,7 +269,7 @@ def score(docs: DataFrame, part: Column, order: int = ORDER) -> DataFrame:
             return _scores_table(table, [()] * 4, 0)
         types, tokens, w = numbers[0], numbers[1], np.array(numbers[2:]).reshape(BUCKETS, order + 1)
         t = Tokens(texts(table), order)
-        counts = _totals(t, told, "total", n)
+        counts = _totals(t, told, "total", buckets)
         estimates, bucket = _estimates(t, counts, types, tokens)
         logs = np.log10((estimates * w[bucket]).sum(1))
         base = np.log10((counts[0] + 0.1) / (tokens + 0.1 * (types + 1)))

@@ -27,7 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import ensure_importable
+
 SLICES, SLICE_CHARS, BLOCK, MARGIN = 320, 300, 2048, 0.5
+#: More languages than this are refused: each has a dictionary that every task holds.
+LANGUAGES = 1000
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -48,7 +52,9 @@ class LanguageModel:
 def fit(train: DataFrame, slices: int = SLICES, slice_chars: int = SLICE_CHARS, **params) -> LanguageModel:
     """train: doc_id, text, lang; rows that lack a text or a lang are left out."""
     rows = train.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     if not counts:
         return LanguageModel({}, **params)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * slices / n)))])
@@ -103,6 +109,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """lang_pred, score, rejected and `row`, a struct of all columns of docs, so that none
     of their names can clash. A prediction reads text alone. Narrow: no shuffle."""
 
+    ensure_importable(docs.sparkSession)
     place = [c.lower() for c in docs.columns].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most slices * slice_chars characters a language
 

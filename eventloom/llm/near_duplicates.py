@@ -22,7 +22,8 @@ Every exchange is by hash with partial sums before it or is a plain equi-join, w
 Spark splits where a key is hot. Tables between rounds are written to the shared folder.
 
 Edge cases: a null text or one without words is alone in its class; a row without doc_id
-takes no part (class_id null); repeated rows share a class; ties go to the smaller id.
+takes no part (class_id null); repeated rows share a class, and one of them is kept; ties go
+to the smaller id; rows of one id and different texts may be of different classes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Rolling, binary, forget, hash_words, mix, mix2, written
+from eventloom.llm.common import Rolling, binary, ensure_importable, few_files, forget, hash_words, mix, mix2, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Of pairs alike by 0.8 these miss 2.3e-5, the first level 2.6e-5.
@@ -319,61 +320,62 @@ def _closest(rows: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
     return met.groupBy("band", "i", "j").applyInArrow(run, "node binary, hub binary").distinct()
 
 
-def _joined(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, files: int) -> DataFrame:
     """node, label: for each node of edges (node, hub) a node that stands for its component."""
     ends = edges.select("node").union(edges.select("hub")).distinct()
-    found = classes(edges, ends.select("node", F.col("node").alias("name")))
-    out = written(found.select("node", F.col("label.node").alias("label")), few=True)
+    found = classes(edges, ends.select("node", F.col("node").alias("name")), files)
+    out = written(found.select("node", F.col("label.node").alias("label")), files=files)
     forget(found)
     return out
 
 
 def links(sig: DataFrame, docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Distinct links (node, hub) between different texts that are alike."""
+    """Distinct links (node, hub) between different texts: enough to join all that are alike."""
+    files = few_files(docs)
     texts = sig.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("bands").alias("bands"))
     members = texts.select("node", F.struct("at.doc_id", "at.mark").alias("at"), F.explode("bands").alias("band"))
-    members = written(_crowded(members), few=True)
+    members = written(_crowded(members), files=files)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     named = members.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.doc_id", "at.mark")
-    wanted = written(source.join(named, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), few=True)
-    at_hub = written(_at_hubs(_with_standing(members.select("band", "node", "n"))), few=True)
-    tried = written(_verified(at_hub.select("node", "hub").distinct(), wanted, least, size), few=True)
+    wanted = written(source.join(named, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), files=files)
+    at_hub = written(_at_hubs(_with_standing(members.select("band", "node", "n"))), files=files)
+    tried = written(_verified(at_hub.select("node", "hub").distinct(), wanted, least, size), files=files)
     # bands where some differ from their hub: their members are compared anew, in finer bands
     mixed = at_hub.join(tried.where("NOT alike").select("node", "hub"), ["node", "hub"], "left_semi").select("band").distinct()
     again = members.join(mixed, "band", "left_semi").select("node").distinct()
-    fine = written(_finer(wanted.join(again, "node"), size), few=True)
+    fine = written(_finer(wanted.join(again, "node"), size), files=files)
     rows = _crowded(fine.select("node", F.explode("bands").alias("band")))
-    fine_hub = written(_at_hubs(_with_standing(rows)), few=True)
+    fine_hub = written(_at_hubs(_with_standing(rows)), files=files)
     pairs = fine_hub.select("node", "hub").distinct()
-    more = written(_verified(pairs.join(tried, ["node", "hub"], "left_anti"), wanted, least, size), few=True)
+    more = written(_verified(pairs.join(tried, ["node", "hub"], "left_anti"), wanted, least, size), files=files)
     # members of a fine band that links leave in pieces are compared with each other
     known = tried.union(more)
     found = known.where("alike").select("node", "hub").distinct()
-    label = _joined(found)
+    label = _joined(found, files)
     split = _in_pieces(rows.select("band", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    split = written(split, few=True)
-    near = written(_near(split.join(fine.select("node", "sketch", "bands"), "node"), least), few=True)
+    split = written(split, files=files)
+    near = written(_near(split.join(fine.select("node", "sketch", "bands"), "node"), least), files=files)
     close = near.join(split, ["band", "node"]).join(fine.select("node", "sketch"), "node").join(wanted, "node")
-    out = written(found.union(_closest(close, least, size)).distinct(), few=True)
+    out = written(found.union(_closest(close, least, size)).distinct(), files=files)
     for t in (members, at_hub, tried, fine, fine_hub, more, wanted, near, split, label):
         forget(t)
     return out
 
 
-def classes(edges: DataFrame, names: DataFrame) -> DataFrame:
+def classes(edges: DataFrame, names: DataFrame, files: int | None = None) -> DataFrame:
     """node, label: the least name in each connected component of edges (node, hub).
 
     names: node, name. Each round a node takes the least label beside it, then the label
     of its label, so the rounds needed grow with the logarithm of a component's width."""
-    both = written(edges.union(edges.select("hub", "node")).toDF("a", "b").distinct(), few=True)
+    both = written(edges.union(edges.select("hub", "node")).toDF("a", "b").distinct(), files=files)
     ends = both.select(F.col("a").alias("node")).distinct()
-    labels = written(names.join(ends, "node").select("node", F.struct("name", "node").alias("label")), few=True)
+    labels = written(names.join(ends, "node").select("node", F.struct("name", "node").alias("label")), files=files)
     while True:
         beside = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(beside, labels.node == beside.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        near = written(near, few=True)
+        near = written(near, files=files)
         over = near.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        new = written(near.join(over, near.label.node == over["at"]).select("node", F.least("label", "beyond").alias("label"), (F.least("label", "beyond") != F.col("was")).alias("moved")), few=True)
+        new = written(near.join(over, near.label.node == over["at"]).select("node", F.least("label", "beyond").alias("label"), (F.least("label", "beyond") != F.col("was")).alias("moved")), files=files)
         still = new.where("moved").isEmpty()
         forget(near)
         forget(labels)
@@ -384,26 +386,32 @@ def classes(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, mark, class_id (least doc_id of the class), n_copies (rows of equal words),
-    n_links (other texts it was found alike), kept (the row that stands for its class)."""
+    """doc_id, mark (a hash of the raw text), class_id and class_mark (the least doc_id of the
+    class, and the mark of its text), n_copies (rows of equal words), kept: true for one row of
+    each class. Where ids are not unique, class_id and class_mark together name a class.
+
+    Where a row that stands for its class is repeated whole, id and text, one of its repeats
+    is kept and the others are not. A row without words or without doc_id is its own class."""
+    ensure_importable(docs.sparkSession)
+    files = few_files(docs)
     sig = written(signatures(docs, bands, rows, size))
     edges = links(sig, docs, least, size)
     texts = sig.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.count(F.lit(1)).alias("n_copies"))
-    names = texts.select("node", F.col("at.doc_id").alias("name"))
-    label = classes(edges, names)
-    degree = edges.union(edges.select("hub", "node")).toDF("node", "other").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    about = texts.join(label, "node", "left").join(degree, "node", "left").select("node", "at", "n_copies", F.coalesce("label.name", "at.doc_id").alias("class_id"), F.coalesce(F.col("label.node"), F.col("node")).alias("top"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    names = texts.select("node", F.col("at").alias("name"))
+    label = classes(edges, names, files)
+    about = texts.join(label, "node", "left").select("node", "at", "n_copies", F.coalesce("label.name", "at").alias("class"), F.coalesce(F.col("label.node"), F.col("node")).alias("top"))
     own = F.col("node").isNull() | F.col("doc_id").isNull()
+    stands = (F.col("top") == F.col("node")) & (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.mark") == F.col("mark"))
     out = sig.select("doc_id", "mark", "node").join(about, "node", "left")
-    found = out.select(
-        "doc_id",
-        "mark",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(own, True).otherwise((F.col("top") == F.col("node")) & (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.mark") == F.col("mark"))).alias("kept"),
-    )
-    found = written(found, few=True)
+    alone = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"class.{c}")).alias(f"class_{c.removeprefix('doc_')}")
+    out = out.select("doc_id", "mark", alone("doc_id"), alone("mark"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), own.alias("own"), (own | stands).alias("kept"), F.monotonically_increasing_id().alias("number"))
+    out = written(out, files)
+    # a row that is repeated whole stands for its class once
+    again = out.where("kept AND NOT own").groupBy("doc_id", "mark").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "mark", "first")
+    found = out
+    if not again.isEmpty():
+        found = out.join(again, ["doc_id", "mark"], "left").withColumn("kept", F.col("kept") & (F.col("first").isNull() | (F.col("first") == F.col("number"))))
+    found = found.select("doc_id", "mark", "class_id", "class_mark", "n_copies", "kept")
     for t in (sig, edges, label):
         forget(t)
     return found
@@ -412,14 +420,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = SHIN
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """docs, with one row of each class of near duplicates. Rows without doc_id stay."""
     found = near_duplicates(docs, **params)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    key = [F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")]
     mark = F.xxhash64(F.col("text").cast("string"))
-    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone_id"]) & (mark == gone["_gone_mark"]), "left_anti")
-    again = found.where("kept AND n_copies > 1 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def matching(rows, how):
+        at = rows.select(*key)
+        return docs.join(at, (docs["doc_id"].cast("long") == at["_gone_id"]) & (mark == at["_gone_mark"]), how)
+
+    rows = found.where("doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("stay"))
+    left = matching(rows.where("stay < n"), "left_anti")
+    again = rows.where("kept AND stay < n")
     if again.isEmpty():
         return left
     # rows that repeat id and text: one of them stays
-    key = again.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
-    on = (docs["doc_id"].cast("long") == key["_gone_id"]) & (mark == key["_gone_mark"])
-    first = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-    return left.join(key, on, "left_anti").unionByName(docs.join(key, on, "left_semi").groupBy("doc_id").agg(*first).select(*docs.columns))
+    place = [c.lower() for c in docs.columns].index("doc_id")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    one = matching(again, "left_semi").toDF(*names).withColumn("mark", F.xxhash64(F.col(names[[c.lower() for c in docs.columns].index("text")]).cast("string")))
+    one = one.groupBy(F.col(names[place]).cast("long").alias("id"), "mark").agg(F.first(F.struct(*names)).alias("row"))
+    return left.unionByName(one.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)]))

@@ -14,7 +14,9 @@ are passed over without decoding: the same result, for less.
 
 Edge cases: null and empty texts have no spans; spans are in code points, end exclusive;
 overlapping kinds of pattern are all kept; a span of the field that overlaps one of a
-pattern, or lacks what its kind demands (a card number's check sum, say), is left out; very long words and lines take time in proportion to their length.
+pattern, or lacks what its kind demands (a card number's check sum, say), is left out;
+very long words and lines are read whole, in time in proportion to their length; a null
+doc_id stays null; repeated rows are each searched.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Memo
+from eventloom.llm.common import Memo, ensure_importable
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS, "secret")
@@ -108,10 +110,12 @@ def _lines(text: str, active: bool):
 
 
 def _shape(word: str) -> str:
-    """The word with runs of capitals, other letters and digits as A, a and 9."""
-    word = re.sub(r"[0-9]+", "9", word[:200])
+    """The word with runs of capitals, other letters and digits as A, a and 9, runs of these
+    as "mix", and what is longer than any kind's shape as "long"."""
+    word = re.sub(r"[0-9]+", "9", word)
     word = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word)
-    return re.sub(r"(?:[aA9]){4,}", "mix", word)[:16]
+    word = re.sub(r"(?:[aA9]){4,}", "mix", word)
+    return word if len(word) <= 16 else "long"
 
 
 def features(word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -385,6 +389,7 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
 def find(docs: DataFrame, field: Crf) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (the patterns'), base_sha256 and spans (all)
     of every row. Narrow: no shuffle; the field is a few thousand numbers."""
+    ensure_importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field.index, field.weights, field.moves))
 
     def run(batches):
@@ -402,6 +407,7 @@ def find(docs: DataFrame, field: Crf) -> DataFrame:
 
 def redacted(docs: DataFrame, field: Crf) -> DataFrame:
     """docs, all rows and columns, with every span in `text` replaced; a null text stays null."""
+    ensure_importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field.index, field.weights, field.moves))
     at = [c.lower() for c in docs.columns].index("text")
 

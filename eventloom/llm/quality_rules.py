@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import SPACES, written
 
 SYMBOLS, WINDOW = "#*$%&|<>", 5
+#: Words in each stretch whose distinct words are counted: what a text repeats doesn't then depend on its length.
+STRETCH = 500
 ITERATIONS = 25
 
 
@@ -31,7 +33,8 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules read, for every row."""
+    """doc_id and the counts that the rules read, for every row; n_distinct is the sum of
+    the distinct words of stretches of STRETCH words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     chars = F.length("text")
@@ -48,7 +51,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", "word_chars", "n_symbols", "n_exclaims", "n_upper",
         n.cast("long").alias("n_words"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STRETCH)), F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("words", i + 1, STRETCH)))).cast("long").alias("n_distinct"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.col("words")[i + k] for k in range(WINDOW)]))).alias("windows"),
@@ -79,7 +82,7 @@ def votes() -> dict[str, Column]:
         "capitals": _vote(10 * c("n_upper") > 3 * c("word_chars")),
         "lines": _vote(2 * c("n_dup_lines") > c("n_lines")),
         "repeats": _vote(10 * c("n_repeat_words") > 3 * c("n_words")),
-        "variety": _vote((100 * c("n_distinct") < 15 * c("n_words")) & (c("n_words") < 20000), (10 * c("n_distinct") > 5 * c("n_words")) & (c("n_words") >= 30)),
+        "variety": _vote(100 * c("n_distinct") < 15 * c("n_words"), (10 * c("n_distinct") > 5 * c("n_words")) & (c("n_words") >= 30)),
     }
 
 

@@ -24,7 +24,9 @@ plan; a lost task is made again from the input.
 
 Edge cases: a null text has no words; texts shorter than `width` words lose nothing;
 repeated rows are occurrences of each other; order and ties can't matter, as a window is
-removed if its words start anywhere else at all; an empty table gives no rows.
+removed if its words start anywhere else at all; an empty table gives no rows; a null doc_id
+stays null. Which block a row goes to follows its place in docs: docs should be a table, which
+is read alike each time.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Rolling, binary, bucket_of, hash_words, mix, mix2, n_blocks
+from eventloom.llm.common import Rolling, binary, bucket_of, ensure_importable, hash_words, mix, mix2, n_blocks
 
 WIDTH, ROUNDS = 35, 7
 #: Stored bytes of a block: its words take some forty times that in arrays.
 BLOCK_BYTES = 2 << 20
+#: Blocks of documents for each bucket of keys: the rows between blocks and buckets stay few.
+BLOCKS_A_BUCKET = 8
 FAR = 1 << 40
 
 
@@ -189,25 +193,28 @@ def _in(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, n: int, kept: Column) -> DataFrame:
-    """kept, text and block: rows dealt into n blocks by a hash of id and text."""
+    """kept, text and block: rows dealt into n blocks. The row's number keeps rows of
+    one id and text, however many, from meeting in one block."""
+    ensure_importable(docs.sparkSession)
     text = F.col("text").cast("string")
-    block = F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(n)).cast("long")
+    block = F.pmod(F.xxhash64(F.col("doc_id"), text, F.monotonically_increasing_id()), F.lit(n)).cast("long")
     return docs.select(kept.alias("kept"), text.alias("text"), block.alias("block")).repartition(n, "block")
 
 
 def repeated(blocks: DataFrame, n: int, width: int, rounds: int) -> DataFrame:
     """bucket, block, keys: the windows of each block that start in another block as well."""
+    buckets = -(-n // BLOCKS_A_BUCKET)
 
     def first(key, table):
-        return _rows(key[0].as_py(), np.unique(Block(_texts(table), width).representatives(rounds)), n)
+        return _rows(key[0].as_py(), np.unique(Block(_texts(table), width).representatives(rounds)), buckets)
 
     def second(key, table, told):
         if not told.num_rows:
-            return _rows(0, np.empty(0, np.uint64), n)
+            return _rows(0, np.empty(0, np.uint64), buckets)
         b = Block(_texts(table), width)
         at = np.flatnonzero(_in(b.representatives(rounds), _replies(told)))
         found, where = np.unique(b.keys(at), return_index=True)
-        return _rows(key[0].as_py(), found, n, b.checks(at[where]))
+        return _rows(key[0].as_py(), found, buckets, b.checks(at[where]))
 
     grouped = blocks.groupBy("block")
     asked = grouped.applyInArrow(first, KEYS_SCHEMA)
