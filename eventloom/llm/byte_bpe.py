@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +182,11 @@ class Utf8Stream:
         return rest
 
 
+def read_ranks(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as f:
+        return {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+
+
 class TokenDecoder:
     """The machine over UTF-8 stepped by tokens: from a state (the bytes of a character that
     has begun) and an id to the text that is complete then, and the next state."""
@@ -221,48 +226,51 @@ class TokenDecoder:
 _BETWEEN = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
 
+class Chunks:
+    """Packed ids of texts by look-up in chunks that end before spaces, for patterns that
+    begin a match at every single space between two characters that are no white space,
+    nowhere include such a space later in a match, and take a space and the letters after it
+    as one match. encode packs any text's ids, match those of a text that is one match."""
+
+    def __init__(self, encode: Callable[[str], bytes], match: Callable[[str], bytes], keep: int):
+        self.encode, self.match = encode, match
+        self.first, self.word = Memo(encode, keep), Memo(self._word, keep)
+
+    def _word(self, s: str) -> bytes | None:
+        """The ids of a space and s; None where the space stands beside other white space."""
+        if s.isalpha():
+            return self.match(" " + s)
+        return None if not s or s[0].isspace() or s[-1].isspace() else self.encode(" " + s)
+
+    def packed(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        if head and not head[-1].isspace():
+            found = [self.first[head], *map(self.word.__getitem__, rest)]
+            if None not in found:
+                return b"".join(found)
+        head, *rest = _BETWEEN.split(text)  # white space of several characters
+        return b"".join([self.encode(head), *(self.encode(" " + s) for s in rest)])
+
+
 class ByteBpe:
     """Encoder and decoder of a rank file; each match of the pattern is encoded by itself.
 
-    space_starts: the pattern begins a match at every single space between two characters
-    that are no white space, nowhere includes such a space later in a match, and takes a
-    space and the letters after it as one match. Texts can then be looked up in chunks that
-    end before such spaces."""
+    space_starts: the pattern is one of those that Chunks is for."""
 
     def __init__(self, rank_file: str, pattern: str, space_starts: bool = False, keep: int = 1 << 19):
-        with open(rank_file, "rb") as f:
-            self.rank = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+        self.rank = read_ranks(rank_file)
         self.token = {i: t for t, i in self.rank.items()}
-        self.split, self.space_starts = regex.compile(pattern).findall, space_starts
+        self.split = regex.compile(pattern).findall
         self.fst, self.decoder = Transducer(self.rank), TokenDecoder(self.token)
-        self.packed = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep)
-        self.first = Memo(self._matches, keep)
-        self.word = Memo(self._word, keep)
-
-    def _word(self, s: str) -> bytes | None:
-        """The ids of a space and s; None where the space stands beside other white space."""
-        if s.isalpha():
-            return self.packed[" " + s]
-        return None if not s or s[0].isspace() or s[-1].isspace() else self._matches(" " + s)
+        self.matched = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep)
+        self.packed = Chunks(self._matches, self.matched.__getitem__, keep).packed if space_starts else self._matches
 
     def _matches(self, text: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, self.split(text)))
+        return b"".join(map(self.matched.__getitem__, self.split(text)))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.space_starts:
-            return self._matches(text)
-        head, *rest = text.split(" ")
-        if not head or head[-1].isspace():
-            found = [None]
-        else:
-            found = [self.first[head], *map(self.word.__getitem__, rest)]
-        if None in found:  # white space of several characters
-            head, *rest = _BETWEEN.split(text)
-            found = [self._matches(head), *(self._matches(" " + s) for s in rest)]
-        return b"".join(found)
+        return self.packed(text) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()

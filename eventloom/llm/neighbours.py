@@ -6,7 +6,8 @@ perturbed ones, a step up or down in some functions, in order of their estimated
 the sum of squared distances to the borders crossed. What the buckets hold is merged and
 ranked by exact distance in double precision.
 
-Equal vectors are indexed once, with the `k + 1` smallest ids that have them, which is all
+A query's vector goes once to each group of buckets that it visits there; its probes are
+pairs of numbers. Equal vectors are indexed once, with the `k + 1` smallest ids that have them, which is all
 that a result can show. A bucket of more than `part` vectors is split into parts, each a
 task's work, and its probes go to all parts. Tasks return the k nearest for each query, so
 what is exchanged after the search grows with queries, not with bucket sizes.
@@ -23,17 +24,25 @@ only where there are no more; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import binary, mix2, n_blocks, written
+from eventloom.llm.common import binary, ensure_importable, few_files, mix2, n_blocks, written
 
 TABLES, FUNCTIONS, WIDTH, PROBES, PART, SAMPLE = 10, 8, 2.0, 100, 4096, 2000
 
 
+def functions_for(vectors: int) -> int:
+    """Hash functions of a table: FUNCTIONS, and one more for each eightfold of vectors beyond
+    8192. Among more vectors the nearest are nearer, and finer buckets still hold them."""
+    return FUNCTIONS + max(0, round(math.log(max(1, vectors) / 8192, 8)))
+
+
 class Hashes:
     def __init__(self, dims: int, spread: float, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, seed: int = 17):
         rng = np.random.default_rng(seed)
@@ -81,10 +90,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1) if raw else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, part: int = PART) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, functions: int | None = None, width: float = WIDTH, probes: int = PROBES, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query; score is the distance.
 
     vectors: vec_id and embedding (array of numbers); is_query: which rows are queries."""
+    ensure_importable(vectors.sparkSession)
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & v.isNotNull() & good)
@@ -92,7 +102,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims = lengths.n
+    dims, functions = lengths.n, functions or functions_for(lengths["count"])
     rows = rows.where(F.size("v") == dims)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("v").collect()])
     spread = float(np.sqrt(((sample - sample.mean(0)) ** 2).sum(1).mean())) or float(np.sqrt((sample**2).sum(1).mean()))
@@ -115,7 +125,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         h = Hashes(dims, spread, tables, functions, width)
         for b in batches:
             raw = packed(b)
-            for q, one in zip(b.column("vec_id").to_pylist(), raw, strict=True):
+            for q, form, one in zip(b.column("query_id").to_pylist(), b.column("form").to_pylist(), raw, strict=True):
                 steps, above = h.places(np.frombuffer(one, "<f8")[None])
                 moved = np.repeat(steps, probes, axis=1)
                 count = np.zeros(tables, int)
@@ -127,14 +137,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
                             moved[t, i, m] += step
                 key = h.keys(moved)
                 keys = np.concatenate([key[t, : count[t]] for t in range(tables)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([q] * len(keys), pa.int64()), binary([one] * len(keys))], names=["key", "query_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([q] * len(keys), pa.int64()), pa.array([form] * len(keys), pa.int64())], names=["key", "query_id", "form"])
 
     same = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.select("vec_id", "v").distinct()
     first = distinct.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
     entries = first.groupBy("v").agg(F.collect_list("vec_id").alias("ids"))
     indexed = entries.mapInArrow(index, "key long, vector binary, ids array<long>")
-    asked = rows.where("asks").select("vec_id", "v").distinct().mapInArrow(ask, "key long, query_id long, vector binary")
+    # an id may ask with several vectors: form tells them apart
+    askers = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("form"), "v").distinct()
+    asked = askers.mapInArrow(ask, "key long, query_id long, form long")
     parts = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > part).select("key", F.ceil(F.col("size") / part).alias("parts"))
     split = indexed.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("vector"), F.coalesce("parts", F.lit(1))))
     spread_out = asked.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)))
@@ -146,8 +158,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         units, x, ids = left.column("unit").to_numpy(), _matrix(left.column("vector")), left.column("ids").to_pylist()
         order = np.argsort(units, kind="stable")
         units, x, ids = units[order], x[order], [ids[i] for i in order]
-        asked_units, q = right.column("unit").to_numpy(), right.column("query_id").to_numpy()
-        y = _matrix(right.column("vector"))
+        told = pc.is_valid(right.column("vector"))
+        y, right = right.filter(told), right.filter(pc.invert(told))
+        at = {pair: i for i, pair in enumerate(zip(y.column("query_id").to_pylist(), y.column("form").to_pylist(), strict=True))}
+        y, asked_units, q = _matrix(y.column("vector")), right.column("unit").to_numpy(), right.column("query_id").to_numpy()
+        at = [at[pair] for pair in zip(q.tolist(), right.column("form").to_pylist(), strict=True)]
         best: dict[int, dict[int, float]] = {}
         places = np.argsort(asked_units, kind="stable")
         cuts = np.flatnonzero(np.diff(asked_units[places], prepend=asked_units[places[0]] - 1))
@@ -158,7 +173,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
                 continue
             block = x[low:high]
             for p in places[a:b]:
-                d = np.sqrt(((block - y[p]) ** 2).sum(1))
+                d = np.sqrt(((block - y[at[p]]) ** 2).sum(1))
                 # every entry as near as the (k+1)-th has to come along, for ties by id
                 limit = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
                 mine = best.setdefault(int(q[p]), {})
@@ -170,21 +185,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = split.select(group, unit, "vector", "ids").groupBy("group").cogroup(spread_out.select(group, unit, "query_id", "vector").groupBy("group")).applyInArrow(search, "query_id long, vec_id long, score double")
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([binary(packed(b)), *[b.column(c) for c in b.schema.names if c != "v"]], names=["vector", *[c for c in b.schema.names if c != "v"]])
+
+    queries = askers.mapInArrow(pack, "vector binary, query_id long, form long")
+
+    def with_vectors(probes):
+        """Rows group, unit, query_id, form, and once a group and query its vector."""
+        once = probes.select("group", "query_id", "form").distinct().join(queries, ["query_id", "form"])
+        none = F.lit(None)
+        return probes.select("group", "unit", "query_id", "form", none.cast("binary").alias("vector")).unionByName(once.select("group", none.cast("long").alias("unit"), "query_id", "form", "vector"))
+
+    probes = with_vectors(spread_out.select(group, unit, "query_id", "form"))
+    found = split.select(group, unit, "vector", "ids").groupBy("group").cogroup(probes.groupBy("group")).applyInArrow(search, "query_id long, vec_id long, score double")
     found = written(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
     # queries with fewer than k so far: exactly, against every block of vectors
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
 
-    def pack(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([binary(packed(b)), *b.columns[1:]], names=["vector", *b.schema.names[1:]])
-
-    short = rows.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct().join(enough, "query_id", "left_anti").select("v", "query_id").mapInArrow(pack, "vector binary, query_id long")
-    short = written(short, few=True)
+    short = askers.join(enough, "query_id", "left_anti").select("query_id", "form").distinct()
+    short = written(short, few_files(vectors))
     if not short.isEmpty():
         block = F.pmod(F.xxhash64("vector"), F.lit(n)).alias("unit")
         held = entries.mapInArrow(pack, "vector binary, ids array<long>").select(block, "vector", "ids").withColumn("group", F.col("unit"))
-        everywhere = short.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("group", F.col("unit"))
+        everywhere = with_vectors(short.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("group", F.col("unit")))
         more = held.groupBy("group").cogroup(everywhere.groupBy("group")).applyInArrow(search, "query_id long, vec_id long, score double")
         found = found.union(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
+"""Best-fit packing of documents' tokens into sequences of several permitted lengths.
 
 A document longer than the largest capacity is cut into pieces of it and a rest. Pieces
 are dealt into groups by a hash; each group, a task's work, is packed by itself: pieces
@@ -14,17 +14,28 @@ Bins are found by the room they have left: a bit for each amount of room, so a p
 costs one shift. Groups hold about `group_rows` pieces however many documents there are;
 a group's last bins are all that is lost against packing everything at once.
 
-Edge cases: documents of no tokens take no room and have no row; null lengths count as
-none; repeated rows are packed each; ties in length go by id and piece.
+pack_documents plans from lengths; pack_sequences makes the sequences themselves, with the
+bounds of the documents in them. Its groups are bounded by the bytes of text as well.
+
+Edge cases: documents of no tokens take no room and have no row; null lengths and null
+texts count as none; a null doc_id stays null; repeated rows are packed each; ties in length
+go by id and piece; a text of any length is cut into pieces of the largest capacity.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.byte_bpe import Chunks, read_ranks
+from eventloom.llm.common import ensure_importable
+
 CAPACITIES, OVERHEAD, QUADRATIC, GROUP_ROWS = (512, 1024, 2048, 4096, 8192), 16, 65536, 20000
+#: Bytes of text in a group of pack_sequences, about: its tokens are one task's work.
+GROUP_BYTES = 32 << 20
 
 
 def cost(capacity: int, overhead: float = OVERHEAD, quadratic: float = QUADRATIC) -> float:
@@ -93,14 +104,82 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(key, table):
-        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        lengths = table.column("n_tokens").to_pylist()
-        where, final = pack(lengths, capacities, overhead, quadratic)
-        at, starts = [0] * len(final), []
-        for b, size in zip(where, lengths, strict=True):
-            starts.append(at[b])
-            at[b] += size
+        table, bins, final, starts = _packed(table, capacities, overhead, quadratic)
         first = key[0].as_py() << 32
-        return pa.table([*(table.column(c) for c in ("doc_id", "piece", "token_start", "n_tokens")), pa.array([first + b for b in where], pa.int64()), pa.array([final[b] for b in where], pa.int32()), pa.array(starts, pa.int64())], names=["doc_id", "piece", "token_start", "n_tokens", "bin_id", "bin_capacity", "bin_start"])
+        return pa.table([*(table.column(c) for c in ("doc_id", "piece", "token_start", "n_tokens")), pa.array([first + b for b in bins], pa.int64()), pa.array([final[b] for b in bins], pa.int32()), pa.array(starts, pa.int64())], names=["doc_id", "piece", "token_start", "n_tokens", "bin_id", "bin_capacity", "bin_start"])
 
     return dealt.groupBy("group").applyInArrow(run, "doc_id long, piece long, token_start long, n_tokens long, bin_id long, bin_capacity int, bin_start long")
+
+
+def _packed(table: pa.Table, capacities: tuple[int, ...], overhead: float, quadratic: float) -> tuple[pa.Table, list[int], list[int], list[int]]:
+    """A group's pieces in falling order, the bin and the place in it of each, and the bins' sizes."""
+    table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+    bins, final = pack(table.column("n_tokens").to_pylist(), capacities, overhead, quadratic)
+    at, starts = [0] * len(final), []
+    for b, size in zip(bins, table.column("n_tokens").to_pylist(), strict=True):
+        starts.append(at[b])
+        at[b] += size
+    return table, bins, final, starts
+
+
+_LIBRARY: dict[tuple[str, str], tuple[Chunks, np.dtype]] = {}
+
+
+def _library(rank_file: str, pattern: str) -> tuple[Chunks, np.dtype]:
+    """One library encoder a worker process, and the type that its ids fit."""
+    if (rank_file, pattern) not in _LIBRARY:
+        ranks = read_ranks(rank_file)
+        lib = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        encode = lambda s: np.array(lib.encode_ordinary(s), kind).tobytes()
+        _LIBRARY[rank_file, pattern] = Chunks(encode, encode, 1 << 19), kind
+    return _LIBRARY[rank_file, pattern]
+
+
+def pack_sequences(docs: DataFrame, rank_file: str, pattern: str, capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, quadratic: float = QUADRATIC, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """One row for each sequence: bin_id, bin_capacity, n_tokens; for the pieces in it, in
+    order, doc_ids, token_starts (where a piece begins in its document) and starts (where in
+    the sequence); and ids, the tokens. docs: doc_id, text.
+
+    Tokens are the library's, by ranks, of a pattern that byte_bpe.Chunks is for. Rows and
+    bytes of docs set the number of groups, which costs a scan of docs; tokens are exchanged once."""
+    ensure_importable(docs.sparkSession)
+    largest = max(capacities)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-size.n // group_rows), -(-(size.bytes or 0) // group_bytes))
+
+    def cut(batches):
+        chunks, kind = _library(rank_file, pattern)
+        for b in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            owner, piece, ids, sizes = [], [], [], []
+            for row, text in enumerate(b.column(1).to_pylist()):
+                raw = chunks.packed(text) if text else b""
+                for k, at in enumerate(range(0, len(raw), largest * kind.itemsize)):
+                    part = raw[at : at + largest * kind.itemsize]
+                    owner.append(row)
+                    piece.append(k)
+                    sizes.append(len(part) // kind.itemsize)
+                    ids.append(part)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "n_tokens", "ids"])
+
+    pieces = rows.mapInArrow(cut, "doc_id long, piece long, n_tokens long, ids binary")
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+
+    def run(key, table):
+        _, kind = _library(rank_file, pattern)
+        table, bins, final, starts = _packed(table, capacities, overhead, quadratic)
+        order = np.argsort(bins, kind="stable")  # pieces of a bin keep their order
+        ends = np.cumsum([0, *np.bincount(bins, minlength=len(final))]).astype(np.int32)
+        table = table.take(pa.array(order))
+        tokens = np.frombuffer(b"".join(table.column("ids").to_pylist()), kind).astype(np.int32)
+        held = np.cumsum([0, *table.column("n_tokens").to_pylist()])[ends]
+
+        def lists(bounds, values):
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values)
+
+        place = pa.array(np.asarray(table.column("piece")) * largest)
+        cols = [pa.array((key[0].as_py() << 32) + np.arange(len(final))), pa.array(final, pa.int32()), pa.array(np.diff(held), pa.int64()), lists(ends, table.column("doc_id")), lists(ends, place), lists(ends, pa.array(np.array(starts, np.int32)[order])), lists(held, pa.array(tokens))]
+        return pa.table(cols, names=["bin_id", "bin_capacity", "n_tokens", "doc_ids", "token_starts", "starts", "ids"])
+
+    return dealt.groupBy("group").applyInArrow(run, "bin_id long, bin_capacity int, n_tokens long, doc_ids array<long>, token_starts array<long>, starts array<int>, ids array<int>")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import byte_bpe, deleted_interpolation, language_id, near_duplicates, neighbours, packing, private_data, quality_rules, substring_dedup, token_counts
-from eventloom.llm.common import SPACES, id_remainder, table, written
+from eventloom.llm.common import id_remainder, table
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,11 +21,7 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # lengths in words and one end, so that no document is without length
-    text = F.coalesce("text", F.lit(""))
-    words = F.size(F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), ""))
-    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("n_tokens"))
-    return packing.pack_documents(written(lengths))
+    return packing.pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,9 +51,44 @@ def test_prefix_counts_are_exact_at_every_cut():
         counts = c.prefix_counts(s)
         assert counts.tolist() == [len(sp.encode(s[:i])) for i in range(len(s) + 1)]
         cut = token_counts.longest_prefix(counts, 5)
+        assert [c.cut(s, n) for n in (0, 2, 5, 99)] == [token_counts.longest_prefix(counts, n) for n in (0, 2, 5, 99)]
         assert len(sp.encode(s[:cut])) <= 5 and all(len(sp.encode(s[:i])) > 5 for i in range(cut + 1, len(s) + 1))
 
 
+def test_prefix_table_answers_cuts_and_budgets(docs, texts):
+    out = token_counts.prefix_table(docs, PIECES).select("doc_id", "counts", token_counts.count_of(F.col("counts"), 7).alias("of_7"), token_counts.cut_within(F.col("counts"), 8).alias("in_8"))
+    c = token_counts.counter(PIECES)
+    for i, r in by_id(out).items():
+        t = texts[i] or ""
+        assert r.counts == c.prefix_counts(t).tolist() and r.of_7 == r.counts[min(7, len(t))] and r.in_8 == c.cut(t, 8)
+
+
+def test_models_that_normalise_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PIECES, "rb") as f:
+        spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError, match="as it is"):
+        token_counts.PrefixCounter(str(tmp_path / "m.model"))
+
+
+def test_line_ends_of_a_model_without_bytes(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PIECES, "rb") as f:
+        spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    for p in spec.pieces:
+        if p.type == 6:  # bytes become ordinary pieces
+            p.type = 1
+    spec.trainer_spec.byte_fallback = False
+    (tmp_path / "m.model").write_bytes(spec.SerializeToString())
+    c, sp = token_counts.PrefixCounter(str(tmp_path / "m.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    for t in ("a\n\nb", "the\nend", "\n", "x \ny"):
+        assert c.count(t) == len(sp.encode(t))
+
+
 def test_cuts_column(docs, texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for i, row in by_id(token_counts.token_counts(docs.where("doc_id < 6"), PIECES, budgets=(8,))).items():
@@ -80,16 +115,51 @@ def test_encoding_equals_the_library_and_goes_back(docs, texts, nothing):
 
 def test_streams():
     bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    few = byte_bpe.Transducer(bpe.rank, most_states=20)  # forgets its states in the middle of a run
     r = random.Random(2)
     for _ in range(200):
         s = "".join(r.choice("thearing é你🙂xz1") for _ in range(r.randrange(1, 30)))
         data = s.encode()
         assert list(bpe.fst.stream(data)) == bpe.fst.encode(data) or data in bpe.rank
+        assert few.encode(data) == bpe.fst.encode(data)
         raw = bytes(r.randrange(256) for _ in range(9))
         machine = byte_bpe.Utf8Stream()
         assert "".join(machine.feed(raw[i : i + 1]) for i in range(9)) + machine.close() == raw.decode("utf-8", "replace")
 
 
+def test_tokens_come_after_bounded_lookahead():
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    longest = max(map(len, bpe.rank))
+    read, given = 0, 0
+
+    def bytes_of(data):
+        nonlocal read
+        for byte in data:
+            read += 1
+            yield byte
+
+    for i in bpe.fst.stream(bytes_of(b"thequickbrownfoxjumpsoverthelazydog" * 40)):
+        assert read - given <= 2 * longest
+        given += len(bpe.token[i])
+
+
+def test_chunks_give_what_whole_texts_give(texts):
+    bpe, chunks = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN), byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, True, keep=500)
+    r = random.Random(8)
+    made = ["".join(r.choice(["a", "the", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "é", "你", "1", "'s", ".", "\r\n"]) for _ in range(r.randrange(14))) for _ in range(3000)]
+    for t in [*made, *texts]:
+        assert chunks.encode(t) == bpe.encode(t)
+
+
+def test_decoding_any_ids_gives_replacements_as_bytes_do():
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(3)
+    for _ in range(500):
+        ids = [r.choice((r.randrange(256), r.randrange(50000))) for _ in range(6)]
+        raw = b"".join(bpe.token[i] for i in ids)
+        assert bpe.decode(ids) == "".join(bpe.decode_stream(ids)) == raw.decode("utf-8", "replace")
+
+
 # ---- language -------------------------------------------------------------------------
 
 
@@ -168,6 +238,48 @@ def test_one_of_each_keeps_one_row(docs, clashing):
     assert set(kept) == set(plain_classes({r.doc_id: r.text for r in docs.collect()}).values())
 
 
+def test_repeated_rows_keep_one_and_other_texts_of_an_id_stay(spark):
+    a, b = "a b c d e f g h i", "q r s t u v w x y z"
+    df = spark.createDataFrame([(5, a), (5, a), (5, b), (5, b), (8, a + " ")], "doc_id long, text string")
+    out = near_duplicates.near_duplicates(df).collect()
+    assert collections.Counter((r.class_id, r.class_mark) for r in out if r.kept) == {(5, m): 1 for m in {r.class_mark for r in out}}
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.one_of_each(df).collect()) == [(5, a), (5, b)]
+
+
+def test_chains_behind_hubs_lose_no_link(spark):
+    # in each group a hub with 40 copies, b near the hub, and a near b alone
+    items, groups = {}, 60
+    for g in range(groups):
+        hub = [f"{g}w{i}" for i in range(604)]
+        for k in range(41):
+            items[g * 100 + k] = " ".join([*hub[: 14 * k], *([f"{g}c{k}"] if k else []), *hub[14 * k + bool(k) :]])
+        near = [*hub[:591], *(f"{g}b{i}" for i in range(13))]
+        items[g * 100 + 41] = " ".join(near)
+        items[g * 100 + 42] = " ".join([*(f"{g}a{i}" for i in range(58)), *near[58:]])
+    like = lambda i, j: near_duplicates.similarity(items[i].encode(), items[j].encode())
+    assert like(0, 41) > 0.95 and 0.81 < like(41, 42) < 0.83 and like(0, 42) < 0.8
+    df = spark.createDataFrame(list(items.items()), "doc_id long, text string")
+    out = near_duplicates.near_duplicates(df).collect()
+    assert {r.doc_id: r.class_id for r in out} == {i: i - i % 100 for i in items}
+
+
+def test_recall_by_similarity(spark):
+    # pairs of each likeness that only each other could find
+    items, wanted = {}, {}
+    for g in range(300):
+        n = 104 + g % 5 * 100
+        base = [f"{g}w{i}" for i in range(n)]
+        for step, changed in enumerate((2, 5, 8, 11)):
+            cut = changed * (n - 4) // 100
+            i = 2 * (4 * g + step)
+            items[i] = " ".join(f"{step}{x}" for x in base)
+            items[i + 1] = " ".join([*(f"x{i}_{k}" for k in range(cut)), *(f"{step}{x}" for x in base[cut:])])
+            wanted[i] = near_duplicates.similarity(items[i].encode(), items[i + 1].encode())
+    assert all(s >= 0.8 for s in wanted.values()) and min(wanted.values()) < 0.81
+    out = by_id(near_duplicates.near_duplicates(spark.createDataFrame(list(items.items()), "doc_id long, text string")))
+    assert sum(out[i + 1].class_id == i for i in wanted) == len(wanted)
+
+
 def test_rows_without_id_stay(spark, docs):
     rows = [(None, "a b c d e f", None, None, None)] * 3 + [(1, "a b c d e f", None, None, None), (2, "a b c d e f", None, None, None)]
     out = near_duplicates.one_of_each(spark.createDataFrame(rows, docs.schema))
@@ -462,6 +574,35 @@ def test_scores_equal_a_plain_model(docs, texts, nothing):
     assert lm.score(docs.where("doc_id = 10"), F.lit(lm.HELD_OUT)).count() == 1
 
 
+def test_variety_does_not_depend_on_length(spark):
+    vocabulary = [f"w{i}" for i in range(2000)]
+    for few in (20, 2000):
+        rows = [(n, " ".join((vocabulary[:few] * (n // few + 1))[:n])) for n in (1990, 19990, 20010, 60000)]
+        out = quality_rules.features(spark.createDataFrame(rows, "doc_id long, text string")).select(quality_rules.votes()["variety"].alias("v")).collect()
+        assert {r.v for r in out} == {-1 if few == 20 else 1}
+
+
+def test_estimation_equals_a_plain_one(docs):
+    table = quality_rules.features(docs)
+    rules = quality_rules.votes()
+    ballots = table.select(F.array(*rules.values()).alias("ballot"))
+    prior, odds = quality_rules.estimate(ballots, len(rules))
+    x = np.array([r.ballot for r in ballots.collect()])
+    p = np.where((x == -1).any(1), 0.1, 0.9)
+
+    def model(p):
+        seen = lambda j, v, w: 0.5 + w[x[:, j] == v].sum()
+        weight = lambda j, v: math.log(seen(j, v, p) / (p.sum() + 1.5)) - math.log(seen(j, v, 1 - p) / ((1 - p).sum() + 1.5))
+        return (p.sum() + 1) / (len(p) + 2), [[min(weight(j, -1), 0.0), 0.0, max(weight(j, 1), 0.0)] for j in range(len(rules))]
+
+    for _ in range(quality_rules.ITERATIONS):
+        q, o = model(p)
+        s = np.array([math.log(q / (1 - q)) + sum(o[j][v + 1] for j, v in enumerate(row)) for row in x])
+        p = 1 / (1 + np.exp(-s))
+    q, o = model(p)
+    assert math.isclose(prior, q, rel_tol=1e-9) and np.allclose(odds, o)
+
+
 # ---- packing --------------------------------------------------------------------------
 
 
@@ -490,6 +631,48 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_is_near_the_optimum_of_all_partitions():
+    def least(lengths):
+        """The cheapest partition into bins, by trying every one."""
+        best = [math.inf]
+
+        def place(k, held):
+            if k == len(lengths):
+                best[0] = min(best[0], sum(packing.cost(min(c for c in packing.CAPACITIES if c >= h)) for h in held))
+                return
+            for b in range(len(held)):
+                if held[b] + lengths[k] <= max(packing.CAPACITIES):
+                    place(k + 1, [*held[:b], held[b] + lengths[k], *held[b + 1 :]])
+            place(k + 1, [*held, lengths[k]])
+
+        place(0, [])
+        return best[0]
+
+    r, ratios = random.Random(12), []
+    for _ in range(60):
+        lengths = sorted((r.choice((r.randrange(1, 600), r.randrange(1, 3000), r.randrange(1, 8193))) for _ in range(7)), reverse=True)
+        where, final = packing.pack(lengths)
+        held = np.bincount(where, weights=lengths)
+        assert (held <= final).all()
+        ratios.append(sum(map(packing.cost, final)) / least(lengths))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.25 and np.mean(ratios) < 1.03
+
+
+def test_sequences_hold_all_tokens_with_their_bounds(spark, docs, texts, nothing, clashing):
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    for df, rows in ((clashing, 14), (docs, packing.GROUP_ROWS)):
+        parts = collections.defaultdict(list)
+        for b in packing.pack_sequences(df, RANKS, public_tokenizers.PATTERN, capacities=(64, 256, 1024), group_rows=rows).collect():
+            assert len(b.ids) == b.n_tokens <= b.bin_capacity == min(c for c in (64, 256, 1024) if c >= b.n_tokens)
+            for i, at, first, last in zip(b.doc_ids, b.token_starts, b.starts, [*b.starts[1:], b.n_tokens], strict=True):
+                parts[i].append((at, b.ids[first:last]))
+        for i, t in enumerate(texts):
+            ids = lib.encode_ordinary(t or "")
+            want = [(at, ids[at : at + 1024]) for at in range(0, len(ids), 1024)]
+            assert sorted(parts[i]) == sorted(want * (2 if i == 1 else 1))
+    assert packing.pack_sequences(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_packing_beats_single_sizes():
     r = random.Random(4)
     lengths = sorted((r.choice([100, 700, 1500, 3000, 5000]) for _ in range(300)), reverse=True)

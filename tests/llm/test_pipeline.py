@@ -5,10 +5,11 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
-import sentencepiece
+import tiktoken
 from test_operators import plain_classes, plain_removals, words  # noqa: F401
 
 from eventloom.llm import language_id, packing, private_data
+from eventloom.llm.byte_bpe import read_ranks
 
 
 def test_stages_keep_columns_and_match_plain_versions(spark, docs, tmp_path):
@@ -39,19 +40,20 @@ def test_stages_keep_columns_and_match_plain_versions(spark, docs, tmp_path):
     for r in fourth.collect():
         assert private_data.pattern_spans(r.text) == [] and r.n_chars == len(r.text)
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.PIECES))
-    packed = steps["packing"](spark, fourth, "").collect()
-    tokens = collections.Counter()
-    for p in packed:
-        tokens[p.doc_id] += p.n_tokens
-        assert p.bin_capacity in packing.CAPACITIES
-    assert tokens == +collections.Counter({r.doc_id: len(sp.encode(r.text)) for r in fourth.collect()})
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(corpus_pipeline.RANKS)), special_tokens={})
+    parts = collections.defaultdict(list)
+    for b in steps["packing"](spark, fourth, "").collect():
+        assert b.bin_capacity in packing.CAPACITIES and len(b.ids) == b.n_tokens <= b.bin_capacity
+        for i, at, first, last in zip(b.doc_ids, b.token_starts, b.starts, [*b.starts[1:], b.n_tokens], strict=True):
+            parts[i].append((at, b.ids[first:last]))
+    got = {i: [t for _, ids in sorted(p) for t in ids] for i, p in parts.items()}
+    assert got == {r.doc_id: ids for r in fourth.collect() if (ids := lib.encode_ordinary(r.text))}
 
 
 def test_run_reads_the_table(spark, docs, tmp_path):
     docs.dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "piece", "token_start", "n_tokens", "bin_id", "bin_capacity", "bin_start"]
+    assert out.columns == ["bin_id", "bin_capacity", "n_tokens", "doc_ids", "token_starts", "starts", "ids"]
     assert out.count() > 0
 
 
