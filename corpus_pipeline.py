@@ -11,11 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import language_id, near_duplicates, packing, private_data, substring_dedup, token_counts
-from eventloom.llm.common import table, written
-from eventloom.session import ensure_importable
+from eventloom.llm import language_id, near_duplicates, packing, private_data, substring_dedup
+from eventloom.llm.common import forget, table, written
 
-PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 #: SQL can't express the stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
@@ -27,34 +26,28 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; a missing lang becomes the one found."""
-    ensure_importable(spark)
     found = language_id.predict(docs, language_id.fit(docs)).where("NOT rejected")
     return found.select(*[F.coalesce(f"row.{c}", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    ensure_importable(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that occur more than once."""
-    ensure_importable(spark)
     return _counted(substring_dedup.without_repeats(docs))
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and secrets replaced by their kinds."""
-    ensure_importable(spark)
     return _counted(private_data.redacted(docs, private_data.default_field()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, by tokens, in bins of the permitted sizes."""
-    ensure_importable(spark)
-    counts = token_counts.token_counts(docs, public_tokenizers.path(PIECES))
-    return packing.pack_documents(written(counts.select("doc_id", "n_tokens")))
+    """Sequences of the tokens of all documents, in the permitted sizes."""
+    return packing.pack_sequences(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -67,7 +60,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. The last one's input stays in the shared folder, as its result reads it;
+    eventloom.llm.common.forget_all deletes it when the result has been saved."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
