@@ -445,6 +445,22 @@ def test_field_learns_its_table_and_keeps_patterns(docs, texts, nothing):
     assert private_data.find(nothing, field).count() == 0
 
 
+def test_field_finds_what_patterns_do_not():
+    field = private_data.default_field()
+    for text, kind, found in (
+        ("from 2001:0db8:85a3:1:2:8a2e:0370:7334 on", "ip", "2001:0db8:85a3:1:2:8a2e:0370:7334"),
+        ("card 4222222222222 ok", "card", "4222222222222"),
+        ("pay 4111.1111.1111.1111 now", "card", "4111.1111.1111.1111"),
+        ("call (555) 123-4567 ok", "phone", "(555) 123-4567"),
+        ("set password=e1c093f22d3955eaac in", "secret", "e1c093f22d3955eaac"),
+    ):
+        (base, spans), word = private_data.all_spans([text], field)[0], "x" * 120000
+        assert not base and [(k, text[s:e]) for s, k, e in spans] == [(kind, found)]
+        assert [k for _, k, _ in private_data.all_spans([f"{word} 1{word}\n{text}"], field)[0][1]] == [kind]
+    clean = "a::b c++ std::vec 1::2 at 12:30:45, 4111111111111112 and 3.14 of 2024-01-12"
+    assert private_data.all_spans([clean], field) == [([], [])]
+
+
 def test_skipping_inert_lines_changes_nothing():
     field = private_data.default_field()
     assert field.skip_inert
