@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,31 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def average_ranks(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """value, count, rank of each distinct value: ranks from 1, equal values sharing the mean
+    of theirs. Values are cut into ranges at approximate quantiles; counts below are summed in
+    each range, and the ranges' totals, of which there are `parts`, are added to them. A cut
+    anywhere gives the same ranks, so quantiles need not be exact."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
+    cuts = sorted(set(counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005)))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    ranged = counts.withColumn("_range", at)
+    totals = ranged.groupBy("_range").agg(F.sum("count").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows
+    totals = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("count").over(inside), F.lit(0))
+    return ranged.withColumn("_below", below).join(totals, "_range").select(value, "count", (F.col("_before") + F.col("_below") + (F.col("count") + 1) / 2).alias("rank"))
+
+
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of df, which are the driver's to work on, or an error if there are too many."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}: too many for one matrix")
+    return rows
+
+
 def share_of(value: str, *by: str) -> Column:
     """The value over its partition's sum; 0 where that is 0."""
     total = F.sum(value).over(Window.partitionBy(*by))

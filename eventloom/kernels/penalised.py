@@ -87,20 +87,30 @@ def sparse_partial(s: np.ndarray, n: int, gamma: float = 0.5, steps: int = 40, r
     return precision_to_partial(theta), theta, float(best[1])
 
 
-def logistic_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[tuple[float, np.ndarray, float]]:
+def moments(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of rows that stand for so many each."""
+    mean = weight @ x / weight.sum()
+    return mean, np.sqrt(np.maximum(weight @ (x - mean) ** 2 / weight.sum(), 0))
+
+
+def logistic_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[float, np.ndarray, float]]:
     """(intercept, coefficients, log-likelihood) of L1-penalised logistic regressions, each
-    started from the one before: quadratic bounds, coordinate descent inside."""
-    n, p = x.shape
-    mean, sd = x.mean(0), x.std(0)
+    started from the one before: quadratic bounds, coordinate descent inside. A row may stand
+    for `weight` equal ones."""
+    p = x.shape[1]
+    h = np.ones(len(x)) if weight is None else weight.astype(float)
+    n = h.sum()
+    mean, sd = moments(x, h)
+    share = float(h @ y / n)
     z = (x - mean) / np.where(sd > 0, sd, 1)
-    b0, b = math.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9)), np.zeros(p)
+    b0, b = math.log(max(share, 1e-9) / max(1 - share, 1e-9)), np.zeros(p)
     out = []
     for lam in penalties:
         for _ in range(200):
             eta = b0 + z @ b
             mu = 1 / (1 + np.exp(-eta))
-            w = np.maximum(mu * (1 - mu), 1e-5)
-            r = (y - mu) / w  # working residual
+            own = np.maximum(mu * (1 - mu), 1e-5)
+            r, w = (y - mu) / own, h * own  # working residual
             old0, old = b0, b.copy()
             for _ in range(100):
                 moved = 0.0
@@ -110,8 +120,8 @@ def logistic_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[t
                 for k in range(p):
                     if sd[k] == 0:
                         continue
-                    a = (w * z[:, k] ** 2).mean()
-                    new = _soft((w * z[:, k] * r).mean() + a * b[k], lam) / a
+                    a = (w * z[:, k] ** 2).sum() / n
+                    new = _soft((w * z[:, k] * r).sum() / n + a * b[k], lam) / a
                     if new != b[k]:
                         r = r - z[:, k] * (new - b[k])
                         moved = max(moved, abs(new - b[k]))
@@ -121,17 +131,19 @@ def logistic_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[t
             if max(abs(b0 - old0), np.abs(b - old).max(initial=0)) < 1e-6:
                 break
         eta = b0 + z @ b
-        ll = float((y * eta - np.logaddexp(0, eta)).sum())
+        ll = float(h @ (y * eta - np.logaddexp(0, eta)))
         coef = b / np.where(sd > 0, sd, 1)
         out.append((float(b0 - (coef * mean).sum()), coef, ll))
     return out
 
 
-def linear_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def linear_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[np.ndarray, float]]:
     """Coefficients and log-likelihood of lasso regressions on standardised columns."""
-    n, p = x.shape
+    p = x.shape[1]
+    h = np.ones(len(x)) if weight is None else weight.astype(float)
+    n = h.sum()
     b, out = np.zeros(p), []
-    g, c = x.T @ x / n, x.T @ y / n
+    g, c = (x.T * h) @ x / n, (x.T * h) @ y / n
     for lam in penalties:
         for _ in range(1000):
             moved = 0.0
@@ -143,7 +155,7 @@ def linear_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> list[tup
                 b[k] = new
             if moved < 1e-8:
                 break
-        rss = float(((y - x @ b) ** 2).mean())
+        rss = float(h @ (y - x @ b) ** 2 / n)
         out.append((b.copy(), -n / 2 * (math.log(2 * math.pi * max(rss, 1e-12)) + 1)))
     return out
 
@@ -156,35 +168,43 @@ def symmetrised(m: np.ndarray, rule: str = "AND") -> np.ndarray:
     return out
 
 
-def ising(x: np.ndarray, gamma: float = 0.25, steps: int = 50, rule: str = "AND") -> np.ndarray:
-    """Couplings of 0/1 columns: each on the others, the penalty by the information criterion."""
-    n, p = x.shape
+def ising(x: np.ndarray, gamma: float = 0.25, steps: int = 50, rule: str = "AND", weight: np.ndarray | None = None) -> np.ndarray:
+    """Couplings of 0/1 columns: each on the others, the penalty by the information criterion.
+    Rows may be patterns with their counts as weights."""
+    p = x.shape[1]
+    h = np.ones(len(x)) if weight is None else weight.astype(float)
+    n = h.sum()
+    mean, sd = moments(x, h)
     out = np.zeros((p, p))
     for j in range(p):
         rest = [i for i in range(p) if i != j]
-        z = (x[:, rest] - x[:, rest].mean(0)) / np.maximum(x[:, rest].std(0), 1e-12)
-        top = np.abs(z.T @ (x[:, j] - x[:, j].mean())).max() / n
-        fits = logistic_path(x[:, rest], x[:, j], np.exp(np.linspace(math.log(top), math.log(top * 0.01), steps)))
+        z = (x[:, rest] - mean[rest]) / np.maximum(sd[rest], 1e-12)
+        top = max(1e-9, np.abs((z.T * h) @ (x[:, j] - mean[j])).max() / n)
+        fits = logistic_path(x[:, rest], x[:, j], np.exp(np.linspace(math.log(top), math.log(top * 0.01), steps)), h)
         score = [-2 * ll + (k := int((c != 0).sum())) * math.log(n) + 2 * gamma * k * math.log(max(p - 1, 1)) for _, c, ll in fits]
         out[j, rest] = fits[int(np.argmin(score))][1]
     return symmetrised(out, rule)
 
 
-def mixed(x: np.ndarray, kinds: list[str], gamma: float = 0.25, steps: int = 50, rule: str = "AND") -> np.ndarray:
+def mixed(x: np.ndarray, kinds: list[str], gamma: float = 0.25, steps: int = 50, rule: str = "AND", weight: np.ndarray | None = None) -> np.ndarray:
     """A mixed model's edges: nodewise lasso, gaussian (g) or binary (c) by column; small
     coefficients go, and an edge weighs the mean size of its two sides."""
-    n, p = x.shape
+    p = x.shape[1]
+    h = np.ones(len(x)) if weight is None else weight.astype(float)
+    n = h.sum()
     z = np.array(x, float)
+    mean, sd = moments(z, h)
     for j, kind in enumerate(kinds):
         if kind == "g":
-            z[:, j] = (z[:, j] - z[:, j].mean()) / max(z[:, j].std(ddof=1), 1e-12)
+            z[:, j] = (z[:, j] - mean[j]) / max(sd[j] * math.sqrt(n / max(n - 1, 1)), 1e-12)
+    mean = h @ z / n
     out = np.zeros((p, p))
     for j, kind in enumerate(kinds):
         rest = [i for i in range(p) if i != j]
-        d = z[:, rest] - z[:, rest].mean(0)
-        top = max(1e-9, np.abs(d.T @ (z[:, j] - z[:, j].mean())).max() / n)
+        d = z[:, rest] - mean[rest]
+        top = max(1e-9, np.abs((d.T * h) @ (z[:, j] - mean[j])).max() / n)
         grid = np.exp(np.linspace(math.log(top), math.log(top * 0.01), steps))
-        fits = [(c, ll) for _, c, ll in logistic_path(z[:, rest], z[:, j], grid)] if kind == "c" else linear_path(d, z[:, j] - z[:, j].mean(), grid)
+        fits = [(c, ll) for _, c, ll in logistic_path(z[:, rest], z[:, j], grid, h)] if kind == "c" else linear_path(d, z[:, j] - mean[j], grid, h)
         score = [-2 * ll + (k := int((c != 0).sum())) * math.log(n) + 2 * gamma * k * math.log(p - 1) for c, ll in fits]
         c = fits[int(np.argmin(score))][0]
         cut = math.sqrt(float((c**2).sum())) * math.sqrt(math.log(p - 1) / n) if p > 2 else 0.0

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import average_ranks, bounded
 from eventloom.kernels import penalised
+from eventloom.kernels.distributions import normal_sf
 
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -16,6 +19,21 @@ def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.dropna().where(~F.greatest(*[F.isnan(c).cast("int") for c in columns], F.lit(0)).cast("boolean"))
 
 
+#: Pairs of values that a rank correlation of counts takes.
+MOST_VALUES = 4000
+
+
+def kendall(cells: np.ndarray) -> float:
+    """Tau-b of rows (x, y, count)."""
+    if not len(cells):
+        return math.nan
+    x, y, n = cells.T
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    w = np.outer(n, n)
+    a, b = (w * dx * dx).sum(), (w * dy * dy).sum()
+    return float((w * dx * dy).sum() / math.sqrt(a * b)) if a and b else math.nan
+
+
 def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with a value and a variance."""
     v = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in columns]).first()
@@ -24,14 +42,20 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> tuple[np.ndarray, int]:
     """The correlation matrix of complete rows and their number: one aggregate, p * (p - 1) / 2
-    values. Spearman ranks each column first, by counts of its distinct values."""
+    values. Spearman ranks each column first, by counts of its distinct values; Kendall's
+    tau-b takes counts of pairs of values, of which there may be MOST_VALUES."""
     rows = complete(df, columns)
     if method == "spearman":
         for c in columns:
-            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_t"))
-            below = F.sum("_t").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-            ranks = counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_t") + 1) / 2).alias("_r"))
+            ranks = average_ranks(rows, c).select(c, F.col("rank").alias("_r"))
             rows = rows.join(ranks, c).drop(c).withColumnRenamed("_r", c)
+    if method == "kendall":
+        r = np.eye(len(columns))
+        for i in range(len(columns)):
+            for j in range(i):
+                cells = rows.groupBy(columns[i], columns[j]).agg(F.count(F.lit(1)).alias("n"))
+                r[i, j] = r[j, i] = kendall(np.array([tuple(x) for x in bounded(cells, MOST_VALUES, "pairs of values")], float))
+        return r, rows.count()
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
     x = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     r = np.eye(len(columns))
@@ -69,53 +93,97 @@ def lagged_grid(df: DataFrame, id_column: str, day: str, beep: str, columns: Seq
     return rows.dropna(subset=[*columns, *[f"lag_{c}" for c in columns]])
 
 
-def multilevel_lag_network(df: DataFrame, id_column: str, day: str, beep: str, columns: Sequence[str], lag: int = 1) -> dict[str, np.ndarray]:
+def panel_moments(rows: DataFrame, id_column: str, design: Sequence[str]) -> tuple[np.ndarray, list[tuple[float, float, np.ndarray, np.ndarray]]]:
+    """Sums of products of design over all rows, and for each number of rows a person can have:
+    that number, the persons, and the sums of their sums and of products of these. A random
+    intercept's likelihood needs no more, and no more leaves Spark, however many persons."""
+    d = len(design)
+    cells = [(i, j) for i in range(d) for j in range(i + 1)]
+    square = lambda x: np.array([[x[f"m{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(d)] for i in range(d)], float)
+    whole = rows.agg(*[F.sum(F.col(design[i]) * F.col(design[j])).alias(f"m{i}_{j}") for i, j in cells]).first()
+    per = rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(design)])
+    kinds = per.groupBy("n").agg(F.count(F.lit(1)).alias("persons"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in cells])
+    return square(whole), [(float(x.n), float(x.persons), np.array([x[f"s{i}"] for i in range(d)], float), square(x)) for x in kinds.orderBy("n").collect()]
+
+
+def random_intercept(whole: np.ndarray, kinds: list, x: list[int], y: int) -> dict:
+    """Maximum likelihood of y on columns x with an intercept for each person: coefficients,
+    their standard errors, residual deviation, and the ratio of variances (0 if none helps)."""
+    rows = sum(n * k for n, k, _, _ in kinds)
+
+    def fit(ratio):
+        xx, xy, yy, penalty = whole[np.ix_(x, x)].copy(), whole[x, y].copy(), whole[y, y], 0.0
+        for n, k, _, m in kinds:
+            shrink = ratio / (1 + n * ratio)
+            xx -= shrink * m[np.ix_(x, x)]
+            xy -= shrink * m[x, y]
+            yy -= shrink * m[y, y]
+            penalty += k * np.log1p(n * ratio)
+        b = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        rss = max(yy - b @ xy, 1e-300)
+        return rows * np.log(rss / rows) + penalty, b, rss, xx
+
+    low, high = -14.0, 8.0
+    for _ in range(80):
+        a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+        low, high = (low, b) if fit(np.exp(a))[0] < fit(np.exp(b))[0] else (a, high)
+    ratio = float(np.exp((low + high) / 2))
+    if fit(0.0)[0] <= fit(ratio)[0]:
+        ratio = 0.0
+    _, b, rss, xx = fit(ratio)
+    sigma2 = rss / rows
+    return {"beta": b, "se": np.sqrt(np.maximum(sigma2 * np.diag(np.linalg.pinv(xx)), 0)), "sigma": float(np.sqrt(sigma2)), "ratio": ratio}
+
+
+def multilevel_lag_network(df: DataFrame, id_column: str, day: str, beep: str, columns: Sequence[str], lag: int = 1) -> dict:
     """Temporal coefficients (outcome x predictor), contemporaneous partial correlations of
-    residuals, and partial correlations between persons.
+    residuals, partial correlations between persons, and a table of coefficients.
 
-    Each outcome's random-intercept model is fitted by its profile likelihood over the ratio
-    of variances, from sums over persons that Spark makes: nothing else is collected."""
-    rows = lagged_grid(df, id_column, day, beep, columns, lag)
-    names = [f"lag_{c}" for c in columns]
+    Each outcome is modelled on all lagged columns, centred on the person, and on the persons'
+    means of the other columns, with a random intercept. Networks: the lagged effects; the
+    residuals', persons' intercepts taken off; and, from the effects G of the means and the
+    variances v of the intercepts, what (I - G) / v says of the means. Without variance of
+    some intercept the last is 0."""
     p = len(columns)
-    design = ["one", *names, *columns]
-    rows = rows.withColumn("one", F.lit(1.0))
-    moments = [(i, j) for i in range(len(design)) for j in range(i + 1)]
-    per = rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(design[i]) * F.col(design[j])).alias(f"m{i}_{j}") for i, j in moments], *[F.sum(c).alias(f"s{i}") for i, c in enumerate(design)])
-    people = per.select("n", F.array(*[f"m{i}_{j}" for i, j in moments]).alias("m"), F.array(*[f"s{i}" for i in range(len(design))]).alias("s")).toPandas()
-    n = people.n.to_numpy(float)
-    m = np.zeros((len(n), len(design), len(design)))
-    for k, (i, j) in enumerate(moments):
-        m[:, i, j] = m[:, j, i] = [x[k] for x in people.m]
-    s = np.array(people.s.tolist())
-    whole = m.sum(0)
-    temporal, residual = np.zeros((p, p)), np.zeros((p, p))
-    coefficients = []
+    design = ["one", *[f"lag_{c}" for c in columns], *[f"mean_{c}" for c in columns], *columns]
+    whole, kinds = panel_moments(lagged_grid(df, id_column, day, beep, columns, lag).withColumn("one", F.lit(1.0)), id_column, design)
+    temporal, means, spread, table, fits = np.zeros((p, p)), np.zeros((p, p)), np.zeros(p), [], []
     for o in range(p):
-        x, y = slice(0, p + 1), p + 1 + o
-
-        def fit(ratio, x=x, y=y):
-            shrink = ratio / (1 + n * ratio)
-            xx = whole[x, x] - np.einsum("i,ia,ib->ab", shrink, s[:, x], s[:, x])
-            xy = whole[x, y] - (shrink[:, None] * s[:, x] * s[:, y : y + 1]).sum(0)
-            yy = whole[y, y] - (shrink * s[:, y] ** 2).sum()
-            b = np.linalg.lstsq(xx, xy, rcond=None)[0]
-            rss = max(yy - b @ xy, 1e-300)
-            return b, n.sum() * np.log(rss / n.sum()) + np.log1p(n * ratio).sum()
-
-        low, high = -12.0, 6.0
-        for _ in range(80):
-            a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
-            low, high = (low, b) if fit(np.exp(a))[1] < fit(np.exp(b))[1] else (a, high)
-        beta = fit(np.exp((low + high) / 2))[0]
-        coefficients.append(beta)
-        temporal[o] = beta[1:]
-    b = np.array(coefficients)
-    ys = slice(p + 1, 2 * p + 1)
-    residual = whole[ys, ys] - b @ whole[: p + 1, ys] - (b @ whole[: p + 1, ys]).T + b @ whole[: p + 1, : p + 1] @ b.T
-    means = s[:, ys] / n[:, None]
-    between = np.corrcoef(means.T) if len(n) > 2 else np.eye(p)
-    return {"temporal": temporal, "contemporaneous": penalised.precision_to_partial(np.linalg.pinv(residual / n.sum())), "between": penalised.precision_to_partial(np.linalg.pinv(between))}
+        x = [0, *range(1, p + 1), *[p + 1 + j for j in range(p) if j != o]]
+        found = random_intercept(whole, kinds, x, 2 * p + 1 + o)
+        fits.append((x, found))
+        temporal[o] = found["beta"][1 : p + 1]
+        means[o, [j for j in range(p) if j != o]] = found["beta"][p + 1 :]
+        spread[o] = found["sigma"] * math.sqrt(found["ratio"])
+        for j, c in enumerate(columns):
+            beta, se = float(found["beta"][1 + j]), float(found["se"][1 + j])
+            t = beta / se if se else math.nan
+            table.append({"outcome": columns[o], "predictor": c, "beta": beta, "se": se, "t": t, "p": float(2 * normal_sf(abs(t))), "low": beta - 1.959963984540054 * se, "high": beta + 1.959963984540054 * se})
+    # residuals as rows times contrasts, less the intercepts, which are shares of persons' sums
+    contrast = np.zeros((p, len(design)))
+    for o, (x, found) in enumerate(fits):
+        contrast[o, x] = -found["beta"]
+        contrast[o, 2 * p + 1 + o] = 1.0
+    ratios = np.array([found["ratio"] for _, found in fits])
+    products, sums, rows = contrast @ whole @ contrast.T, np.zeros(p), 0.0
+    for n, k, s, m in kinds:
+        share, own = ratios / (1 + n * ratios), contrast @ m @ contrast.T
+        products += (n * np.outer(share, share) - share[:, None] - share) * own
+        sums += (1 - n * share) * (contrast @ s)
+        rows += n * k
+    residual = products - np.outer(sums, sums) / max(rows, 1.0)
+    return {"temporal": temporal, "contemporaneous": penalised.precision_to_partial(np.linalg.pinv(residual)), "between": _between(means, spread), "coefficients": table}
+
+
+def _between(effects: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    if (spread == 0).any():
+        return np.zeros_like(effects)
+    inverse = (np.eye(len(spread)) - effects) / spread[:, None] ** 2
+    inverse = (inverse + inverse.T) / 2
+    least = np.linalg.eigvalsh(inverse).min()
+    if least < 0:  # the shift that the published estimator makes, off the diagonal too
+        inverse = inverse - least * np.eye(len(spread)) + 0.001
+    return penalised.precision_to_partial(np.linalg.pinv(np.linalg.pinv(inverse)))
 
 
 def magnitude_difference(df: DataFrame, seq: Sequence[str]) -> DataFrame:

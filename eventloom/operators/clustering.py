@@ -15,6 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import average_ranks, bounded
+from eventloom.session import ensure_importable
+
+#: Distinct sequences that are clustered by their distances, and kinds of sequences that a
+#: mixture is fitted to: their matrices are one machine's work.
+MOST_SEQUENCES, MOST_KINDS = 5000, 200000
 #: Code points that stand for states in one-character-a-state strings.
 FIRST_SYMBOL = 0x100
 
@@ -100,11 +106,12 @@ def _profile(text: Column, q: int) -> Column:
     return F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
 
 
-def distances(texts: DataFrame, kind: str = "hamming", q: int = 2, decay: float | None = None) -> DataFrame:
-    """a < b, d for all pairs of texts. The pairs are the result, so their number is the
-    caller's to bound; profiles of q-grams meet by gram first where that is enough."""
-    x, y = texts.select(F.col("text").alias("a")), texts.select(F.col("text").alias("b"))
-    both = x.join(y, F.col("a") < F.col("b"))
+def distances(texts: DataFrame, kind: str = "hamming", q: int = 2, decay: float | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """a < b, d for all pairs of texts, or, with queries (texts), a and d to each other text b
+    for each query a. The pairs are the result, so their number is the caller's to bound."""
+    ensure_importable(texts.sparkSession)
+    x, y = (texts if queries is None else queries).select(F.col("text").alias("a")), texts.select(F.col("text").alias("b"))
+    both = x.join(y, F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b"))
     if kind == "hamming":
         n = F.greatest(F.length("a"), F.length("b"))
         at = F.sequence(F.lit(1), n)
@@ -120,7 +127,7 @@ def distances(texts: DataFrame, kind: str = "hamming", q: int = 2, decay: float
     if kind in ("qgram", "cosine"):
         counts = texts.select("text", F.explode(_profile(F.col("text"), q)).alias("gram")).groupBy("text", "gram").agg(F.count(F.lit(1)).alias("c"))
         norms = counts.groupBy("text").agg(F.sum("c").alias("n"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("r"))
-        meet = counts.toDF("a", "gram", "ca").join(counts.toDF("b", "gram", "cb"), "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("least"), F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+        meet = counts.toDF("a", "gram", "ca").join(counts.toDF("b", "gram", "cb"), "gram").where("a <> b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("least"), F.sum(F.col("ca") * F.col("cb")).alias("dot"))
         full = both.join(meet, ["a", "b"], "left").join(norms.toDF("a", "na", "ra"), "a", "left").join(norms.toDF("b", "nb", "rb"), "b", "left").na.fill(0)
         d = F.col("na") + F.col("nb") - 2 * F.col("least") if kind == "qgram" else 1 - F.col("dot") / F.when(F.col("ra") * F.col("rb") == 0, 1).otherwise(F.col("ra") * F.col("rb"))
         return full.select("a", "b", d.cast("double").alias("d"))
@@ -133,6 +140,18 @@ def distances(texts: DataFrame, kind: str = "hamming", q: int = 2, decay: float
     return both.select("a", "b", run("a", "b").alias("d"))
 
 
+def distance_matrix(texts: DataFrame, kind: str = "lv") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct texts (text, n) in order, how often each is there, and their distances."""
+    rows = sorted(bounded(texts.select("text", "n"), MOST_SEQUENCES, "distinct sequences"))
+    names = [r.text for r in rows]
+    pairs = distances(texts, kind).toPandas()
+    at = pd.Series(range(len(names)), index=names)
+    d = np.zeros((len(names), len(names)))
+    i, j = at[pairs.a].to_numpy(), at[pairs.b].to_numpy()
+    d[i, j] = d[j, i] = pairs.d.to_numpy()
+    return names, np.array([r.n for r in rows]), d
+
+
 def matrix(texts: list[str], rows: list) -> np.ndarray:
     at = {t: i for i, t in enumerate(texts)}
     d = np.zeros((len(texts), len(texts)))
@@ -176,6 +195,8 @@ def linkage(d: np.ndarray, k: int, method: str = "ward.D2", weight: np.ndarray |
     m = d.astype(float).copy()
     if method in ("ward.D2", "centroid", "median"):
         m = m**2
+    if method.startswith("ward"):  # what merging so many equal ones would have made of it
+        m *= 2 * np.outer(size, size) / np.add.outer(size, size)
     np.fill_diagonal(m, np.inf)
     members = [[i] for i in range(n)]
     live = list(range(n))
@@ -251,8 +272,8 @@ def chain_mixture(counts: np.ndarray, first: np.ndarray, k: int, starts: int = 1
             best = {"log_likelihood": ll, "share": mix, "chains": p, "initial": init, "posterior": post}
     free = k * s * (s - 1) + k * (s - 1) + k - 1
     best |= {"aic": 2 * free - 2 * best["log_likelihood"], "bic": free * math.log(w.sum()) - 2 * best["log_likelihood"], "labels": best["posterior"].argmax(1)}
-    e = -(best["posterior"] * np.log(np.maximum(best["posterior"], 1e-300))).sum()
-    best["entropy"] = 1 - float(e / (n * math.log(k))) if k > 1 else 1.0
+    e = -w @ (best["posterior"] * np.log(np.maximum(best["posterior"], 1e-300))).sum(1)
+    best["entropy"] = 1 - float(e / (w.sum() * math.log(k))) if k > 1 else 1.0
     return best
 
 
@@ -301,12 +322,9 @@ def rank_test(df: DataFrame, group: str, value: str) -> dict:
     """Kruskal and Wallis' H with tie correction, its p and eta squared."""
     from eventloom.kernels.distributions import chi2_sf
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("t"))
-    # average ranks from counts of values: the ordered window runs over distinct values
-    below = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(value, "t", (F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / 2).alias("rank"))
-    g = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    ranks = average_ranks(df, value)
+    g = df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     n = sum(x.n for x in g)
-    ties = counts.agg(F.sum(F.pow("t", 3) - F.col("t"))).first()[0] or 0.0
+    ties = ranks.agg(F.sum(F.pow("count", 3) - F.col("count"))).first()[0] or 0.0
     h = (12 / (n * (n + 1)) * sum(x.r**2 / x.n for x in g) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
     return {"statistic": h, "df": len(g) - 1, "p_value": chi2_sf(h, len(g) - 1), "eta_squared": max(0.0, min(1.0, h / (n - 1)))}

@@ -15,8 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
 from eventloom.kernels.distributions import chi2_sf, hypergeometric_tails
 
+#: Distinct paths of states whose counts tests and growth take to the driver.
+MOST_GRAMS = 500_000
+
 
 def trails(df: DataFrame, seq: Sequence[str], missing: str = "close", keep: Sequence[str] = ()) -> DataFrame:
     """seq, states. missing: `close` leaves null states out, `trailing` only those at the
@@ -121,7 +125,8 @@ def markov_order(rows: DataFrame, max_order: int = 3, n_perm: int = 200, alpha:
     rng = np.random.default_rng(seed)
     for k in range(1, max_order + 1):
         tests = order_tests(rows, k).agg(F.sum("g2").alias("g2"), F.sum("df").alias("df")).first()
-        cells = grams(rows, k + 1).groupBy(F.slice("gram", 2, k - 1).alias("c"), F.col("gram")[0].alias("x"), F.element_at("gram", -1).alias("s")).count().collect()
+        cells = grams(rows, k + 1).groupBy(F.slice("gram", 2, k - 1).alias("c"), F.col("gram")[0].alias("x"), F.element_at("gram", -1).alias("s")).count()
+        cells = bounded(cells, MOST_GRAMS, "distinct paths")
         tables: dict[tuple, dict] = {}
         for r in cells:
             tables.setdefault(tuple(r.c), {})[r.x, r.s] = r["count"]
@@ -191,7 +196,8 @@ def hypa(rows: DataFrame, k: int = 2, alpha: float = 0.05, min_count: int = 5) -
     from eventloom.kernels.distributions import adjust_bh
 
     e = gram_transitions(rows, k).select(F.array_join("from", " ").alias("f"), F.concat_ws(" ", F.array_join("from", " "), F.element_at("to", -1)).alias("path"), F.array_join("to", " ").alias("t"), "count")
-    e = e.withColumn("xi", F.sum("count").over(Window.partitionBy("f")) * F.sum("count").over(Window.partitionBy("t"))).orderBy("path").collect()
+    e = e.withColumn("xi", F.sum("count").over(Window.partitionBy("f")) * F.sum("count").over(Window.partitionBy("t")))
+    e = sorted(bounded(e, MOST_GRAMS, "distinct paths"), key=lambda r: r.path)
     if not e:
         return []
     total_xi, total = sum(r.xi for r in e), sum(r["count"] for r in e)
@@ -225,7 +231,7 @@ def higher_order_rules(rows: DataFrame, max_order: int = 5, min_freq: int = 1) -
     order / log2(1 + its count); where even the largest possible divergence would not, the
     search stops."""
     table: dict[tuple, dict[str, tuple[int, float]]] = {}
-    for r in contexts(rows, max_order, min_freq).collect():
+    for r in bounded(contexts(rows, max_order, min_freq), MOST_GRAMS, "contexts; raise min_freq"):
         table.setdefault(tuple(r.context), {})[r.next] = (r["count"], r.probability)
     longer: dict[tuple, list[tuple]] = {}
     for c in table:

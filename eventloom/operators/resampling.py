@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from eventloom.kernels.distributions import adjust, beta_cdf, beta_quantile
 from eventloom.operators.transitions import pairs
+from eventloom.session import ensure_importable
 
 #: Sequences whose counts are drawn together in a task.
 BLOCK = 4096
@@ -40,6 +41,7 @@ def replicate_sums(counts: DataFrame, seq: Sequence[str], iterations: int, seed:
     A sequence's weight in a replicate is drawn in its block: blocks get multinomial shares
     of the draws (hypergeometric ones without replacement) from a generator that all tasks
     seed alike, so block totals add up exactly."""
+    ensure_importable(counts.sparkSession)
     blocks = max(1, counts.count() // BLOCK + 1)
     dealt = counts.withColumn("block", F.pmod(F.xxhash64(*seq), F.lit(blocks)).cast("int"))
     sizes = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
@@ -127,7 +129,7 @@ def permutation_table(a: np.ndarray, b: np.ndarray, states: Sequence[str], itera
     return [{"from": f, "to": t, "difference": float(observed[i, j]), "effect": float(observed[i, j] / sd[i, j]) if sd[i, j] > 0 else 0.0, "p_value": adjusted[i * n + j]} for i, f in enumerate(states) for j, t in enumerate(states)]
 
 
-def permutation_test(counts: DataFrame, seq: Sequence[str], group: str, states: Sequence[str], iterations: int = 500, seed: int = 1, method: str = "none") -> list[dict]:
+def permutation_test(counts: DataFrame, seq: Sequence[str], group: str, states: Sequence[str], iterations: int = 500, seed: int = 1, method: str = "none", transform: Callable[[np.ndarray], np.ndarray] = row_shares) -> list[dict]:
     """The same for any number of sequences: a replicate takes a random set of sequences of
     the first group's size, drawn block by block, as its first group."""
     k = len(states)
@@ -135,10 +137,10 @@ def permutation_test(counts: DataFrame, seq: Sequence[str], group: str, states:
     two = counts.where(F.col(group).isin(labels))
     sums = {r[group]: (np.array([r[f"c{i}"] for i in range(k * k)]).reshape(k, k), r.n) for r in two.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(k * k)]).collect()}
     (a, na), (b, nb) = sums[labels[0]], sums[labels[1]]
-    observed = row_shares(a) - row_shares(b)
+    observed = transform(a) - transform(b)
     rows = replicate_sums(two, seq, iterations, seed, k * k, na / (na + nb)).orderBy("replicate").collect()
     x = np.array([r.sums for r in rows]).reshape(len(rows), k, k)
-    d = row_shares(x) - row_shares((a + b)[None] - x)
+    d = np.array([transform(m) - transform(a + b - m) for m in x])
     sd = d.std(0)
     p = (1 + (np.abs(d) >= np.abs(observed) - 1e-15).sum(0)) / (iterations + 1)
     adjusted = np.array(adjust(p.reshape(-1).tolist(), method)).reshape(k, k)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.storage import forget, written
+
 
 def from_delimited(df: DataFrame, tid: str, columns: Sequence[str], separator: str) -> DataFrame:
     """Items of text columns, split at a literal separator, trimmed, empty ones left out."""
@@ -49,27 +51,49 @@ def cooccurrence(rows: DataFrame, similarity: str = "none", least: float = 0.0,
     row = F.sum("n").over(Window.partitionBy("from"))
     out = both.select("from", "to", _similarity(similarity, F.col("n"), F.col("fa"), F.col("fb"), row).alias("weight")).where((F.col("weight") >= least) & (F.col("weight") > 0))
     if top_n:
-        pairs = out.where(F.col("from") <= F.col("to")).withColumn("_r", F.rank().over(Window.orderBy(F.desc("weight")))).where(F.col("_r") <= top_n)
-        out = out.join(pairs.select(F.col("from").alias("f"), F.col("to").alias("t")), (F.least("from", "to") == F.col("f")) & (F.greatest("from", "to") == F.col("t"))).select("from", "to", "weight")
+        # the weight of the last of the top pairs, by a sort of each part's top alone; ties stay
+        top = out.where(F.col("from") <= F.col("to")).orderBy(F.desc("weight")).limit(top_n).agg(F.min("weight").alias("_least"))
+        out = out.join(F.broadcast(top), F.col("weight") >= F.col("_least")).select("from", "to", "weight")
     return out
 
 
+def _candidates(sets: DataFrame, k: int) -> DataFrame:
+    """Sets of k items made of two of `sets` that share their first k - 2, all of whose parts
+    of k - 1 items are there."""
+    head = F.slice("items", 1, k - 2) if k > 2 else F.array().cast(sets.schema["items"].dataType)
+    a, b = sets.select(head.alias("head"), F.element_at("items", -1).alias("x")), sets.select(head.alias("head"), F.element_at("items", -1).alias("y"))
+    made = a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("made"))
+    if k == 2:
+        return made.select(F.col("made").alias("items"))
+    parts = made.select("made", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.slice("made", 1, i - 1), F.slice("made", i + 1, k)))).alias("items"))
+    return parts.join(sets, "items").groupBy("made").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select(F.col("made").alias("items"))
+
+
 def frequent_itemsets(rows: DataFrame, min_support: float, max_length: int = 5) -> tuple[DataFrame, int]:
-    """items (sorted array), count of itemsets in at least min_support of all transactions,
-    level by level: candidates are joined inside transactions that still hold a frequent set."""
+    """items (sorted array), count of itemsets in at least min_support of all transactions.
+
+    Level by level: two frequent sets that differ in their last items make a candidate if all
+    its parts are frequent; transactions that hold one of the two are extended by candidates
+    alone. What a transaction holds is written once a level, in the shared folder."""
+    rows = written(rows)
     total = rows.select("tid").distinct().count()
     least = max(1, -int(-min_support * total // 1))
     single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    single = written(single)
     kept = rows.join(single.select("item"), "item", "left_semi")
     held = kept.select("tid", F.array("item").alias("items"))
-    found = single.select(F.array("item").alias("items"), "count")
-    level = found
-    for _ in range(2, max_length + 1):
-        grown = held.join(level.select("items"), "items", "left_semi").join(kept.withColumnRenamed("item", "next"), "tid").where(F.col("next") > F.element_at("items", -1))
-        held = grown.select("tid", F.concat("items", F.array("next")).alias("items"))
-        level = held.groupBy("items").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
-        if level.isEmpty():
+    found = level = single.select(F.array("item").alias("items"), "count")
+    for k in range(2, max_length + 1):
+        candidates = written(_candidates(level.select("items"), k))
+        if candidates.isEmpty():
             break
+        pairs = candidates.select(F.slice("items", 1, k - 1).alias("items"), F.element_at("items", -1).alias("next"))
+        last = held
+        held = written(held.join(pairs, "items").join(kept.withColumnRenamed("item", "next"), ["tid", "next"]).select("tid", F.concat("items", F.array("next")).alias("items")))
+        if k > 2:
+            forget(last)
+        level = written(held.groupBy("items").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least))
+        forget(candidates)
         found = found.unionByName(level)
     return found, total
 

@@ -6,11 +6,14 @@ only those that occur. A pair with a missing state on either side is no pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
+
 
 def pairs(df: DataFrame, seq: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Adjacent pairs: seq, pos, from, to. One exchange by sequence, no join."""
@@ -78,10 +81,17 @@ def co_occurrence(df: DataFrame, seq: Sequence[str], group: Sequence[str] = (),
 def attention(df: DataFrame, seq: Sequence[str], scale: float = 1.0, direction: str = "forward", time: str | None = None, decay: Callable[[Column], Column] | None = None) -> DataFrame:
     """All pairs of positions of a sequence, weighted by a decay of their distance.
 
-    With distances in positions, and the exponential decay, the sum over earlier positions
-    would allow a recurrence; the join by sequence keeps any decay and any time column."""
+    The default, exp(-distance / scale) of positions, is a sum that is carried along a
+    sequence, one for each state (see _decayed): linear in the sequence. A decay or a time
+    column of one's own takes a join by sequence, whose size is the sum of squared lengths."""
+    rows = df.where("state IS NOT NULL")
+    if decay is None and time is None:
+        ahead = _decayed(rows, seq, scale)
+        back = ahead.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight")
+        out = {"forward": ahead, "backward": back}.get(direction)
+        return ahead.union(back).groupBy("from", "to").agg(F.sum("weight").alias("weight")) if out is None else out
     at = F.col(time or "pos").cast("double")
-    rows = df.where("state IS NOT NULL").select(*seq, "pos", at.alias("t"), "state")
+    rows = rows.select(*seq, "pos", at.alias("t"), "state")
     a = rows.select(*seq, F.col("pos").alias("pa"), F.col("t").alias("ta"), F.col("state").alias("from"))
     b = rows.select(*seq, F.col("pos").alias("pb"), F.col("t").alias("tb"), F.col("state").alias("to"))
     side = {"forward": F.col("pa") < F.col("pb"), "backward": F.col("pa") > F.col("pb"), "both": F.col("pa") != F.col("pb")}[direction]
@@ -90,6 +100,34 @@ def attention(df: DataFrame, seq: Sequence[str], scale: float = 1.0, direction:
     return a.join(b, list(seq)).where(side).groupBy("from", "to").agg(F.sum(value).alias("weight"))
 
 
+def _decayed(rows: DataFrame, seq: Sequence[str], scale: float) -> DataFrame:
+    """from, to, weight: the sum of exp(-(b - a) / scale) over positions a < b.
+
+    A sequence is cut into stretches of 300 scales, in which exp(a / scale) keeps its
+    precision: a position takes the sums of earlier ones of its stretch, and those of the two
+    stretches before, each brought to its own beginning; what is further back is below the
+    least number that a double holds."""
+    states = [r.state for r in bounded(rows.select("state").distinct(), 1000, "states")]
+    width = max(1, int(300 * scale))
+    cut = F.floor(F.col("pos") / width)
+    at = rows.select(*seq, "pos", "state", cut.alias("_cut"), ((F.col("pos") - cut * width) / scale).alias("_x"))
+    earlier = Window.partitionBy(*seq, "_cut").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.coalesce(F.sum(F.when(F.col("state") == s, F.exp("_x"))).over(earlier), F.lit(0.0)).alias(f"_own{i}") for i, s in enumerate(states)]
+    inside = at.select(*seq, "state", "_cut", "_x", *own)
+    # what a stretch leaves at its end: sums of exp(-(end - a) / scale)
+    left = at.groupBy(*seq, "_cut").agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.exp(F.col("_x") - width / scale))), F.lit(0.0)).alias(f"_left{i}") for i, s in enumerate(states)])
+    one = left.select(*seq, (F.col("_cut") + 1).alias("_cut"), *[F.col(f"_left{i}") for i in range(len(states))])
+    two = left.select(*seq, (F.col("_cut") + 2).alias("_cut"), *[(F.col(f"_left{i}") * math.exp(-width / scale)).alias(f"_left{i}") for i in range(len(states))])
+    before = one.union(two).groupBy(*seq, "_cut").agg(*[F.sum(f"_left{i}").alias(f"_left{i}") for i in range(len(states))])
+    both = inside.join(before, [*seq, "_cut"], "left")
+    total = [F.sum(F.exp(-F.col("_x")) * (F.col(f"_own{i}") + F.coalesce(f"_left{i}", F.lit(0.0)))).alias(f"_w{i}") for i in range(len(states))]
+    sums = both.groupBy(F.col("state").alias("to")).agg(*total)
+    edge = F.explode(F.array(*[F.struct(F.lit(s).alias("from"), F.col(f"_w{i}").alias("weight")) for i, s in enumerate(states)])) if states else None
+    if edge is None:
+        return rows.select(F.col("state").alias("from"), F.col("state").alias("to"), F.lit(0.0).alias("weight")).limit(0)
+    return sums.select("to", edge.alias("e")).select("e.from", "to", "e.weight").where("weight > 0")
+
+
 def _long_codes(df: DataFrame, keys: Sequence[str], codes: Sequence[str], at: str) -> DataFrame:
     packed = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).cast("double").alias("x")) for c in codes]), lambda e: e["x"] != 0)
     return df.select(*keys, F.col(at).alias("window"), F.explode(packed).alias("e")).select(*keys, "window", "e.code", "e.x")

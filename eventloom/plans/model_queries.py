@@ -8,10 +8,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
 from eventloom.kernels import chains, graphs, penalised, topology
 from eventloom.operators import association as asn
 from eventloom.operators import clustering as cl
-from eventloom.operators import higher_order as ho
 from eventloom.operators import networks as nw
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
@@ -69,6 +69,22 @@ def markov_stability(spark, sf_dir):
     return spark.createDataFrame([(s, *[float(v[i]) for v in x.values()]) for i, s in enumerate(states)], "state string" + "".join(f", {k} double" for k in x))
 
 
+@register("row_entropy", f"WITH {P}, r AS (SELECT f, w / sum(w) OVER (PARTITION BY f) AS p FROM c) SELECT f AS state, round(-sum(p * log2(p)), 9) AS row_entropy FROM r GROUP BY f")
+def row_entropy(spark, sf_dir):
+    return transition_entropy(spark, sf_dir).select("state", F.round("row_entropy", 9).alias("row_entropy"))
+
+
+@register(
+    "stationary_distribution",
+    f"""WITH RECURSIVE {P}, r AS (SELECT f, t, w / sum(w) OVER (PARTITION BY f) AS p FROM c), n AS (SELECT DISTINCT f AS s FROM r),
+    v AS (SELECT 0 AS i, s, 1.0 / (SELECT count(*) FROM n) AS x FROM n UNION ALL SELECT i + 1, s, x FROM (SELECT v.i, r.t AS s, sum(v.x * r.p) AS x FROM v JOIN r ON r.f = v.s WHERE v.i < 200 GROUP BY v.i, r.t))
+    SELECT s AS state, round(x, 6) AS probability FROM v WHERE i = 200""",
+)
+def stationary_distribution(spark, sf_dir):
+    p, states = _chain(spark, sf_dir)
+    return spark.createDataFrame([(s, float(x)) for s, x in zip(states, chains.stationary(p), strict=True)], "state string, probability double").withColumn("probability", F.round("probability", 6))
+
+
 @register("transition_entropy")
 def transition_entropy(spark, sf_dir):
     p, states = _chain(spark, sf_dir)
@@ -175,42 +191,115 @@ def partial_correlation_network(spark, sf_dir):
     return _edge_rows(spark, asn.network(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS, "pcor"), ["weight"])
 
 
-def _embedding_columns(spark, sf_dir, n=8):
-    e = read_table(spark, sf_dir, "embeddings")
-    return e.select(*[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(n)]), [f"v{i}" for i in range(n)]
+THREE = NUMBERS[:3]
+_R3 = f"r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem WHERE {' AND '.join(f'{c} IS NOT NULL' for c in THREE)})"
+
+
+@register(
+    "partial_correlation_of_three",
+    f"WITH {_R3} SELECT 'l_quantity' AS from_state, 'l_extendedprice' AS to_state, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS weight FROM r UNION ALL SELECT 'l_quantity', 'l_discount', round((b - a * c) / sqrt((1 - a * a) * (1 - c * c)), 6) FROM r UNION ALL SELECT 'l_extendedprice', 'l_discount', round((c - a * b) / sqrt((1 - a * a) * (1 - b * b)), 6) FROM r",
+)
+def partial_correlation_of_three(spark, sf_dir):
+    rows = asn.network(read_table(spark, sf_dir, "lineitem").select(*THREE), THREE, "pcor")
+    return _edge_rows(spark, rows, ["weight"]).withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    "predictability_of_three",
+    f"WITH {_R3} SELECT 'l_quantity' AS node, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2 FROM r UNION ALL SELECT 'l_extendedprice', round((a * a + c * c - 2 * a * b * c) / (1 - b * b), 6) FROM r UNION ALL SELECT 'l_discount', round((b * b + c * c - 2 * a * b * c) / (1 - a * a), 6) FROM r",
+)
+def predictability_of_three(spark, sf_dir):
+    r, _ = asn.correlations(read_table(spark, sf_dir, "lineitem").select(*THREE), THREE)
+    return spark.createDataFrame([(c, float(x)) for c, x in zip(THREE, penalised.predictability(np.linalg.inv(r)), strict=True)], "node string, r2 double").withColumn("r2", F.round("r2", 6))
+
+
+_RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in NUMBERS)
+
+
+@register("rank_correlation_network", f"WITH k AS (SELECT {_RANKED} FROM lineitem WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NUMBERS)}) " + " UNION ALL ".join(f"SELECT '{b}' AS from_state, '{a}' AS to_state, round(corr({a}, {b}), 6) AS weight FROM k" for a, b in _PAIRS))
+def rank_correlation_network(spark, sf_dir):
+    rows = asn.network(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS, "cor", cor_method="spearman")
+    return _edge_rows(spark, rows, ["weight"]).withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    "concordance_network",
+    """WITH c AS (SELECT l_discount AS x, l_tax AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT a.n * b.n AS w, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM c a CROSS JOIN c b) SELECT 'l_discount' AS from_state, 'l_tax' AS to_state, round(sum(w * dx * dy) / sqrt(sum(w * dx * dx) * sum(w * dy * dy)), 6) AS weight FROM p""",
+)
+def concordance_network(spark, sf_dir):
+    names = ["l_discount", "l_tax"]
+    rows = asn.network(read_table(spark, sf_dir, "lineitem").select(*names), names, "cor", cor_method="kendall")
+    return _edge_rows(spark, rows, ["weight"]).withColumn("weight", F.round("weight", 6))
+
+
+def _order_measures(spark, sf_dir):
+    """Each order's lines, those returned, and sums over them: numbers that go together."""
+    li = read_table(spark, sf_dir, "lineitem")
+    back = F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("returned")
+    per = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("double").alias("lines"), back, F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"))
+    return per.drop("l_orderkey"), ["lines", "returned", "quantity", "price"]
+
+
+_MEASURES = "o AS (SELECT CAST(count(*) AS DOUBLE) AS lines, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS returned, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price FROM lineitem GROUP BY l_orderkey)"
+_MEASURED = ["lines", "returned", "quantity", "price"]
+
+
+@register("order_correlations", f"WITH {_MEASURES} " + " UNION ALL ".join(f"SELECT '{b}' AS from_state, '{a}' AS to_state, round(corr({a}, {b}), 6) AS weight FROM o" for i, a in enumerate(_MEASURED) for b in _MEASURED[:i]))
+def order_correlations(spark, sf_dir):
+    df, columns = _order_measures(spark, sf_dir)
+    return _edge_rows(spark, asn.network(df, columns, "cor"), ["weight"]).withColumn("weight", F.round("weight", 6))
 
 
 @register("glasso_network")
 def glasso_network(spark, sf_dir):
-    df, columns = _embedding_columns(spark, sf_dir)
+    df, columns = _order_measures(spark, sf_dir)
     return _edge_rows(spark, asn.network(df, columns, "glasso"), ["weight"])
 
 
+def _patterns(spark, sf_dir):
+    """Which states a sequence has, as 0/1 columns, and how many sequences have just these."""
+    hot = event_sequences(spark, sf_dir).groupBy(*SEQ).agg(*[F.max((F.col("state") == x).cast("int")).alias(x) for x in DAY_STATES])
+    return hot.groupBy(*DAY_STATES).agg(F.count(F.lit(1)).alias("n"))
+
+
+_HOT = ", ".join(f"CAST(max(CASE WHEN state = '{x}' THEN 1 ELSE 0 END) AS INTEGER) AS {x}" for x in DAY_STATES)
+
+
+@register("presence_patterns", f"WITH {S}, hot AS (SELECT user_id, session, {_HOT} FROM s GROUP BY user_id, session) SELECT {', '.join(DAY_STATES)}, count(*) AS n FROM hot GROUP BY {', '.join(DAY_STATES)}")
+def presence_patterns(spark, sf_dir):
+    return _patterns(spark, sf_dir)
+
+
 @register("ising_network")
 def ising_network(spark, sf_dir):
-    s = event_sequences(spark, sf_dir)
-    hot = s.groupBy(*SEQ).agg(*[F.max((F.col("state") == x).cast("int")).alias(x) for x in DAY_STATES])
-    # patterns with counts are all that the model needs, but a bounded sample keeps its path simple
-    x = np.array([[r[c] for c in DAY_STATES] for r in hot.orderBy(F.xxhash64(*SEQ)).limit(1000).collect()], float)
-    w = penalised.ising(x, steps=20)
+    rows = bounded(_patterns(spark, sf_dir), 1 << len(DAY_STATES), "patterns")
+    x = np.array([list(r) for r in sorted(rows)], float)
+    w = penalised.ising(x[:, :-1], steps=20, weight=x[:, -1])
     rows = [{"from": DAY_STATES[j], "to": DAY_STATES[i], "weight": w[i, j]} for i in range(len(w)) for j in range(i)]
     return _edge_rows(spark, rows, ["weight"])
 
 
 @register("mixed_network")
 def mixed_network(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").select(*NUMBERS, (F.col("l_returnflag") == "R").cast("double").alias("returned"))
-    x = np.array([list(r) for r in li.dropna().orderBy(F.xxhash64(*NUMBERS)).limit(1500).collect()], float)
-    w = penalised.mixed(x, ["g"] * 4 + ["c"], steps=20)
-    names = [*NUMBERS, "returned"]
-    return _edge_rows(spark, [{"from": names[j], "to": names[i], "weight": w[i, j]} for i in range(5) for j in range(i)], ["weight"])
+    # an order has few lines, so combinations of their numbers and of the flag are few too
+    names = ["suppliers", "open", "accepted", "returned"]
+    line = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, 1.0).otherwise(0.0))
+    li = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").cast("double").alias("suppliers"), line("N").alias("open"), line("A").alias("accepted"), (line("R") > 0).cast("double").alias("returned"))
+    x = np.array([list(r) for r in sorted(bounded(li.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), 20000, "combinations of values"))], float)
+    w = penalised.mixed(x[:, :-1], ["g"] * 3 + ["c"], steps=20, weight=x[:, -1])
+    return _edge_rows(spark, [{"from": names[j], "to": names[i], "weight": w[i, j]} for i in range(4) for j in range(i)], ["weight"])
 
 
 @register("predictability")
 def predictability(spark, sf_dir):
-    df, columns = _embedding_columns(spark, sf_dir)
-    r, _ = asn.correlations(df, columns)
-    return spark.createDataFrame([(c, float(x)) for c, x in zip(columns, penalised.predictability(np.linalg.inv(r)), strict=True)], "node string, r2 double")
+    r, _ = asn.correlations(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS)
+    return spark.createDataFrame([(c, float(x)) for c, x in zip(NUMBERS, penalised.predictability(np.linalg.inv(r)), strict=True)], "node string, r2 double")
+
+
+def _embedding_columns(spark, sf_dir, n=6):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(*[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(n)]), [f"v{i}" for i in range(n)]
 
 
 @register("multilevel_between", "SELECT user_id, round(avg(value), 6) AS value FROM events GROUP BY user_id")
@@ -246,10 +335,16 @@ def lagged_grid(spark, sf_dir):
 def multilevel_lag_network(spark, sf_dir):
     names = ["value", "size"]
     x = asn.multilevel_lag_network(_panel(spark, sf_dir), "person", "day", "beep", names)
-    rows = [(kind, a, b, float(m[i, j])) for kind, m in x.items() for i, a in enumerate(names) for j, b in enumerate(names)]
+    rows = [(kind, a, b, float(x[kind][i, j])) for kind in ("temporal", "contemporaneous", "between") for i, a in enumerate(names) for j, b in enumerate(names)]
     return spark.createDataFrame(rows, "network string, outcome string, predictor string, weight double")
 
 
+@register("multilevel_coefficients")
+def multilevel_coefficients(spark, sf_dir):
+    x = asn.multilevel_lag_network(_panel(spark, sf_dir), "person", "day", "beep", ["value", "size"])
+    return spark.createDataFrame([tuple(r.values()) for r in x["coefficients"]], "outcome string, predictor string, beta double, se double, t double, p double, low double, high double")
+
+
 @register("magnitude_difference", f"WITH {P} SELECT f AS from_state, t AS to_state, round(w / max(w) OVER (), 9) AS count_share, round(w / sum(w) OVER (PARTITION BY f), 9) AS probability, round(abs(w / max(w) OVER () - w / sum(w) OVER (PARTITION BY f)), 9) AS difference FROM c")
 def magnitude_difference(spark, sf_dir):
     out = asn.magnitude_difference(event_sequences(spark, sf_dir), SEQ)
@@ -314,33 +409,63 @@ def vertex_bootstrap(spark, sf_dir):
 # ---- clusters -------------------------------------------------------------------------
 
 
+QUARTERS = ["1", "2", "3", "4", "5", "-"]
+
+
+def _quarters(spark, sf_dir):
+    """Customers as sequences of four: their commonest order priority in each quarter of a
+    year, or none. There are 6 ** 4 kinds of these however many customers there are."""
+    o = read_table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL")
+    n = o.groupBy("o_custkey", F.quarter("o_orderdate").alias("pos"), F.substring("o_orderpriority", 1, 1).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("o_custkey", "pos").agg(F.min(F.struct(-F.col("n"), "state")).alias("top")).select("o_custkey", "pos", "top.state")
+    wide = best.groupBy("o_custkey").agg(*[F.coalesce(F.max(F.when(F.col("pos") == k, F.col("state"))), F.lit("-")).alias(f"q{k}") for k in range(1, 5)])
+    return wide.select("o_custkey", F.concat("q1", "q2", "q3", "q4").alias("text"))
+
+
 def _texts(spark, sf_dir):
-    rows = ho.trails(event_sequences(spark, sf_dir).where("user_id < 12"), SEQ)
-    return cl.as_strings(rows, SEQ, DAY_STATES)
+    return _quarters(spark, sf_dir).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
 
+_QUARTERS = """m AS (SELECT o_custkey, quarter(o_orderdate) AS pos, substr(o_orderpriority, 1, 1) AS state, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL),
+b AS (SELECT o_custkey, pos, state FROM m QUALIFY row_number() OVER (PARTITION BY o_custkey, pos ORDER BY n DESC, state) = 1),
+w AS (SELECT o_custkey, concat(coalesce(max(state) FILTER (WHERE pos = 1), '-'), coalesce(max(state) FILTER (WHERE pos = 2), '-'), coalesce(max(state) FILTER (WHERE pos = 3), '-'), coalesce(max(state) FILTER (WHERE pos = 4), '-')) AS x FROM b GROUP BY o_custkey),
+q AS (SELECT x, count(*) AS n FROM w GROUP BY x)"""
 
-_STR = "q AS (SELECT DISTINCT string_agg(CASE state WHEN 'click' THEN 'Ā' WHEN 'error' THEN 'ā' WHEN 'purchase' THEN 'Ă' WHEN 'signup' THEN 'ă' ELSE 'Ą' END, '' ORDER BY pos) AS x FROM s WHERE user_id < 12 GROUP BY user_id, session)"
 
+@register("distinct_sequences", f"WITH {_QUARTERS} SELECT x AS text, n FROM q")
+def distinct_sequences(spark, sf_dir):
+    return _texts(spark, sf_dir)
 
-@register("distance_levenshtein", f"WITH {S}, {_STR} SELECT a.x AS a, b.x AS b, CAST(levenshtein(replace(replace(replace(replace(replace(a.x, 'Ā', 'a'), 'ā', 'b'), 'Ă', 'c'), 'ă', 'd'), 'Ą', 'e'), replace(replace(replace(replace(replace(b.x, 'Ā', 'a'), 'ā', 'b'), 'Ă', 'c'), 'ă', 'd'), 'Ą', 'e')) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x")
+
+@register("distance_levenshtein", f"WITH {_QUARTERS} SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x")
 def distance_levenshtein(spark, sf_dir):
     return cl.distances(_texts(spark, sf_dir), "lv")
 
 
-@register(
-    "distance_hamming",
-    f"WITH {S}, {_STR} SELECT a.x AS a, b.x AS b, CAST(list_sum([CASE WHEN substr(a.x, i, 1) <> substr(b.x, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, greatest(length(a.x), length(b.x)) + 1)]) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x",
-)
+@register("distance_hamming", f"WITH {_QUARTERS} SELECT a.x AS a, b.x AS b, CAST(hamming(a.x, b.x) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x")
 def distance_hamming(spark, sf_dir):
     return cl.distances(_texts(spark, sf_dir), "hamming")
 
 
-_GRAMS = _STR + ", gr AS (SELECT x, substr(x, i, 2) AS gram, count(*) AS c FROM (SELECT x, unnest(range(1, length(x))) AS i FROM q) GROUP BY ALL)"
+_PAIR_GRAMS = _QUARTERS + ", gr AS (SELECT x, substr(x, i, 2) AS gram, count(*) AS c FROM (SELECT x, unnest(range(1, length(x))) AS i FROM q) GROUP BY ALL)"
+
+
+@register("distance_jaccard", f"WITH {_PAIR_GRAMS}, l AS (SELECT x, list(gram) AS g FROM gr GROUP BY x) SELECT a.x AS a, b.x AS b, round(1 - len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) AS d FROM l a JOIN l b ON a.x < b.x")
+def distance_jaccard(spark, sf_dir):
+    return cl.distances(_texts(spark, sf_dir), "jaccard").withColumn("d", F.round("d", 9))
+
+
+@register(
+    "distance_cosine",
+    f"WITH {_PAIR_GRAMS}, n AS (SELECT x, sqrt(sum(c * c)) AS r FROM gr GROUP BY x), mm AS (SELECT a.x AS a, b.x AS b, sum(a.c * b.c) AS k FROM gr a JOIN gr b ON a.gram = b.gram AND a.x < b.x GROUP BY 1, 2) SELECT u.x AS a, v.x AS b, round(1 - coalesce(k, 0) / (u.r * v.r), 6) + 0.0 AS d FROM n u JOIN n v ON u.x < v.x LEFT JOIN mm ON mm.a = u.x AND mm.b = v.x",
+)
+def distance_cosine(spark, sf_dir):
+    return cl.distances(_texts(spark, sf_dir), "cosine").withColumn("d", F.round("d", 6) + 0.0)
 
 
 @register(
     "distance_qgram",
-    f"WITH {S}, {_GRAMS}, n AS (SELECT x, sum(c) AS n FROM gr GROUP BY x), m AS (SELECT a.x AS a, b.x AS b, sum(least(a.c, b.c)) AS k FROM gr a JOIN gr b ON a.gram = b.gram AND a.x < b.x GROUP BY 1, 2) SELECT a.x AS a, b.x AS b, CAST(coalesce(na.n, 0) + coalesce(nb.n, 0) - 2 * coalesce(m.k, 0) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x LEFT JOIN n na ON na.x = a.x LEFT JOIN n nb ON nb.x = b.x LEFT JOIN m ON m.a = a.x AND m.b = b.x",
+    f"WITH {_PAIR_GRAMS}, n AS (SELECT x, sum(c) AS n FROM gr GROUP BY x), mm AS (SELECT a.x AS a, b.x AS b, sum(least(a.c, b.c)) AS k FROM gr a JOIN gr b ON a.gram = b.gram AND a.x < b.x GROUP BY 1, 2) SELECT a.x AS a, b.x AS b, CAST(coalesce(na.n, 0) + coalesce(nb.n, 0) - 2 * coalesce(mm.k, 0) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x LEFT JOIN n na ON na.x = a.x LEFT JOIN n nb ON nb.x = b.x LEFT JOIN mm ON mm.a = a.x AND mm.b = b.x",
 )
 def distance_qgram(spark, sf_dir):
     return cl.distances(_texts(spark, sf_dir), "qgram")
@@ -348,9 +473,8 @@ def distance_qgram(spark, sf_dir):
 
 @register("distance_edit")
 def distance_edit(spark, sf_dir):
-    texts = _texts(spark, sf_dir).cache()
-    out = None
-    for kind in ("osa", "dl", "lcs", "jw", "cosine", "jaccard"):
+    texts, out = _texts(spark, sf_dir), None
+    for kind in ("osa", "dl", "lcs", "jw"):
         part = cl.distances(texts, kind).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
@@ -358,10 +482,7 @@ def distance_edit(spark, sf_dir):
 
 @register("build_clusters")
 def build_clusters(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    rows = texts.orderBy("text").collect()
-    names, weight = [r.text for r in rows], np.array([r.n for r in rows])
-    d = cl.matrix(names, cl.distances(texts, "lv").collect())
+    names, weight, d = cl.distance_matrix(_texts(spark, sf_dir))
     _, pam = cl.pam(d, 3, weight)
     ward = cl.linkage(d, 3, "ward.D2", weight)
     s = cl.silhouette(d, pam, weight)
@@ -370,10 +491,7 @@ def build_clusters(spark, sf_dir):
 
 @register("cluster_choice")
 def cluster_choice(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    rows = texts.orderBy("text").collect()
-    weight = np.array([r.n for r in rows])
-    d = cl.matrix([r.text for r in rows], cl.distances(texts, "lv").collect())
+    _, weight, d = cl.distance_matrix(_texts(spark, sf_dir))
     out = []
     for k in (2, 3, 4):
         for method in ("pam", "ward.D2", "average", "complete"):
@@ -385,7 +503,7 @@ def cluster_choice(spark, sf_dir):
 
 @register("mixture_model")
 def mixture_model(spark, sf_dir):
-    rows = cl.mixture_counts(event_sequences(spark, sf_dir), SEQ, DAY_STATES).orderBy("first", "counts").collect()
+    rows = sorted(bounded(cl.mixture_counts(event_sequences(spark, sf_dir), SEQ, DAY_STATES), cl.MOST_KINDS, "kinds of sequences"))
     n = len(DAY_STATES)
     counts, first = np.array([r.counts for r in rows]).reshape(-1, n, n), np.array([DAY_STATES.index(r.first) for r in rows])
     out = []

@@ -14,8 +14,8 @@ from eventloom.operators import resampling as rs
 from eventloom.operators import sequences as sq
 from eventloom.operators import transactions as ta
 from eventloom.operators import transitions as tr
-from eventloom.plans.model_queries import _chain, _complex, _counts, _edge_rows, _matrix
-from eventloom.plans.network_queries import _TWO, _two
+from eventloom.plans.model_queries import _chain, _complex, _counts, _edge_rows, _matrix, _quarters
+from eventloom.plans.network_queries import _RULES, _TWO, _two
 from eventloom.plans.sequence_queries import _T, DAY_STATES, SEQ, P, S, _wide_turns, event_sequences
 from eventloom.registry import register
 from eventloom.session import read_table
@@ -89,10 +89,7 @@ def random_path_betweenness(spark, sf_dir):
 
 @register("edge_betweenness_test")
 def edge_betweenness_test(spark, sf_dir):
-    rows = _counts(spark, sf_dir, True).orderBy(*SEQ).collect()
-    k = len(DAY_STATES)
-    a, b = (np.array([r.counts for r in rows if r.grp == g]).reshape(-1, k, k) for g in (0, 1))
-    out = rs.permutation_table(a, b, DAY_STATES, 30, transform=lambda m: graphs.edge_betweenness(rs.row_shares(m)))
+    out = rs.permutation_test(_counts(spark, sf_dir, True), SEQ, "grp", DAY_STATES, 30, transform=lambda m: graphs.edge_betweenness(rs.row_shares(m)))
     return _edge_rows(spark, out, ["difference", "effect", "p_value"])
 
 
@@ -117,15 +114,12 @@ def rs_normal(z):
 @register("cluster_network")
 def cluster_network(spark, sf_dir):
     """Sequences grouped by distance, then a network for each group."""
-    rows = ho.trails(event_sequences(spark, sf_dir).where("user_id < 12"), SEQ)
-    texts = cl.as_strings(rows, SEQ, DAY_STATES)
-    found = texts.orderBy("text").collect()
-    names, weight = [r.text for r in found], np.array([r.n for r in found])
-    labels = cl.linkage(cl.matrix(names, cl.distances(texts, "lv").collect()), 2, "ward.D2", weight)
+    rows = _quarters(spark, sf_dir)
+    names, weight, d = cl.distance_matrix(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")))
+    labels = cl.linkage(d, 2, "ward.D2", weight)
     of = spark.createDataFrame([(t, int(k)) for t, k in zip(names, labels, strict=True)], "text string, cluster int")
-    code = F.create_map(*[x for i, s in enumerate(DAY_STATES) for x in (F.lit(s), F.lit(chr(cl.FIRST_SYMBOL + i)))])
-    keyed = rows.withColumn("text", F.array_join(F.transform("states", lambda x: code[x]), "")).join(of, "text").select(*SEQ, "cluster")
-    e = tr.relative(event_sequences(spark, sf_dir).join(keyed, SEQ), SEQ, ["cluster"])
+    long = rows.join(F.broadcast(of), "text").select("o_custkey", "cluster", F.posexplode(F.split("text", "")).alias("pos", "state")).where("state <> ''")
+    e = tr.relative(long.withColumn("state", F.when(F.col("state") != "-", F.col("state"))), ["o_custkey"], ["cluster"])
     return e.select("cluster", F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
 
 
@@ -179,11 +173,11 @@ def simplicial_degree(spark, sf_dir):
     return spark.createDataFrame([(s, *[int(x) for x in row]) for s, row in zip(states, d, strict=True)], "state string" + "".join(f", d{i} int" for i in range(d.shape[1])))
 
 
-@register("rule_pathways")
+@register("rule_pathways", f"WITH {_RULES.split('SELECT array_to_string(lhs')[0].rstrip()}, z AS (SELECT lhs, rhs, k / ka AS conf, (k / ka) / (kb / total) AS lift, list_sort(list_concat(lhs, rhs)) AS items FROM v WHERE k / ka >= 0.3), y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY items ORDER BY lift DESC, conf DESC, lhs) = 1) SELECT array_to_string(lhs, ' ') || ' -> ' || array_to_string(rhs, ' ') AS path, round(lift, 9) AS lift, round(conf, 9) AS confidence FROM y")
 def rule_pathways(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return ta.rule_pathways(ta.association_rules(ta.from_long(lines.join(parts, "l_partkey"), "l_orderkey", "p_type"), 0.05, 0.3, 0.0, 3))
+    return ta.rule_pathways(ta.association_rules(ta.from_long(lines.join(parts, "l_partkey"), "l_orderkey", "p_type"), 0.05, 0.3, 0.0, 3)).withColumns({c: F.round(c, 9) for c in ("lift", "confidence")})
 
 
 @register("pathways")

@@ -6,8 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import average_ranks, bounded
 from eventloom.kernels import chains, distributions, graphs, penalised, topology
+from eventloom.operators import association, transitions
 from eventloom.operators import clustering as cl
 from eventloom.operators import higher_order as ho
 from eventloom.operators import hypergraphs as hg
@@ -266,3 +269,101 @@ def test_likeness():
     m = np.random.default_rng(0).random((4, 4))
     assert likeness.distance_correlation(m, 2 * m + 1) == pytest.approx(1) and likeness.rv(m, 3 * m) == pytest.approx(1)
     assert likeness.distance_correlation(m, np.ones((4, 4))) == 0
+
+
+@pytest.mark.parametrize("method", ["ward.D", "ward.D2", "single", "complete", "average", "mcquitty", "centroid"])
+def test_weighted_linkage_equals_expanded_duplicates(method):
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        x = r.random((9, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        weight = r.integers(1, 5, 9) if method not in ("mcquitty",) else np.ones(9, int)
+        of = np.repeat(np.arange(9), weight)
+        for k in (2, 3, 4):
+            few, many = cl.linkage(d, k, method, weight), cl.linkage(d[np.ix_(of, of)], k, method)
+            assert {frozenset(np.flatnonzero(few[of] == c)) for c in range(k)} == {frozenset(np.flatnonzero(many == c)) for c in range(k)}
+
+
+def test_weighted_mixture_equals_expanded_duplicates():
+    r = np.random.default_rng(2)
+    counts, first, weight = r.integers(0, 6, (12, 3, 3)).astype(float), r.integers(0, 3, 12), r.integers(1, 4, 12)
+    # one component has no random start, so all its figures must agree; with two, the same parameters must
+    few, many = cl.chain_mixture(counts, first, 1, weight=weight), cl.chain_mixture(np.repeat(counts, weight, 0), np.repeat(first, weight), 1)
+    assert all(math.isclose(few[k], many[k], rel_tol=1e-9) for k in ("log_likelihood", "aic", "bic", "entropy"))
+    few, many = cl.chain_mixture(counts, first, 2, 20, 2000, 1e-10, weight=weight), cl.chain_mixture(np.repeat(counts, weight, 0), np.repeat(first, weight), 2, 20, 2000, 1e-10)
+    assert all(math.isclose(few[k], many[k], rel_tol=1e-4) for k in ("log_likelihood", "aic", "bic", "entropy"))
+
+
+def test_weighted_sparse_models_equal_expanded_duplicates():
+    r = np.random.default_rng(5)
+    x = (r.random((40, 4)) < 0.5).astype(float)
+    x[:, 1] = np.where(r.random(40) < 0.8, x[:, 0], x[:, 1])
+    weight = r.integers(1, 6, 40)
+    many = np.repeat(x, weight, 0)
+    assert np.allclose(penalised.ising(x, weight=weight, steps=15), penalised.ising(many, steps=15), atol=1e-5)
+    z = np.column_stack([r.standard_normal(40), x[:, 0] + 0.3 * r.standard_normal(40), x[:, 0]])
+    assert np.allclose(penalised.mixed(z, ["g", "g", "c"], weight=weight, steps=15), penalised.mixed(np.repeat(z, weight, 0), ["g", "g", "c"], steps=15), atol=1e-5)
+
+
+def test_multilevel_model_is_the_maximum_of_the_dense_likelihood(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for person in range(14):
+        level, last = r.standard_normal(2) * 1.5, np.zeros(2)
+        for beep in range(int(r.integers(8, 20))):
+            last = level + np.array([[0.4, 0.1], [-0.2, 0.3]]) @ (last - level) + r.standard_normal(2)
+            rows.append((person, 1, beep, float(last[0]), float(last[1])))
+    df = spark.createDataFrame(rows, "id int, day int, beep int, a double, b double")
+    found = association.multilevel_lag_network(df, "id", "day", "beep", ["a", "b"])
+    t = association.lagged_grid(df, "id", "day", "beep", ["a", "b"]).orderBy("id", "day", "beep").toPandas()
+    who = (t.id.to_numpy()[:, None] == t.id.to_numpy()).astype(float)
+    residual, sd, effects = [], [], np.zeros((2, 2))
+    for o, (y, other) in enumerate((("a", "b"), ("b", "a"))):
+        x, v = np.column_stack([np.ones(len(t)), t.lag_a, t.lag_b, t[f"mean_{other}"]]), t[y].to_numpy()
+
+        def fit(ratio, x=x, v=v):
+            inv = np.linalg.inv(np.eye(len(v)) + ratio * who)
+            b = np.linalg.solve(x.T @ inv @ x, x.T @ inv @ v)
+            e = v - x @ b
+            s2 = e @ inv @ e / len(v)
+            return len(v) * math.log(s2) - np.linalg.slogdet(inv)[1], b, e - ratio * who @ inv @ e, s2, inv
+
+        ratio = min(np.exp(np.linspace(-8, 6, 400)), key=lambda q: fit(q)[0])
+        ratio = min(ratio * np.exp(np.linspace(-0.04, 0.04, 81)), key=lambda q: fit(q)[0])
+        _, b, e, s2, inv = fit(ratio)
+        residual.append(e)
+        sd.append(math.sqrt(s2 * ratio))
+        effects[o, 1 - o] = b[3]
+        assert np.allclose(found["temporal"][o], b[1:3], atol=1e-3)
+        se = np.sqrt(s2 * np.diag(np.linalg.inv(x.T @ inv @ x)))
+        assert np.allclose([r["se"] for r in found["coefficients"] if r["outcome"] == y], se[1:3], rtol=1e-3)
+    c = np.corrcoef(residual)[0, 1]
+    assert abs(found["contemporaneous"][0, 1] - c) < 1e-3
+    inverse = (np.eye(2) - effects) / np.array(sd)[:, None] ** 2
+    inverse = (inverse + inverse.T) / 2
+    assert np.linalg.eigvalsh(inverse).min() > 0
+    assert abs(found["between"][0, 1] + inverse[0, 1] / math.sqrt(inverse[0, 0] * inverse[1, 1])) < 5e-3
+
+
+def test_attention_is_the_sum_over_all_pairs(spark):
+    r = random.Random(4)
+    rows = [(s, p, r.choice("abc") if r.random() < 0.9 else None) for s in range(6) for p in range(1, 3 + 40 * s)]
+    df = spark.createDataFrame(rows, "s int, pos int, state string")
+    for scale in (0.05, 1.0, 3.0):  # with the first, stretches are of 15 positions
+        for direction in ("forward", "backward", "both"):
+            got = {(x["from"], x["to"]): x.weight for x in transitions.attention(df, ["s"], scale, direction).collect()}
+            joined = {(x["from"], x["to"]): x.weight for x in transitions.attention(df, ["s"], direction=direction, decay=lambda g, scale=scale: F.exp(-g / scale)).collect()}
+            assert got.keys() == joined.keys() and all(math.isclose(got[k], joined[k], rel_tol=1e-12) for k in got)
+
+
+def test_average_ranks_by_ranges(spark):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.integers(0, 9, 300), r.standard_normal(200)]).astype(float)
+    got = {v.x: v["rank"] for v in average_ranks(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), "x", 7).collect()}
+    order = np.sort(x)
+    assert got == {v: (np.searchsorted(order, v) + 1 + np.searchsorted(order, v, "right")) / 2 for v in set(x.tolist())}
+
+
+def test_too_much_for_one_matrix_is_refused(spark):
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        bounded(spark.range(9), 3, "rows")
