@@ -8,8 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
+from eventloom.kernels import penalised
 from eventloom.operators import association, networks, sequences, transitions
 
 
@@ -22,7 +26,24 @@ class Estimator:
 
 
 _ESTIMATORS: dict[str, Estimator] = {}
-ALIASES = {"tna": "relative", "transition": "relative", "ftna": "frequency", "counts": "frequency", "atna": "attention", "cna": "co_occurrence", "corr": "cor", "correlation": "cor", "partial": "pcor", "ebicglasso": "glasso", "regularized": "glasso"}
+#: Other names that users type for the methods.
+ALIASES = {
+    "tna": "relative",
+    "transition": "relative",
+    "ftna": "frequency",
+    "counts": "frequency",
+    "atna": "attention",
+    "cna": "co_occurrence",
+    "cooccurrence": "co_occurrence",
+    "corr": "cor",
+    "correlation": "cor",
+    "partial": "pcor",
+    "ebicglasso": "glasso",
+    "regularized": "glasso",
+    "isingfit": "ising",
+    "mixed": "mgm",
+    "onehot": "wtna",
+}
 
 
 def register_estimator(name: str, run: Callable[..., DataFrame], description: str = "", directed: bool = True) -> None:
@@ -70,6 +91,28 @@ register_estimator("frequency", transitions.frequency, "counts of transitions")
 register_estimator("attention", transitions.attention, "transitions of all distances, decayed")
 register_estimator("co_occurrence", transitions.co_occurrence, "pairs of positions of a sequence", directed=False)
 register_estimator("windowed", transitions.windowed, "positions of neighbouring windows")
-register_estimator("onehot", transitions.one_hot_windows, "window network of 0/1 columns")
+register_estimator("wtna", transitions.window_network, "window network of 0/1 columns")
+def _ising(df: DataFrame, columns: Sequence[str], **params) -> DataFrame:
+    """Of 0/1 columns: their patterns with counts, at most 2 to the number of columns, are fitted."""
+    rows = df.dropna(subset=list(columns)).groupBy(*[F.col(c).cast("int").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+    x = np.array([list(r) for r in sorted(bounded(rows, 1 << 16, "patterns"))], float)
+    return _undirected(df, columns, penalised.ising(x[:, :-1], weight=x[:, -1], **params))
+
+
+def _mgm(df: DataFrame, columns: Sequence[str], kinds: Sequence[str], **params) -> DataFrame:
+    """kinds: g (numeric) or c (0/1) for each column. Combinations of values with counts are
+    fitted; with more than 200,000 of them, round the numeric columns."""
+    rows = df.dropna(subset=list(columns)).groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+    x = np.array([list(r) for r in sorted(bounded(rows, 200_000, "combinations of values"))], float)
+    return _undirected(df, columns, penalised.mixed(x[:, :-1], list(kinds), weight=x[:, -1], **params))
+
+
+def _undirected(df: DataFrame, columns: Sequence[str], m: np.ndarray) -> DataFrame:
+    rows = [(columns[j], columns[i], float(m[i, j])) for i in range(len(m)) for j in range(i) if m[i, j] != 0]
+    return df.sparkSession.createDataFrame(rows, "from string, to string, weight double")
+
+
+register_estimator("ising", _ising, "couplings of 0/1 columns", directed=False)
+register_estimator("mgm", _mgm, "mixed numeric and 0/1 columns", directed=False)
 for _m, _d in (("cor", "correlations"), ("pcor", "partial correlations"), ("glasso", "sparse partial correlations")):
     register_estimator(_m, _numeric(_m), _d, directed=False)

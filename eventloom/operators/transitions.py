@@ -146,6 +146,33 @@ def one_hot_windows(df: DataFrame, keys: Sequence[str], codes: Sequence[str], or
     return a.join(b, [*keys, "window"]).groupBy("from", "to").agg(F.sum(F.col("xa") * F.col("xb")).alias("weight"))
 
 
+def resolve_codes(columns: Sequence[str], codes: Sequence[str] | str | tuple[int, int] | None = None, without: Sequence[str] = ()) -> list[str]:
+    """Names of 0/1 columns: as they are; "a:b", all from a to b; (i, j), places from 1; or,
+    with none, all columns but `without`."""
+    if codes is None:
+        return [c for c in columns if c not in without]
+    if isinstance(codes, str):
+        first, _, last = codes.partition(":")
+        codes = list(columns)[list(columns).index(first) : list(columns).index(last or first) + 1]
+    elif codes and all(isinstance(c, int) for c in codes):
+        codes = list(columns)[codes[0] - 1 : codes[-1]]
+    missing = [c for c in codes if c not in columns]
+    if missing:
+        raise ValueError(f"no columns {', '.join(missing)}")
+    return list(codes)
+
+
+def window_network(df: DataFrame, keys: Sequence[str], codes: Sequence[str] | str | tuple[int, int] | None, order: Sequence[str], size: int = 1, sliding: bool = False, kind: str = "transition", relative: bool = False) -> DataFrame:
+    """The window network of 0/1 columns, as counts or as shares of what leaves a code; kind
+    "both" gives the two networks in one, told apart by the column `network`."""
+    names = resolve_codes(df.columns, codes, [*keys, *order])
+    if kind == "both":
+        parts = [window_network(df, keys, names, order, size, sliding, k, relative).withColumn("network", F.lit(k)) for k in ("transition", "cooccurrence")]
+        return parts[0].unionByName(parts[1])
+    edges = one_hot_windows(df, keys, names, order, size, sliding, kind)
+    return normalise_rows(edges) if relative else edges
+
+
 def one_hot_initial(df: DataFrame, keys: Sequence[str], codes: Sequence[str], order: Sequence[str]) -> DataFrame:
     """state, probability: in each actor's first row with any code, 1/k for each of its k."""
     active = sum((F.col(c).cast("int") for c in codes), F.lit(0))

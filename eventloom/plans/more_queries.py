@@ -15,7 +15,7 @@ from eventloom.operators import sequences as sq
 from eventloom.operators import transactions as ta
 from eventloom.operators import transitions as tr
 from eventloom.plans.model_queries import _chain, _complex, _counts, _edge_rows, _matrix, _quarters
-from eventloom.plans.network_queries import _RULES, _TWO, _two
+from eventloom.plans.network_queries import _RULES, _TWO, _order_network, _two
 from eventloom.plans.sequence_queries import _T, DAY_STATES, SEQ, P, S, _wide_turns, event_sequences
 from eventloom.registry import register
 from eventloom.session import read_table
@@ -93,6 +93,14 @@ def edge_betweenness_test(spark, sf_dir):
     return _edge_rows(spark, out, ["difference", "effect", "p_value"])
 
 
+@register("katz_links")
+def katz_links(spark, sf_dir):
+    w, nodes = _matrix(_order_network(spark, sf_dir))
+    a = (w != 0).astype(float)
+    s = graphs.katz(a)
+    return spark.createDataFrame([(x, y, float(s[i, j])) for i, x in enumerate(nodes) for j, y in enumerate(nodes) if i != j and not a[i, j]], "from_state string, to_state string, katz double")
+
+
 @register("vertex_compare")
 def vertex_compare(spark, sf_dir):
     x, y = (_matrix(e, DAY_STATES)[0] for e in _two(spark, sf_dir))

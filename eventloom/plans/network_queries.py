@@ -222,6 +222,17 @@ def evaluate_links(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@register(
+    "predict_links_undirected",
+    f"""WITH {_ORD}, u AS (SELECT f, t, max(w) AS w FROM (SELECT f, t, w FROM e UNION ALL SELECT t, f, w FROM e) GROUP BY 1, 2), d AS (SELECT f AS s, count(*) AS n FROM u GROUP BY f),
+    k AS (SELECT a.f AS x, b.f AS y, sum(a.w * b.w) AS cn, sum(a.w * b.w / n) AS ra, sum(CASE WHEN n > 1 THEN a.w * b.w / ln(n) ELSE 0 END) AS aa, count(*) AS m FROM u a JOIN u b ON a.t = b.t AND a.f <> b.f JOIN d ON d.s = a.t GROUP BY 1, 2)
+    SELECT x AS from_state, y AS to_state, round(cn, 6) AS common_neighbors, round(ra, 6) AS resource_allocation, round(aa, 6) AS adamic_adar, round(m / (p.n + q.n - m), 6) AS jaccard, CAST(p.n * q.n AS DOUBLE) AS preferential_attachment
+    FROM k JOIN d p ON p.s = x JOIN d q ON q.s = y WHERE NOT EXISTS (SELECT 1 FROM u WHERE f = x AND t = y)""",
+)
+def predict_links_undirected(spark, sf_dir):
+    return _named(lk.link_scores(_order_network(spark, sf_dir), directed=False), "common_neighbors", "resource_allocation", "adamic_adar", "jaccard", "preferential_attachment", digits=6)
+
+
 # ---- hypergraphs ----------------------------------------------------------------------
 
 _I = "i AS (SELECT s_nationkey AS node, c_mktsegment AS hyperedge, CAST(count(*) AS DOUBLE) AS weight FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY 1, 2)"

@@ -367,3 +367,30 @@ def test_average_ranks_by_ranges(spark):
 def test_too_much_for_one_matrix_is_refused(spark):
     with pytest.raises(ValueError, match="more than 3 rows"):
         bounded(spark.range(9), 3, "rows")
+
+
+def test_katz_is_the_damped_sum_of_walks():
+    a = (np.random.default_rng(3).random((6, 6)) < 0.4).astype(float)
+    np.fill_diagonal(a, 0)
+    for damping in (None, 0.05, 9.0):
+        radius = np.abs(np.linalg.eigvals(a)).max()
+        d = damping if damping and damping * radius < 1 else 0.9 / radius
+        want = sum(d**k * np.linalg.matrix_power(a, k) for k in range(1, 400))
+        np.fill_diagonal(want, 0)
+        assert np.allclose(graphs.katz(a, damping), want)
+
+
+def test_window_network_front_and_registry(spark):
+    from eventloom import estimators
+
+    df = spark.createDataFrame([(1, 1, 1, 0, 1), (1, 2, 0, 1, 0), (1, 3, 1, 1, 0), (2, 1, 0, 0, 1), (2, 2, 1, 0, 0)], "who int, t int, a int, b int, c int")
+    assert transitions.resolve_codes(df.columns, "a:b") == ["a", "b"] and transitions.resolve_codes(df.columns, (3, 5)) == ["a", "b", "c"] == transitions.resolve_codes(df.columns, None, ["who", "t"])
+    both = transitions.window_network(df, ["who"], "a:c", ["t"], kind="both", relative=True).collect()
+    assert {r.network for r in both} == {"transition", "cooccurrence"}
+    share = {(r["from"], r["to"]): r.weight for r in both if r.network == "transition"}
+    assert share["c", "a"] == share["c", "b"] == 0.5 and share["b", "a"] == 0.5
+    out = estimators.build_network(df, "onehot", keys=["who"], codes="a:c", order=["t"], relative=True)
+    assert {(r["from"], r["to"]): r.weight for r in out.collect()} == share
+    assert estimators.build_network(df, "isingfit", columns=["a", "b", "c"]).columns == ["from", "to", "weight"]
+    assert estimators.build_network(df, "mgm", columns=["t", "a", "b"], kinds=["g", "c", "c"]).columns == ["from", "to", "weight"]
+    assert {"wtna", "ising", "mgm"} <= {e.name for e in estimators.list_estimators()}
