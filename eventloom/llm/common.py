@@ -1,4 +1,4 @@
-"""Shared pieces: reading, shared storage, blocks of documents, packed key exchange.
+"""Shared pieces: reading, blocks of documents, packed key exchange.
 
 Every operator selects the columns it needs first, so columns of other names, whatever
 they are called, never clash with the ones it makes.
@@ -7,17 +7,16 @@ they are called, never clash with the ones it makes.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.session import ensure_importable  # noqa: F401
 from eventloom.session import read_table as table  # noqa: F401
+from eventloom.storage import forget, forget_all, shared_dir, written  # noqa: F401
 
 #: ASCII white space as Spark and Java patterns take it; a word is a run of other characters.
 SPACES = " \t\n\x0b\f\r"
@@ -25,35 +24,6 @@ SPACES = " \t\n\x0b\f\r"
 BLOCK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A cluster names it in
-    spark.checkpoint.dir; only where that is unset and all runs on this machine, as in
-    tests, is one made here."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else ""
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="eventloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, files: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
-
-    files: at most so many, for what is small beside the documents (see few_files)."""
-    spark = df.sparkSession
-    df = df.coalesce(files) if files else df
-    path = f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._eventloom_path = path
-    return out
-
-
 def few_files(docs: DataFrame, file_bytes: int = 8 << 20) -> int:
     """In how many files tables that are small beside docs should be written: one for each
     so many stored bytes of docs, so that a file's share doesn't grow with the corpus, but
@@ -61,22 +31,6 @@ def few_files(docs: DataFrame, file_bytes: int = 8 << 20) -> int:
     return max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size_in_bytes(docs) / file_bytes))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what written() made, once nothing reads it any more."""
-    _delete(df.sparkSession, df._eventloom_path)
-
-
-def forget_all(spark: SparkSession) -> None:
-    """Delete every table that written() made in this application: results that read from
-    them have to be saved before."""
-    _delete(spark, f"{shared_dir(spark)}/eventloom/{spark.sparkContext.applicationId}")
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """The stored bytes that df is made from: Catalyst's figures for the leaves of its plan,
     which for files are their sizes and need no job. 0 if some leaf's size isn't known."""
