@@ -170,8 +170,37 @@ def path_dependence(rows: DataFrame, k: int = 2, min_count: int = 5, base: float
     return out.select(F.array_join("context", " -> ").alias("context"), "n", "entropy_1", "entropy_k", (F.col("entropy_1") - F.col("entropy_k")).alias("drop"), "divergence", "most_likely_1", "most_likely_k", (F.col("most_likely_1") != F.col("most_likely_k")).alias("flips"))
 
 
+def gram_pathways(rows: DataFrame, k: int = 1, min_count: int = 1, min_probability: float = 0.0) -> DataFrame:
+    """path ("a b -> c"), count, probability of the steps that k-grams take."""
+    g = gram_transitions(rows, k)
+    path = F.concat_ws(" -> ", F.array_join("from", " "), F.element_at("to", -1))
+    return g.where((F.col("count") >= min_count) & (F.col("probability") >= min_probability)).select(path.alias("path"), "count", "probability")
+
+
+def anomaly_pathways(found: list[dict], kind: str = "all") -> list[str]:
+    """Paths of hypa() that are over or under what is expected, as "a b -> c"."""
+    kinds = ("over", "under") if kind == "all" else (kind,)
+    return [" -> ".join(r["path"].rsplit(" ", 1)) for k in kinds for r in found if r["kind"] == k]
+
+
+def sequence_statistics(compared: DataFrame) -> DataFrame:
+    """length, pattern, statistic, df of what sequence_compare() gives: chi-square of each
+    pattern against all others by group, with the continuity correction for two groups."""
+    by = Window.partitionBy("length", "pattern")
+    n = F.count(F.lit(1)).over(by)
+    rows = compared.withColumn("_groups", n)
+    cells = rows.select("length", "pattern", "_groups", F.explode(F.array(F.struct(F.col("count").alias("o"), F.col("expected").alias("e")), F.struct((F.col("total") - F.col("count")).alias("o"), (F.col("total") - F.col("expected")).alias("e")))).alias("c"))
+    gap = F.abs(F.col("c.o") - F.col("c.e"))
+    # the correction is the same for all cells: no more than the least gap
+    least = F.min(gap).over(Window.partitionBy("length", "pattern"))
+    gap = F.when(F.col("_groups") == 2, gap - F.least(F.lit(0.5), least)).otherwise(gap)
+    parts = cells.select("length", "pattern", "_groups", (gap * gap / F.col("c.e")).alias("x"))
+    return parts.groupBy("length", "pattern").agg(F.sum("x").alias("statistic"), (F.max("_groups") - 1).alias("df"))
+
+
 def sequence_compare(rows: DataFrame, group: str, sizes: Sequence[int] = (3, 4, 5), min_freq: int = 5) -> DataFrame:
-    """length, pattern, group, count, residual: k-grams by group with standardised residuals.
+    """length, pattern, group, count, expected, total (of the group), residual: k-grams by group
+    with standardised residuals.
 
     Totals are of all patterns of a length; patterns rarer than min_freq in any group are
     then left out."""
@@ -185,7 +214,7 @@ def sequence_compare(rows: DataFrame, group: str, sizes: Sequence[int] = (3, 4,
         w = Window.partitionBy
         full = full.select("*", F.sum("count").over(w("pattern")).alias("r"), F.sum("count").over(w("group")).alias("c"), F.sum("count").over(w()).alias("t"), F.min("count").over(w("pattern")).alias("least"))
         e = F.col("r") * F.col("c") / F.col("t")
-        part = full.where(F.col("least") >= min_freq).select(F.lit(k).alias("length"), "pattern", "group", "count", ((F.col("count") - e) / F.sqrt(e * (1 - F.col("r") / F.col("t")) * (1 - F.col("c") / F.col("t")))).alias("residual"))
+        part = full.where(F.col("least") >= min_freq).select(F.lit(k).alias("length"), "pattern", "group", "count", e.alias("expected"), F.col("c").alias("total"), ((F.col("count") - e) / F.sqrt(e * (1 - F.col("r") / F.col("t")) * (1 - F.col("c") / F.col("t")))).alias("residual"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _all() -> Window:
     return Window.partitionBy()
 
@@ -28,6 +29,58 @@ def filled(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return grid.join(edges, ["from", "to"], "left").select("from", "to", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+def from_matrix(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
+    """Edges of a matrix that is given as rows: `row` names where they start, columns where they end."""
+    cells = F.array(*[F.struct(F.lit(c).alias("to"), F.col(c).cast("double").alias("weight")) for c in columns])
+    return df.select(F.col(row).cast("string").alias("from"), F.explode(cells).alias("e")).select("from", "e.to", "e.weight").where("weight <> 0")
+
+
+def validated(edges: DataFrame) -> DataFrame:
+    """The edges, if they are a network: ends that are not null, weights that are numbers, and
+    each pair of nodes once; else an error that says what is wrong."""
+    missing = {"from", "to", "weight"} - set(edges.columns)
+    if missing:
+        raise ValueError(f"no columns {', '.join(sorted(missing))}")
+    w = F.col("weight").cast("double")
+    x = edges.agg(F.count_if(F.col("from").isNull() | F.col("to").isNull()).alias("ends"), F.count_if(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf"))).alias("weights")).first()
+    twice = edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    found = [what for what, n in (("edges without an end", x.ends), ("weights that are no numbers", x.weights), ("a pair of nodes twice", twice)) if n]
+    if found:
+        raise ValueError("not a network: " + ", ".join(found))
+    return edges
+
+
+def pruned(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """edges with `pruned`: whether they are not among `kept`, which any pruning gives."""
+    mark = kept.where("weight <> 0").select("from", "to", F.lit(True).alias("_kept"))
+    return edges.join(mark, ["from", "to"], "left").withColumn("pruned", F.col("_kept").isNull() & (F.col("weight") != 0)).drop("_kept")
+
+
+def depruned(marked: DataFrame) -> DataFrame:
+    """All edges as they were before pruned()."""
+    return marked.select("from", "to", "weight")
+
+
+def repruned(marked: DataFrame) -> DataFrame:
+    """The edges that pruned() has left."""
+    return marked.where("NOT pruned").select("from", "to", "weight")
+
+
+def assigned(clusters: DataFrame) -> DataFrame:
+    """node, cluster, if no node has two clusters; else an error that names one."""
+    twice = clusters.groupBy("node").agg(F.countDistinct("cluster").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"node {twice[0].node!r} is in {twice[0].n} clusters")
+    return clusters.select("node", "cluster").distinct()
+
+
+def edge_list_layers(edges: DataFrame, clusters: DataFrame, method: str = "sum") -> tuple[DataFrame, DataFrame]:
+    """The network between clusters and those inside them, of an edge list and the nodes'
+    clusters, one each."""
+    of = assigned(clusters)
+    return macro(edges, of, method), within(edges, of)
+
+
 def scaled(edges: DataFrame, method: str, zeros: bool = False) -> DataFrame:
     """Weights by minmax, max, rank (average ties) or normalize (row by absolute sum).
 

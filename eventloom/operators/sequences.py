@@ -8,7 +8,6 @@ Every ordering takes a tiebreak column, so results don't depend on how rows are
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,12 +21,14 @@ def clean(state: Column) -> Column:
 
 
 def time_formats() -> list[str]:
-    """Candidate formats for text times: orders of year, month and day, with separators and
-    clock parts; four-digit years first, as a shorter pattern would accept their start."""
-    dates = [f"{y}{s}{a}{s}{b}" for s, (y, a, b) in product(("-", "/", "."), (("yyyy", "MM", "dd"),))]
-    dates += [f"{a}{s}{b}{s}yyyy" for s, (a, b) in product(("/", "-", "."), (("dd", "MM"), ("MM", "dd")))]
-    clocks = ["'T'HH:mm:ss.SSSX", "'T'HH:mm:ssX", "'T'HH:mm:ss", " HH:mm:ss.SSS", " HH:mm:ss", " HH:mm", ""]
-    return [d + c for d, c in product(dates, clocks)]
+    """Candidate formats for text times: dates that start with the year, then with the day,
+    then with the month, then with names of months, each with any clock; last, digits alone."""
+    years = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd"]
+    days = ["dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"]
+    months = ["MM/dd/yyyy", "MM-dd-yyyy", "MM.dd.yyyy"]
+    names = ["d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+    clocks = ["'T'HH:mm:ss.SSSX", "'T'HH:mm:ssX", "'T'HH:mm:ss", "'T'HH:mm", " HH:mm:ss.SSS", " HH:mm:ss", " HH:mm", ""]
+    return [date + clock for date in years + days + months + names for clock in clocks] + ["yyyyMMddHHmmss", "yyyyMMddHHmm"]
 
 
 def parse_time(df: DataFrame, column: str, formats: Sequence[str] | None = None, unix_unit: str | None = None) -> DataFrame:

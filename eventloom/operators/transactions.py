@@ -31,6 +31,17 @@ def from_binary(df: DataFrame, tid: str, columns: Sequence[str]) -> DataFrame:
     return df.select(F.col(tid).alias("tid"), F.explode(items).alias("item"))
 
 
+def from_wide(df: DataFrame, tid: str, columns: Sequence[str]) -> DataFrame:
+    """Items that stand in columns of their own; null and empty ones are none."""
+    return from_arrays(df.select(F.col(tid).alias("tid"), F.array(*[F.col(c).cast("string") for c in columns]).alias("items")), "tid", "items")
+
+
+def from_arrays(df: DataFrame, tid: str, column: str) -> DataFrame:
+    """Items of an array column, each once; null and empty ones are none."""
+    items = F.array_distinct(F.filter(F.transform(column, lambda x: F.trim(x.cast("string"))), lambda x: x.isNotNull() & (x != "")))
+    return df.select(F.col(tid).alias("tid"), F.explode(items).alias("item"))
+
+
 def _similarity(kind: str, n: Column, a: Column, b: Column, row: Column) -> Column:
     low = {"jaccard": a + b - n, "cosine": F.sqrt(a * b), "inclusion": F.least(a, b), "association": a * b, "dice": a + b, "equivalence": a * b, "relative": row}
     top = {"dice": 2 * n, "equivalence": n * n}.get(kind, n)

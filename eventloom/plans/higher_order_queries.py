@@ -85,7 +85,27 @@ def path_dependence(spark, sf_dir):
     SELECT 3 AS length, pattern, grp AS "group", k AS count, round((k - r * t / n) / sqrt(r * t / n * (1 - r / n) * (1 - t / n)), 6) AS residual FROM z WHERE lo >= 5""",
 )
 def sequence_compare(spark, sf_dir):
-    return ho.sequence_compare(_rows(spark, sf_dir, ["grp"]), "grp", [3]).withColumn("residual", F.round("residual", 6))
+    return ho.sequence_compare(_rows(spark, sf_dir, ["grp"]), "grp", [3]).select("length", "pattern", "group", "count", F.round("residual", 6).alias("residual"))
+
+
+@register(
+    "sequence_statistics",
+    f"""WITH {S}, {_gram_cte(3)}, c AS (SELECT s0 || ' -> ' || s1 || ' -> ' || s2 AS pattern, user_id % 2 AS grp, count(*) AS k FROM k3 GROUP BY ALL), f AS (SELECT p.pattern, g.grp, coalesce(c.k, 0) AS k FROM (SELECT DISTINCT pattern FROM c) p CROSS JOIN (SELECT DISTINCT grp FROM c) g LEFT JOIN c ON c.pattern = p.pattern AND c.grp = g.grp),
+    z AS (SELECT *, sum(k) OVER (PARTITION BY pattern) * sum(k) OVER (PARTITION BY grp) / sum(k) OVER () AS e, sum(k) OVER (PARTITION BY grp) AS t, min(k) OVER (PARTITION BY pattern) AS lo FROM f),
+    y AS (SELECT pattern, abs(k - e) AS d, e FROM z WHERE lo >= 5 UNION ALL SELECT pattern, abs((t - k) - (t - e)), t - e FROM z WHERE lo >= 5),
+    x AS (SELECT pattern, d - least(0.5, min(d) OVER (PARTITION BY pattern)) AS d, e FROM y) SELECT 3 AS length, pattern, round(sum(d * d / e), 5) AS statistic, CAST(1 AS BIGINT) AS df FROM x GROUP BY pattern""",
+)
+def sequence_statistics(spark, sf_dir):
+    out = ho.sequence_statistics(ho.sequence_compare(_rows(spark, sf_dir, ["grp"]), "grp", [3]))
+    return out.select("length", "pattern", F.round("statistic", 5).alias("statistic"), F.col("df").cast("long").alias("df"))
+
+
+@register(
+    "gram_pathways",
+    f"WITH {S}, {_gram_cte(3)}, gp AS (SELECT s0 || ' ' || s1 || ' -> ' || s2 AS path, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY s0, s1) AS p FROM k3 GROUP BY s0, s1, s2) SELECT path, count, round(p, 9) AS probability FROM gp WHERE count >= 3 AND p >= 0.2",
+)
+def gram_pathways(spark, sf_dir):
+    return ho.gram_pathways(_rows(spark, sf_dir), 2, 3, 0.2).withColumn("probability", F.round("probability", 9))
 
 
 @register(

@@ -161,6 +161,15 @@ def cooccurrence_delimited(spark, sf_dir):
     return _named(ta.cooccurrence(ta.from_delimited(rows, "event_id", ["tags"], ";")), "weight")
 
 
+@register(
+    "cooccurrence_wide",
+    "WITH r AS (SELECT DISTINCT o_orderkey, unnest([o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS VARCHAR)]) AS item FROM orders), k AS (SELECT * FROM r WHERE item IS NOT NULL AND item <> '') SELECT x.item AS from_state, y.item AS to_state, CAST(count(*) AS DOUBLE) AS weight FROM k x JOIN k y USING (o_orderkey) GROUP BY 1, 2",
+)
+def cooccurrence_wide(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    return _named(ta.cooccurrence(ta.from_wide(o, "o_orderkey", ["o_orderstatus", "o_orderpriority", "year"])), "weight")
+
+
 _RULES = """t AS (SELECT DISTINCT l_orderkey AS tid, p_type AS item FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IS NOT NULL), n AS (SELECT count(DISTINCT tid) AS total FROM t),
 i1 AS (SELECT [item] AS items, count(*) AS k FROM t GROUP BY item), i2 AS (SELECT [a.item, b.item] AS items, count(*) AS k FROM t a JOIN t b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item),
 i3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS k FROM t a JOIN t b ON a.tid = b.tid AND a.item < b.item JOIN t c ON c.tid = b.tid AND b.item < c.item GROUP BY a.item, b.item, c.item),
@@ -209,6 +218,14 @@ def predict_links(spark, sf_dir):
     return _named(lk.link_scores(_order_network(spark, sf_dir)), "common_neighbors", "resource_allocation", "adamic_adar", "jaccard", "preferential_attachment", digits=6)
 
 
+@register(
+    "link_pathways",
+    f"WITH q AS (WITH {_LINKS}), {_ORD} SELECT x || ' -> ' || y AS path, round(ra, 6) AS score FROM q WHERE NOT EXISTS (SELECT 1 FROM e WHERE f = x AND t = y) ORDER BY ra DESC, x, y LIMIT 10",
+)
+def link_pathways(spark, sf_dir):
+    return lk.link_pathways(lk.link_scores(_order_network(spark, sf_dir)), "resource_allocation").withColumn("score", F.round("score", 6))
+
+
 @register(
     "evaluate_links",
     f"""WITH q AS (WITH {_LINKS}), {_ORD}, r AS (SELECT x, y, cn, CASE WHEN e.f IS NULL THEN 0 ELSE 1 END AS hit FROM q LEFT JOIN e ON e.f = x AND e.t = y),

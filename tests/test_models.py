@@ -394,3 +394,39 @@ def test_window_network_front_and_registry(spark):
     assert estimators.build_network(df, "isingfit", columns=["a", "b", "c"]).columns == ["from", "to", "weight"]
     assert estimators.build_network(df, "mgm", columns=["t", "a", "b"], kinds=["g", "c", "c"]).columns == ["from", "to", "weight"]
     assert {"wtna", "ising", "mgm"} <= {e.name for e in estimators.list_estimators()}
+
+
+def test_networks_are_validated_pruned_and_brought_back(spark):
+    from eventloom.operators import networks as nw
+
+    wide = spark.createDataFrame([("a", 0.0, 0.9), ("b", 0.2, 0.0)], "s string, a double, b double")
+    net = nw.from_matrix(wide, "s", ["a", "b"])
+    assert {(r["from"], r["to"], r.weight) for r in nw.validated(net).collect()} == {("a", "b", 0.9), ("b", "a", 0.2)}
+    for rows, what in (([("a", None, 1.0)], "without an end"), ([("a", "b", float("nan"))], "no numbers"), ([("a", "b", 1.0), ("a", "b", 2.0)], "twice")):
+        with pytest.raises(ValueError, match=what):
+            nw.validated(spark.createDataFrame(rows, "from string, to string, weight double"))
+    marked = nw.pruned(net, net.where("weight > 0.5"))
+    assert nw.depruned(marked).count() == 2 and [r.weight for r in nw.repruned(marked).collect()] == [0.9]
+    one = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y")], "node string, cluster string")
+    between, inside = nw.edge_list_layers(net, one)
+    assert {(r["from"], r["to"], r.weight) for r in between.collect()} == {("x", "y", 0.9), ("y", "x", 0.2)} and inside.count() == 0
+    with pytest.raises(ValueError, match="2 clusters"):
+        nw.edge_list_layers(net, one.union(spark.createDataFrame([("a", "y")], one.schema)))
+
+
+def test_complexes_are_verified():
+    s = topology.cliques(np.array([[0, 1, 1], [0, 0, 1], [0, 0, 0]]))
+    assert topology.is_complex(s) and not topology.is_complex([x for x in s if x != (0, 1)]) and not topology.is_complex([*s, (0,)])
+
+
+def test_time_formats(spark):
+    from eventloom.operators import sequences as sq
+
+    for text in ("2024-03-05 06:07:08", "2024-03-05T06:07", "5 Mar 2024 06:07:08", "March 5 2024 06:07", "20240305060708", "202403050607", "05.03.2024"):
+        got = sq.parse_time(spark.createDataFrame([(text,)], "t string"), "t").select(F.date_format("t", "yyyy-MM-dd").alias("d")).first().d
+        assert got == "2024-03-05", text
+
+
+def test_anomalies_become_paths():
+    found = [{"path": "a b c", "kind": "over"}, {"path": "c d", "kind": "under"}, {"path": "e f", "kind": "normal"}]
+    assert ho.anomaly_pathways(found) == ["a b -> c", "c -> d"] and ho.anomaly_pathways(found, "under") == ["c -> d"]
