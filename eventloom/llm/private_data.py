@@ -89,9 +89,9 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words with none of these are inert: one feature for their case, none for their letters.
 _ACTIVE = re.compile(r"[0-9@=_]")
-_HEX = re.compile(r"[0-9a-f]{12,}")
+_HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
 _KEY = re.compile(r"[A-Z0-9]{14,}")
-_TRIM = ".,;:!?\"'()[]{}<>"
+_TRIM = ".,;:!?\"'()[]{}<>#*&|"
 
 
 def _lines(text: str, active: bool):
@@ -328,14 +328,18 @@ def labelled_table(lines: int = 480, seed: int = 7) -> list[tuple[list[str], lis
     def key():
         return r.choice(("AKIA", "ASIA", "GHP", "SK")) + pick(up, 13) + digits(1) + pick(up, 3)
 
+    def rare(n):  # few digits among capitals
+        at = r.randrange(n)
+        return r.choice(("AKIA", "ASIA", "GHP", "SK")) + "".join(r.choice("234567") if i == at else r.choice(up[:24]) for i in range(n))
+
     makers = {
         "email": [lambda: [f"{plain().strip('.,;:!?')}.{digits(2)}@{r.choice(syllables)}{r.choice(('', '8'))}.{r.choice(('example.com', 'mail.org', 'net.de'))}"], lambda: [f"{r.choice(syllables)}_{digits(2)}@{r.choice(syllables)}.com"]],
         "ip": [lambda: [".".join(str(r.randint(0, 255)) for _ in range(4))], lambda: [":".join(pick(low, r.randint(1, 4)) for _ in range(8))]],
         "card": [lambda: [digits(16)], lambda: [digits(13)], lambda: [".".join(digits(4) for _ in range(4))], lambda: [digits(4) for _ in range(4)], lambda: ["-".join(digits(4) for _ in range(4))]],
         "phone": [lambda: [f"+{r.randint(1, 99)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], lambda: [f"+{r.randint(1, 99)}", digits(3), digits(3), digits(4)], lambda: [f"({digits(3)})", f"{digits(3)}-{digits(4)}"]],
-        "secret": [lambda: [key()], lambda: [f"{r.choice(('password', 'pwd', 'secret', 'api_key'))}={hexes(r.randint(14, 24))}"], lambda: [f'"{hexes(r.choice((32, 40)))}"'], lambda: [hexes(40)]],
+        "secret": [lambda: [key()], lambda: [rare(16)], lambda: [f"{r.choice(('password', 'pwd', 'secret', 'api_key'))}={hexes(r.randint(14, 24))}"], lambda: [f'"{hexes(r.choice((32, 40)))}"'], lambda: [hexes(40)]],
     }
-    others = [lambda: [digits(r.randint(1, 4)) + r.choice(("", ".", ",", "%"))], lambda: [f"{digits(1)}.{digits(1)}" + r.choice(("", "."))], lambda: [f"{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}:{digits(2)}"], lambda: [f"{digits(1)}:{digits(1)}"], lambda: [f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"${digits(3)}"], lambda: ["=", plain()], lambda: [f"{plain()}{digits(1)}"], lambda: [f"x={digits(2)}"], lambda: ["CC", "BY-NC", "4.0."], lambda: ["Version", "2.0."], lambda: [f"({digits(1)})"], lambda: ["a_b_c"], lambda: [f"{digits(3)},{digits(3)}"], lambda: [f"{plain()}=={digits(1)}"], lambda: [f"@{plain()}"], lambda: [digits(r.randint(5, 8))]]
+    others = [lambda: [digits(r.randint(1, 4)) + r.choice(("", ".", ",", "%"))], lambda: [f"{digits(1)}.{digits(1)}" + r.choice(("", "."))], lambda: [f"{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}:{digits(2)}"], lambda: [f"{digits(1)}:{digits(1)}"], lambda: [f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"${digits(3)}"], lambda: ["=", plain()], lambda: [f"{plain()}{digits(1)}"], lambda: [f"{digits(1)}{plain()}"], lambda: [f"x={digits(2)}"], lambda: ["CC", "BY-NC", "4.0."], lambda: ["Version", "2.0."], lambda: [f"({digits(1)})"], lambda: ["a_b_c"], lambda: [f"{digits(3)},{digits(3)}"], lambda: [f"{plain()}=={digits(1)}"], lambda: [f"@{plain()}"], lambda: [digits(r.randint(5, 8))]]
     out = []
     for i in range(lines):
         words, labels = [], []
