@@ -234,20 +234,22 @@ class Chunks:
 
     def __init__(self, encode: Callable[[str], bytes], match: Callable[[str], bytes], keep: int):
         self.encode, self.match = encode, match
-        self.first, self.word = Memo(encode, keep), Memo(self._word, keep)
+        self.mixed = Memo(self._mixed, keep)
 
-    def _word(self, s: str) -> bytes | None:
-        """The ids of a space and s; None where the space stands beside other white space."""
-        if s.isalpha():
-            return self.match(" " + s)
-        return None if not s or s[0].isspace() or s[-1].isspace() else self.encode(" " + s)
+    def _mixed(self, s: str) -> bytes | None:
+        """The ids of a space and what is not letters alone; None where the space stands beside
+        other white space."""
+        if not s or s[0].isspace() or s[-1].isspace():
+            return None
+        return self.encode(" " + s)
 
     def packed(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         if head and not head[-1].isspace():
-            found = [self.first[head], *map(self.word.__getitem__, rest)]
+            match, mixed = self.match, self.mixed
+            found = [match(" " + s) if s.isalpha() else mixed[s] for s in rest]
             if None not in found:
-                return b"".join(found)
+                return self.encode(head) + b"".join(found)
         head, *rest = _BETWEEN.split(text)  # white space of several characters
         return b"".join([self.encode(head), *(self.encode(" " + s) for s in rest)])
 
@@ -263,7 +265,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.fst, self.decoder = Transducer(self.rank), TokenDecoder(self.token)
         self.matched = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep)
-        self.packed = Chunks(self._matches, self.matched.__getitem__, keep).packed if space_starts else self._matches
+        self.packed = Chunks(self._matches, self.matched.__getitem__, keep >> 1).packed if space_starts else self._matches
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.matched.__getitem__, self.split(text)))
