@@ -29,7 +29,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096, budgets=(4096,), keep=1 << 19)
+    out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), 4096, budgets=(4096,), keep=1 << 18)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", F.col("cuts")[0].alias("cut_4096"))
 
 
