@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.byte_bpe import Chunks, read_ranks
-from eventloom.llm.common import ensure_importable
+from eventloom.llm.common import Memo, ensure_importable
 
 CAPACITIES, OVERHEAD, QUADRATIC, GROUP_ROWS = (512, 1024, 2048, 4096, 8192), 16, 65536, 20000
 #: Bytes of text in a group of pack_sequences, about: its tokens are one task's work.
@@ -132,7 +132,7 @@ def _library(rank_file: str, pattern: str) -> tuple[Chunks, np.dtype]:
         lib = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         encode = lambda s: np.array(lib.encode_ordinary(s), kind).tobytes()
-        _LIBRARY[rank_file, pattern] = Chunks(encode, encode, 1 << 19), kind
+        _LIBRARY[rank_file, pattern] = Chunks(encode, Memo(encode, 1 << 18).__getitem__, 1 << 18), kind
     return _LIBRARY[rank_file, pattern]
 
 
