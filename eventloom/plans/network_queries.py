@@ -191,7 +191,7 @@ def association_rules(spark, sf_dir):
 # ---- links ----------------------------------------------------------------------------
 
 _E = "e AS (SELECT n_name AS f, r_name AS t, CAST(count(*) AS DOUBLE) AS w FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)"
-_ORD = "o AS (SELECT o_custkey % 40 AS a, (o_orderkey // 7) % 40 AS b FROM orders), n AS (SELECT 'n' || a AS f, 'n' || b AS t, CAST(count(*) AS DOUBLE) AS w FROM o WHERE a <> b GROUP BY 1, 2), e AS (SELECT f, t, w FROM n WHERE w > (SELECT avg(w) FROM n))"
+_ORD = "n AS (SELECT 's' || l_suppkey AS f, 'n' || c_nationkey AS t, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), e AS (SELECT f, t, w FROM n WHERE w > (SELECT avg(w) FROM n))"
 _LINKS = f"""{_ORD}, g AS (SELECT s, sum(o) AS od, sum(i) AS id FROM (SELECT f AS s, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e) GROUP BY s),
 z AS (SELECT a.f AS x, b.f AS y, a.t AS z, a.w * b.w AS w FROM e a JOIN e b ON a.t = b.t AND a.f <> b.f UNION ALL SELECT a.t, b.t, a.f, a.w * b.w FROM e a JOIN e b ON a.f = b.f AND a.t <> b.t),
 k AS (SELECT x, y, sum(w) AS cn, sum(w / (od + id)) AS ra, sum(CASE WHEN od + id > 1 THEN w / ln(od + id) ELSE 0 END) AS aa FROM z JOIN g ON g.s = z.z GROUP BY x, y),
@@ -202,9 +202,14 @@ SELECT coalesce(k.x, l.x) AS x, coalesce(k.y, l.y) AS y, coalesce(cn, 0) AS cn,
 
 
 def _order_network(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("a"), (F.floor(F.col("o_orderkey") / 7) % 40).alias("b"))
-    edges = o.where("a <> b").groupBy(F.concat(F.lit("n"), "a").alias("from"), F.concat(F.lit("n"), "b").alias("to")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    # the network's strong edges: nearly every pair of the 40 nodes has some order
+    """Suppliers and the nations that their customers are from."""
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    # lines by customer first: then customers' nations meet counts and not lines
+    by = lines.join(orders, "o_orderkey").groupBy("c_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(customers, "c_custkey")
+    edges = by.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("from"), F.concat(F.lit("n"), "c_nationkey").alias("to")).agg(F.sum("n").cast("double").alias("weight"))
+    # the network's strong edges: nearly every pair has some line
     return edges.where(F.col("weight") > F.lit(edges.agg(F.avg("weight")).first()[0] or 0.0))
 
 
