@@ -251,65 +251,6 @@ def contexts(rows: DataFrame, max_order: int, min_freq: int = 1) -> DataFrame:
     return counts.withColumn("probability", F.col("count") / F.sum("count").over(Window.partitionBy("context")))
 
 
-def higher_order_rules(rows: DataFrame, max_order: int = 5, min_freq: int = 1) -> list[dict]:
-    """Contexts whose next states differ from those of a shorter context by more than chance
-    allows: context, next, count, probability, order. Counting is Spark's; growth runs over
-    the counted contexts.
-
-    From each single state, a longer context is worth having if its divergence exceeds
-    order / log2(1 + its count); where even the largest possible divergence would not, the
-    search stops."""
-    table: dict[tuple, dict[str, tuple[int, float]]] = {}
-    for r in bounded(contexts(rows, max_order, min_freq), MOST_GRAMS, "contexts; raise min_freq"):
-        table.setdefault(tuple(r.context), {})[r.next] = (r["count"], r.probability)
-    longer: dict[tuple, list[tuple]] = {}
-    for c in table:
-        if len(c) > 1:
-            longer.setdefault(c[1:], []).append(c)
-    kept: set[tuple] = set()
-
-    def divergence(a: tuple, b: tuple) -> float:
-        return sum(p * math.log2(p / table[b][s][1]) if s in table[b] else math.inf for s, (_, p) in table[a].items())
-
-    def keep(c: tuple) -> None:
-        while c and c not in kept:
-            if c in table:
-                kept.add(c)
-            c = c[1:]
-
-    def grow(valid: tuple, now: tuple, order: int) -> None:
-        if order >= max_order:
-            keep(valid)
-            return
-        total = sum(n for n, _ in table[now].values())
-        largest = -math.log2(min(p for _, p in table[valid].values()))
-        if not largest > (order + 1) / math.log2(1 + total):
-            keep(valid)
-            return
-        more = sorted(longer.get(now, ()))
-        if not more:
-            keep(valid)
-        for c in more:
-            n = sum(x for x, _ in table[c].values())
-            grow(c if divergence(c, valid) > (order + 1) / math.log2(1 + n) else valid, c, order + 1)
-
-    for c in sorted(c for c in table if len(c) == 1):
-        keep(c)
-        grow(c, c, 1)
-    return [{"context": " ".join(c), "next": s, "count": n, "probability": p, "order": len(c)} for c in sorted(kept) for s, (n, p) in sorted(table[c].items())]
-
-
-def higher_order_network(rules: list[dict]) -> list[dict]:
-    """Edges between contexts: a rule leads to the longest kept context that ends the path it makes."""
-    kept = {tuple(r["context"].split(" ")) for r in rules}
-    out = []
-    for r in rules:
-        path = (*r["context"].split(" "), r["next"])
-        to = next((path[i:] for i in range(len(path)) if path[i:] in kept), (r["next"],))
-        out.append({"from": r["context"], "to": " ".join(to), "count": r["count"], "probability": r["probability"], "from_order": r["order"], "to_order": len(to)})
-    return out
-
-
 def embedding(edges: list[dict], dims: int = 8, max_power: int = 10) -> tuple[list[str], np.ndarray, float]:
     """Nodes, coordinates and explained share: a truncated decomposition of discounted powers."""
     nodes = sorted({e["from"] for e in edges} | {e["to"] for e in edges})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
+from eventloom.operators import context_tree as ct
 from eventloom.operators import higher_order as ho
 from eventloom.operators import sequences as sq
 from eventloom.plans.sequence_queries import SEQ, P, S, event_sequences
@@ -143,24 +145,70 @@ def markov_order_test(spark, sf_dir):
     return spark.createDataFrame(ho.markov_order(_rows(spark, sf_dir), 2, 100), "order int, g2 double, df long, p_asymptotic double, p_permutation double, chosen int")
 
 
-RULES = "context string, next string, count long, probability double, order int"
+def _rules(found):
+    return found.select(F.array_join("context", " ").alias("context"), "next", "count", F.round("probability", 9).alias("probability"), "order")
 
 
-@register("higher_order_rules")
+def _ho_edges(found):
+    e = ct.network(found)
+    return e.select(F.array_join("from", " ").alias("from_context"), F.array_join("to", " ").alias("to_context"), "count", F.round("probability", 9).alias("probability"), "from_order", "to_order")
+
+
+def _daytimes(spark, sf_dir):
+    """The trails of events by kind and quarter of the day."""
+    e = event_sequences(spark, sf_dir)
+    return ho.trails(e.withColumn("state", F.concat_ws("-", "state", F.floor(F.hour("ts") / 6).cast("string"))), SEQ)
+
+
+_DAYTIMES = S.replace("event_type AS state", "event_type || '-' || CAST(hour(ts) // 6 AS VARCHAR) AS state")
+#: Growth to the third order: a level is compared with the last valid end of each context.
+TREE = f"""{_DAYTIMES}, {_gram_cte(2)}, {_gram_cte(3)}, {_gram_cte(4)},
+a AS (SELECT s0 AS c1, s1 AS nxt, count(*) AS n, sum(count(*)) OVER (PARTITION BY s0) AS t FROM k2 GROUP BY s0, s1),
+b AS (SELECT s0 AS c2, s1 AS c1, s2 AS nxt, count(*) AS n, sum(count(*)) OVER (PARTITION BY s0, s1) AS t FROM k3 GROUP BY s0, s1, s2),
+c AS (SELECT s0 AS c3, s1 AS c2, s2 AS c1, s3 AS nxt, count(*) AS n, sum(count(*)) OVER (PARTITION BY s0, s1, s2) AS t FROM k4 GROUP BY s0, s1, s2, s3),
+g1 AS (SELECT c1 FROM a GROUP BY c1 HAVING NOT -log2(min(n / t)) < 2 / log2(1 + max(t))),
+v2 AS (SELECT b.c2, b.c1, sum(b.n / b.t * log2((b.n / b.t) / (a.n / a.t))) > 2 / log2(1 + max(b.t)) AS valid FROM b JOIN g1 USING (c1) JOIN a ON a.c1 = b.c1 AND a.nxt = b.nxt GROUP BY b.c2, b.c1),
+m2 AS (SELECT b.*, v2.valid, CASE WHEN valid THEN b.n / b.t ELSE a.n / a.t END AS q, b.n / b.t = min(b.n / b.t) OVER (PARTITION BY b.c2, b.c1) AS rare FROM b JOIN v2 USING (c2, c1) JOIN a ON a.c1 = b.c1 AND a.nxt = b.nxt),
+g2 AS (SELECT c2, c1, bool_or(valid) AS valid FROM m2 WHERE rare GROUP BY c2, c1 HAVING NOT max(-log2(q)) < 3 / log2(1 + max(t))),
+v3 AS (SELECT c.c3, c.c2, c.c1, bool_or(g2.valid) AS before, sum(c.n / c.t * log2((c.n / c.t) / CASE WHEN g2.valid THEN b.n / b.t ELSE a.n / a.t END)) > 3 / log2(1 + max(c.t)) AS valid
+    FROM c JOIN g2 USING (c2, c1) JOIN b ON b.c2 = c.c2 AND b.c1 = c.c1 AND b.nxt = c.nxt JOIN a ON a.c1 = c.c1 AND a.nxt = c.nxt GROUP BY c.c3, c.c2, c.c1),
+e AS (SELECT [c3, c2, c1] AS p FROM v3 WHERE valid UNION ALL SELECT [c2, c1] FROM v3 WHERE NOT valid AND before
+    UNION ALL SELECT [c2, c1] FROM v2 WHERE valid AND NOT EXISTS (SELECT 1 FROM v3 WHERE v3.c2 = v2.c2 AND v3.c1 = v2.c1)),
+w AS (SELECT DISTINCT unnest([p[:1], p[:2], p]) AS p FROM e UNION SELECT DISTINCT [c1] FROM a),
+r AS (SELECT [c1] AS p, nxt, n, t FROM a UNION ALL SELECT [c2, c1], nxt, n, t FROM b UNION ALL SELECT [c3, c2, c1], nxt, n, t FROM c),
+rules AS (SELECT p, nxt, n, n / t AS q FROM r SEMI JOIN w USING (p))"""
+
+
+@register("higher_order_rules", f"WITH {TREE} SELECT array_to_string(p, ' ') AS context, nxt AS \"next\", n AS count, round(q, 9) AS probability, CAST(len(p) AS INTEGER) AS \"order\" FROM rules")
 def higher_order_rules(spark, sf_dir):
-    return spark.createDataFrame(ho.higher_order_rules(_rows(spark, sf_dir), 4), RULES)
+    return _rules(ct.rules(_daytimes(spark, sf_dir), 3))
 
 
-@register("higher_order_network")
+@register("deep_rules")
+def deep_rules(spark, sf_dir):
+    """The same to the fifth order."""
+    return _rules(ct.rules(_daytimes(spark, sf_dir), 5))
+
+
+@register(
+    "higher_order_network",
+    f"""WITH {TREE}, x AS (SELECT p, nxt, n, q, list_append(p, nxt) AS path FROM rules), k AS (SELECT DISTINCT p AS node FROM rules WHERE len(p) > 1),
+    o AS (SELECT x.*, node FROM x LEFT JOIN k ON node = path[-len(node):] QUALIFY row_number() OVER (PARTITION BY p, nxt ORDER BY coalesce(len(node), 0) DESC) = 1)
+    SELECT array_to_string(p, ' ') AS from_context, array_to_string(coalesce(node, [nxt]), ' ') AS to_context, n AS count, round(q, 9) AS probability, CAST(len(p) AS INTEGER) AS from_order, CAST(coalesce(len(node), 1) AS INTEGER) AS to_order FROM o""",
+)
 def higher_order_network(spark, sf_dir):
-    edges = ho.higher_order_network(ho.higher_order_rules(_rows(spark, sf_dir), 4))
-    rows = [(e["from"], e["to"], e["count"], e["probability"], e["from_order"], e["to_order"]) for e in edges]
-    return spark.createDataFrame(rows, "from_context string, to_context string, count long, probability double, from_order int, to_order int")
+    return _ho_edges(ct.rules(_daytimes(spark, sf_dir), 3))
+
+
+@register("pathways", f"WITH {TREE} SELECT array_to_string(p, ' ') || ' -> ' || nxt AS path, CAST(len(p) AS INTEGER) AS \"order\", n AS count, round(q, 9) AS probability FROM rules WHERE len(p) > 1 AND n >= 5")
+def pathways(spark, sf_dir):
+    return ct.pathways(ct.rules(_daytimes(spark, sf_dir), 3), 5).withColumn("probability", F.round("probability", 9))
 
 
 @register("higher_order_embedding")
 def higher_order_embedding(spark, sf_dir):
-    nodes, x, share = ho.embedding(ho.higher_order_network(ho.higher_order_rules(_rows(spark, sf_dir), 3)), 4)
+    edges = [{"from": r["from_context"], "to": r["to_context"], "probability": r["probability"]} for r in bounded(_ho_edges(ct.rules(_rows(spark, sf_dir), 3)), 5000, "edges of contexts")]
+    nodes, x, share = ho.embedding(edges, 4)
     return spark.createDataFrame([(n, [float(v) for v in r], share) for n, r in zip(nodes, x, strict=True)], "node string, coordinates array<double>, explained double")
 
 

@@ -180,13 +180,6 @@ def rule_pathways(spark, sf_dir):
     return ta.rule_pathways(ta.association_rules(ta.from_long(lines.join(parts, "l_partkey"), "l_orderkey", "p_type"), 0.05, 0.3, 0.0, 3)).withColumns({c: F.round(c, 9) for c in ("lift", "confidence")})
 
 
-@register("pathways")
-def pathways(spark, sf_dir):
-    rules = ho.higher_order_rules(ho.trails(event_sequences(spark, sf_dir), SEQ), 3)
-    rows = [(f"{r['context']} -> {r['next']}", r["order"], r["count"], r["probability"]) for r in rules if r["count"] >= 5]
-    return spark.createDataFrame(rows, "path string, order int, count long, probability double")
-
-
 @register("network_groups", f"WITH {P}, d AS (SELECT user_id % 3 AS g, f, t, count(*) AS n FROM p GROUP BY ALL) SELECT 'group ' || g AS model, f AS from_state, t AS to_state, CAST(n AS DOUBLE) AS weight FROM d")
 def network_groups(spark, sf_dir):
     s = event_sequences(spark, sf_dir).withColumn("g", F.col("user_id") % 3)

@@ -12,6 +12,7 @@ from eventloom.functions.expressions import average_ranks, bounded
 from eventloom.kernels import chains, distributions, graphs, penalised, topology
 from eventloom.operators import association, transitions
 from eventloom.operators import clustering as cl
+from eventloom.operators import context_tree as ct
 from eventloom.operators import higher_order as ho
 from eventloom.operators import hypergraphs as hg
 from eventloom.operators import resampling as rs
@@ -133,10 +134,10 @@ def test_paths_and_orders(spark):
     assert min(table, key=lambda t: t["bic"])["order"] == 2
     tests = ho.markov_order(rows, 3, 50)
     assert tests[1]["p_permutation"] < 0.05
-    rules = ho.higher_order_rules(rows, 3)
-    assert any(x["order"] == 2 for x in rules)
-    net = ho.higher_order_network(rules)
-    assert {e["from"] for e in net} == {x["context"] for x in rules}
+    rules = ct.rules(rows, 3)
+    assert rules.where("order = 2").count()
+    net = [{"from": " ".join(e["from"]), "to": " ".join(e["to"]), "probability": e.probability} for e in ct.network(rules).collect()]
+    assert {e["from"] for e in net} == {" ".join(x.context) for x in rules.collect()}
     _, x, share = ho.embedding(net, 3)
     assert x.shape[1] == 3 and 0 < share <= 1
 
