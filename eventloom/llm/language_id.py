@@ -7,9 +7,11 @@ description under a fixed set of models. Blocks keep a long text from becoming i
 dictionary, which would level the differences; every byte of a text counts. A text whose
 two best languages differ by less than `margin` bytes for each kilobyte is rejected.
 
-Fitting takes a bounded sample of labelled rows: `slices` slices of `slice_bytes`
-characters for each language, one from a row, rows in the order of a hash of their id
-(about twice as many are drawn, to be enough). All else covers all rows.
+Fitting takes a bounded sample of labelled rows: at most `slices` slices of `slice_chars`
+characters for each language, one from a row. Rows are drawn by a hash of their id, text and
+place in the table, so that rows of one id (or of none) are drawn one by one, and no language
+is lost; about twice as many as needed are drawn, and each task keeps `slices` a language of
+these. All else covers all rows.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0 and rejected; with
 no labelled row at all every text is `und`; equal sizes go to the language with more
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import ensure_importable
@@ -58,14 +60,16 @@ def fit(train: DataFrame, slices: int = SLICES, slice_chars: int = SLICE_CHARS,
     if not counts:
         return LanguageModel({}, **params)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * slices / n)))])
-    spot = F.xxhash64(F.col("doc_id"), F.lit("language sample"))
-    uniform = F.pmod(spot, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    spot = F.xxhash64(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id(), F.lit("language sample"))
+    rows = rows.withColumn("spot", spot)
+    uniform = F.pmod("spot", F.lit(1 << 30)) / F.lit(float(1 << 30))
     room = F.greatest(F.lit(1), F.length("text") - slice_chars + 1)
-    drawn = rows.where(uniform < share[F.col("lang")]).select("lang", spot.alias("spot"), F.substring("text", F.pmod(spot, room).cast("int") + 1, F.lit(slice_chars)).alias("slice")).collect()
+    drawn = rows.where(uniform < share[F.col("lang")]).select("lang", "spot", F.substring("text", F.pmod("spot", room).cast("int") + 1, F.lit(slice_chars)).alias("slice"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("spot"))).where(F.col("nth") <= slices).collect()
     by: dict[str, list] = {}
     for r in sorted(drawn, key=lambda r: (r.spot, r.slice)):
         by.setdefault(r.lang, []).append(letters(r.slice))
-    return LanguageModel({k: b" ".join(by[k][:slices]) for k in sorted(by, key=lambda k: (-counts[k], k))}, **params)
+    return LanguageModel({k: b" ".join(by[k]) for k in sorted(by, key=lambda k: (-counts[k], k))}, **params)
 
 
 class Classifier:
