@@ -20,8 +20,8 @@ from eventloom.storage import forget, forget_all, shared_dir, written  # noqa: F
 
 #: ASCII white space as Spark and Java patterns take it; a word is a run of other characters.
 SPACES = " \t\n\x0b\f\r"
-#: Input bytes (as stored) that one block of documents should hold.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that one block of documents should hold.
+BLOCK_BYTES = 7 << 20
 
 
 def few_files(docs: DataFrame, file_bytes: int = 8 << 20) -> int:
@@ -44,10 +44,12 @@ def id_remainder(doc_id: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks docs should be dealt into: by its size, so that a block fits a task."""
-    size = size_in_bytes(docs)
-    return max(2, math.ceil(size / block_bytes)) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row_bytes: int = 64) -> int:
+    """How many blocks docs should be dealt into, so that a block fits a task: by the bytes of
+    its texts, and some for each row. Stored bytes wouldn't do, as repeated texts take next to
+    none of these; so this reads the texts once."""
+    size = docs.select(F.octet_length(F.col("text").cast("string")).alias("size")).agg(F.sum("size").alias("text"), F.count(F.lit(1)).alias("rows")).first()
+    return max(2, math.ceil(((size.text or 0) + row_bytes * size.rows) / block_bytes))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -62,15 +64,24 @@ def mix2(x: np.ndarray, y: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(mix(x, salt) + (y << np.uint64(1)) + np.uint64(1), salt + 1)
 
 
+#: Characters of a word or segment that is worth keeping: with these, a kept one takes some
+#: hundred bytes, in whatever language.
+LONGEST_KEPT = 64
+
+
 class Memo(dict):
     """What make(key) gives, kept for up to two generations of `limit` keys: a bounded
-    stand-in for a least-recently-used table, whose hits cost one dict look-up."""
+    stand-in for a least-recently-used table, whose hits cost one dict look-up.
+
+    longest: keys of more characters are not kept, so that the table is bounded in bytes."""
 
-    def __init__(self, make, limit: int = 1 << 18):
+    def __init__(self, make, limit: int = 1 << 18, longest: int | None = None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

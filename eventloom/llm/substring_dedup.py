@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import Rolling, binary, bucket_of, ensure_importable, hash_words, mix, mix2, n_blocks
 
 WIDTH, ROUNDS = 35, 7
-#: Stored bytes of a block: its words take some forty times that in arrays.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block: its words take some twenty-five times that in arrays.
+BLOCK_BYTES = 7 << 19
 #: Blocks of documents for each bucket of keys: the rows between blocks and buckets stay few.
 BLOCKS_A_BUCKET = 8
 FAR = 1 << 40
