@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Memo, ensure_importable
+from eventloom.llm.common import LONGEST_KEPT, Memo, ensure_importable
 from eventloom.llm.token_counts import MergeRules
 
 
@@ -222,6 +222,10 @@ class TokenDecoder:
         return "".join(out) + ("\ufffd" if state is not self.start else "")
 
 
+#: A fixed value, the public pattern that texts are split by before the merges of the rank
+#: files: the one for which Chunks has been shown to be right.
+SPACE_STARTS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
+
 #: Spaces that part chunks if the pattern begins a match at each space between other characters.
 _BETWEEN = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
@@ -234,7 +238,7 @@ class Chunks:
 
     def __init__(self, encode: Callable[[str], bytes], match: Callable[[str], bytes], keep: int):
         self.encode, self.match = encode, match
-        self.mixed = Memo(self._mixed, keep)
+        self.mixed = Memo(self._mixed, keep, LONGEST_KEPT)
 
     def _mixed(self, s: str) -> bytes | None:
         """The ids of a space and what is not letters alone; None where the space stands beside
@@ -257,14 +261,18 @@ class Chunks:
 class ByteBpe:
     """Encoder and decoder of a rank file; each match of the pattern is encoded by itself.
 
-    space_starts: the pattern is one of those that Chunks is for."""
+    space_starts: look texts up in chunks, which is refused for patterns that Chunks isn't for.
+    A match that is a token is given out as that token, as the library does, before the
+    transducer sees it."""
 
     def __init__(self, rank_file: str, pattern: str, space_starts: bool = False, keep: int = 1 << 19):
+        if space_starts and pattern not in SPACE_STARTS:
+            raise ValueError("chunks are only for patterns in SPACE_STARTS")
         self.rank = read_ranks(rank_file)
         self.token = {i: t for t, i in self.rank.items()}
         self.split = regex.compile(pattern).findall
         self.fst, self.decoder = Transducer(self.rank), TokenDecoder(self.token)
-        self.matched = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep)
+        self.matched = Memo(lambda s: array("I", self.fst.encode(s.encode())).tobytes(), keep, LONGEST_KEPT)
         self.packed = Chunks(self._matches, self.matched.__getitem__, keep >> 1).packed if space_starts else self._matches
 
     def _matches(self, text: str) -> bytes:

@@ -24,14 +24,16 @@ go by id and piece; a text of any length is cut into pieces of the largest capac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.byte_bpe import Chunks, read_ranks
-from eventloom.llm.common import Memo, ensure_importable
+from eventloom.llm.byte_bpe import SPACE_STARTS, Chunks, read_ranks
+from eventloom.llm.common import LONGEST_KEPT, Memo, ensure_importable
 
 CAPACITIES, OVERHEAD, QUADRATIC, GROUP_ROWS = (512, 1024, 2048, 4096, 8192), 16, 65536, 20000
 #: Bytes of text in a group of pack_sequences, about: its tokens are one task's work.
@@ -122,17 +124,18 @@ def _packed(table: pa.Table, capacities: tuple[int, ...], overhead: float, quadr
     return table, bins, final, starts
 
 
-_LIBRARY: dict[tuple[str, str], tuple[Chunks, np.dtype]] = {}
+_LIBRARY: dict[tuple[str, str], tuple[Callable[[str], bytes], np.dtype]] = {}
 
 
-def _library(rank_file: str, pattern: str) -> tuple[Chunks, np.dtype]:
+def _library(rank_file: str, pattern: str) -> tuple[Callable[[str], bytes], np.dtype]:
     """One library encoder a worker process, and the type that its ids fit."""
     if (rank_file, pattern) not in _LIBRARY:
         ranks = read_ranks(rank_file)
         lib = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         encode = lambda s: np.array(lib.encode_ordinary(s), kind).tobytes()
-        _LIBRARY[rank_file, pattern] = Chunks(encode, Memo(encode, 1 << 18).__getitem__, 1 << 18), kind
+        look_up = Chunks(encode, Memo(encode, 1 << 18, LONGEST_KEPT).__getitem__, 1 << 18).packed
+        _LIBRARY[rank_file, pattern] = look_up if pattern in SPACE_STARTS else encode, kind
     return _LIBRARY[rank_file, pattern]
 
 
@@ -141,7 +144,7 @@ def pack_sequences(docs: DataFrame, rank_file: str, pattern: str, capacities: tu
     order, doc_ids, token_starts (where a piece begins in its document) and starts (where in
     the sequence); and ids, the tokens. docs: doc_id, text.
 
-    Tokens are the library's, by ranks, of a pattern that byte_bpe.Chunks is for. Rows and
+    Tokens are the library's, looked up in chunks where byte_bpe.Chunks is for the pattern. Rows and
     bytes of docs set the number of groups, which costs a scan of docs; tokens are exchanged once."""
     ensure_importable(docs.sparkSession)
     largest = max(capacities)
@@ -150,11 +153,11 @@ def pack_sequences(docs: DataFrame, rank_file: str, pattern: str, capacities: tu
     groups = max(1, -(-size.n // group_rows), -(-(size.bytes or 0) // group_bytes))
 
     def cut(batches):
-        chunks, kind = _library(rank_file, pattern)
+        packed, kind = _library(rank_file, pattern)
         for b in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
             owner, piece, ids, sizes = [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                raw = chunks.packed(text) if text else b""
+                raw = packed(text) if text else b""
                 for k, at in enumerate(range(0, len(raw), largest * kind.itemsize)):
                     part = raw[at : at + largest * kind.itemsize]
                     owner.append(row)

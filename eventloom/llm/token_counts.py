@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from eventloom.llm.common import Memo, ensure_importable
+from eventloom.llm.common import LONGEST_KEPT, Memo, ensure_importable
 
 MARK = "▁"
 INF = float("inf")
@@ -128,9 +128,9 @@ class PrefixCounter:
         # a line end that is a byte token stands between segments: nothing joins it
         self.lines = self.fallback and "\n" not in self.known
         #: The counts at every prefix of a segment, as the dynamic programme gave them.
-        self.stored = Memo(lambda s: array("I", self.prefixes(s)), max(1, keep >> 2))
-        self.by_segment = Memo(lambda s: self.stored[s][-1], keep)
-        self.by_word = Memo(lambda w: self.stored[MARK + w][-1], keep)
+        self.stored = Memo(lambda s: array("I", self.prefixes(s)), max(1, keep >> 2), LONGEST_KEPT)
+        self.by_segment = Memo(lambda s: self.stored[s][-1], keep, LONGEST_KEPT)
+        self.by_word = Memo(lambda w: self.stored[MARK + w][-1], keep, LONGEST_KEPT)
 
     _segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 

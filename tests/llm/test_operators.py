@@ -598,7 +598,7 @@ def test_variety_does_not_depend_on_length(spark):
         assert {r.v for r in out} == {-1 if few == 20 else 1}
 
 
-def test_estimation_equals_a_plain_one(docs):
+def test_estimation_of_documents_equals_a_plain_one(docs):
     table = quality_rules.features(docs)
     rules = quality_rules.votes()
     ballots = table.select(F.array(*rules.values()).alias("ballot"))
@@ -764,5 +764,5 @@ def test_queries_are_registered():
     from eventloom.llm import queries
 
     names = list(queries.queries())
-    assert [re.match(r"op(\d+)_", n)[1] for n in names] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in names] == [str(i) for i in range(1, 14)]
     assert json.dumps(queries.oracle_sql()) is not None
