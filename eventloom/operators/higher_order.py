@@ -15,11 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import bounded
+from eventloom.functions.expressions import benjamini_hochberg
 from eventloom.kernels.distributions import chi2_sf, hypergeometric_tails
-
-#: Distinct paths of states whose counts tests and growth take to the driver.
-MOST_GRAMS = 500_000
+from eventloom.session import ensure_importable
+from eventloom.storage import written
 
 
 def trails(df: DataFrame, seq: Sequence[str], missing: str = "close", keep: Sequence[str] = ()) -> DataFrame:
@@ -117,39 +116,6 @@ def order_tests(rows: DataFrame, k: int) -> DataFrame:
     return rows_.groupBy("context").agg(F.sum("g").alias("g2"), ((F.countDistinct("x") - 1) * (F.countDistinct("s") - 1)).alias("df"))
 
 
-def markov_order(rows: DataFrame, max_order: int = 3, n_perm: int = 200, alpha: float = 0.05, seed: int = 1) -> list[dict]:
-    """For orders 1 to max_order: g2, df, asymptotic p, and the p of permuting next states
-    inside contexts; `chosen` grows while p < alpha. Tables of counts are all that is
-    collected; a permutation of one is a draw of a table with its margins."""
-    out, chosen, open_ = [], 0, True
-    rng = np.random.default_rng(seed)
-    for k in range(1, max_order + 1):
-        tests = order_tests(rows, k).agg(F.sum("g2").alias("g2"), F.sum("df").alias("df")).first()
-        cells = grams(rows, k + 1).groupBy(F.slice("gram", 2, k - 1).alias("c"), F.col("gram")[0].alias("x"), F.element_at("gram", -1).alias("s")).count()
-        cells = bounded(cells, MOST_GRAMS, "distinct paths")
-        tables: dict[tuple, dict] = {}
-        for r in cells:
-            tables.setdefault(tuple(r.c), {})[r.x, r.s] = r["count"]
-        dense = []
-        for t in tables.values():
-            xs, ss = sorted({x for x, _ in t}), sorted({s for _, s in t})
-            dense.append(np.array([[t.get((x, s), 0) for s in ss] for x in xs]))
-        null = np.zeros(n_perm)
-        for t in dense:
-            r, c = t.sum(1), t.sum(0)
-            left = np.tile(c, (n_perm, 1))
-            for i in range(len(r)):
-                drawn = left if i == len(r) - 1 else rng.multivariate_hypergeometric(c, int(r[i]), n_perm) if i == 0 else np.array([rng.multivariate_hypergeometric(m, int(r[i])) for m in left])
-                e = r[i] * c / c.sum()
-                null += 2 * np.where(drawn > 0, drawn * np.log(np.maximum(drawn, 1) / e), 0).sum(1)
-                left = left - drawn
-        p = (1 + int((null >= tests.g2 - 1e-9).sum())) / (n_perm + 1)
-        open_ = open_ and p < alpha
-        chosen = k if open_ else chosen
-        out.append({"order": k, "g2": tests.g2, "df": int(tests.df), "p_asymptotic": chi2_sf(tests.g2, int(tests.df)) if tests.df else None, "p_permutation": p})
-    return [o | {"chosen": chosen} for o in out]
-
-
 def path_dependence(rows: DataFrame, k: int = 2, min_count: int = 5, base: float = 2.0) -> DataFrame:
     """context (k states), n, entropy_1, entropy_k, drop, divergence (of the next state given
     the context from given its last state), most_likely_1, most_likely_k, flips."""
@@ -177,10 +143,10 @@ def gram_pathways(rows: DataFrame, k: int = 1, min_count: int = 1, min_probabili
     return g.where((F.col("count") >= min_count) & (F.col("probability") >= min_probability)).select(path.alias("path"), "count", "probability")
 
 
-def anomaly_pathways(found: list[dict], kind: str = "all") -> list[str]:
-    """Paths of hypa() that are over or under what is expected, as "a b -> c"."""
-    kinds = ("over", "under") if kind == "all" else (kind,)
-    return [" -> ".join(r["path"].rsplit(" ", 1)) for k in kinds for r in found if r["kind"] == k]
+def anomaly_pathways(found: DataFrame, kind: str = "all") -> DataFrame:
+    """kind, path ("a b -> c") of the paths of hypa() that are over or under what is expected."""
+    kinds = ["over", "under"] if kind == "all" else [kind]
+    return found.where(F.col("kind").isin(kinds)).select("kind", F.regexp_replace("path", r" (\S+)$", " -> $1").alias("path"))
 
 
 def sequence_statistics(compared: DataFrame) -> DataFrame:
@@ -219,27 +185,28 @@ def sequence_compare(rows: DataFrame, group: str, sizes: Sequence[int] = (3, 4,
     return out
 
 
-def hypa(rows: DataFrame, k: int = 2, alpha: float = 0.05, min_count: int = 5) -> list[dict]:
+def hypa(rows: DataFrame, k: int = 2, alpha: float = 0.05, min_count: int = 5) -> DataFrame:
     """Paths of k + 1 states that are more or less frequent than the strengths of the k-grams
-    at their ends allow: observed, expected, tails of the hypergeometric null, adjusted p."""
-    from eventloom.kernels.distributions import adjust_bh
+    at their ends allow: path, observed, expected, p_under, p_over (tails of the
+    hypergeometric null), adjusted_under, adjusted_over (for the false discovery rate), kind.
 
+    Paths stay tables: tails are taken where they are, p-values are adjusted by ranges."""
+    ensure_importable(rows.sparkSession)
     e = gram_transitions(rows, k).select(F.array_join("from", " ").alias("f"), F.concat_ws(" ", F.array_join("from", " "), F.element_at("to", -1)).alias("path"), F.array_join("to", " ").alias("t"), "count")
-    e = e.withColumn("xi", F.sum("count").over(Window.partitionBy("f")) * F.sum("count").over(Window.partitionBy("t")))
-    e = sorted(bounded(e, MOST_GRAMS, "distinct paths"), key=lambda r: r.path)
-    if not e:
-        return []
-    total_xi, total = sum(r.xi for r in e), sum(r["count"] for r in e)
-    out = []
-    for r in e:
-        under, over = hypergeometric_tails(r["count"], int(round(total_xi)), int(round(r.xi)), int(total))
-        out.append({"path": r.path, "observed": r["count"], "expected": total * r.xi / total_xi, "p_under": under, "p_over": over})
+    e = e.withColumn("xi", F.sum("count").over(Window.partitionBy("f")) * F.sum("count").over(Window.partitionBy("t"))).select("path", F.col("count").alias("observed"), "xi")
+    total = e.agg(F.sum("observed").alias("n"), F.sum("xi").alias("xi")).first()
+    n, all_xi = int(total.n or 0), int(total.xi or 0)
+
+    def tails(frames):
+        for pdf in frames:
+            both = [hypergeometric_tails(int(x), all_xi, int(m), n) for x, m in zip(pdf.observed, pdf.xi, strict=True)]
+            yield pdf.assign(expected=n * pdf.xi / max(all_xi, 1), p_under=[b[0] for b in both], p_over=[b[1] for b in both])
+
+    found = written(e.mapInPandas(tails, "path string, observed long, xi long, expected double, p_under double, p_over double"))
     for tail in ("under", "over"):
-        for o, p in zip(out, adjust_bh([o[f"p_{tail}"] for o in out]), strict=True):
-            o[f"adjusted_{tail}"] = p
-    for o in out:
-        o["kind"] = "over" if o["adjusted_over"] < alpha and o["observed"] >= min_count else "under" if o["adjusted_under"] < alpha and o["expected"] >= min_count else "normal"
-    return out
+        found = found.join(benjamini_hochberg(found, f"p_{tail}").withColumnRenamed("adjusted", f"adjusted_{tail}"), f"p_{tail}")
+    kind = F.when((F.col("adjusted_over") < alpha) & (F.col("observed") >= min_count), "over").when((F.col("adjusted_under") < alpha) & (F.col("expected") >= min_count), "under").otherwise("normal")
+    return found.select("path", "observed", "expected", "p_under", "p_over", "adjusted_under", "adjusted_over", kind.alias("kind"))
 
 
 def contexts(rows: DataFrame, max_order: int, min_freq: int = 1) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from eventloom.functions.expressions import bounded
 from eventloom.operators import context_tree as ct
 from eventloom.operators import higher_order as ho
+from eventloom.operators import label_tests as lt
+from eventloom.operators import margins as mg
 from eventloom.operators import sequences as sq
 from eventloom.plans.sequence_queries import SEQ, P, S, event_sequences
 from eventloom.registry import register
@@ -90,6 +92,22 @@ def sequence_compare(spark, sf_dir):
     return ho.sequence_compare(_rows(spark, sf_dir, ["grp"]), "grp", [3]).select("length", "pattern", "group", "count", F.round("residual", 6).alias("residual"))
 
 
+@register(
+    "kgram_statistics",
+    f"""WITH {S}, {_gram_cte(3)}, {_gram_cte(4)}, c AS (SELECT 3 AS length, s0 || ' -> ' || s1 || ' -> ' || s2 AS pattern, user_id % 2 AS grp, count(*) AS k FROM k3 GROUP BY ALL UNION ALL SELECT 4, s0 || ' -> ' || s1 || ' -> ' || s2 || ' -> ' || s3, user_id % 2, count(*) FROM k4 GROUP BY ALL),
+    f AS (SELECT p.length, p.pattern, g.grp, coalesce(c.k, 0) AS k FROM (SELECT DISTINCT length, pattern FROM c) p CROSS JOIN (SELECT DISTINCT grp FROM c) g LEFT JOIN c ON c.length = p.length AND c.pattern = p.pattern AND c.grp = g.grp),
+    l AS (SELECT *, min(k) OVER (PARTITION BY length, pattern) AS least FROM f), z AS (SELECT *, sum(k) OVER (PARTITION BY length, pattern) * sum(k) OVER (PARTITION BY length, grp) / sum(k) OVER (PARTITION BY length) AS e FROM l WHERE least >= 5)
+    SELECT CAST(length AS INTEGER) AS length, pattern, round(sqrt(sum((k - e) * (k - e))), 6) AS statistic FROM z GROUP BY length, pattern""",
+)
+def kgram_statistics(spark, sf_dir):
+    return kgram_test(spark, sf_dir).select("length", "pattern", F.round("statistic", 6).alias("statistic"))
+
+
+@register("kgram_test")
+def kgram_test(spark, sf_dir):
+    return lt.kgram_test(_rows(spark, sf_dir, ["grp"]), SEQ, "grp", [3, 4], 5, 400)
+
+
 @register(
     "sequence_statistics",
     f"""WITH {S}, {_gram_cte(3)}, c AS (SELECT s0 || ' -> ' || s1 || ' -> ' || s2 AS pattern, user_id % 2 AS grp, count(*) AS k FROM k3 GROUP BY ALL), f AS (SELECT p.pattern, g.grp, coalesce(c.k, 0) AS k FROM (SELECT DISTINCT pattern FROM c) p CROSS JOIN (SELECT DISTINCT grp FROM c) g LEFT JOIN c ON c.pattern = p.pattern AND c.grp = g.grp),
@@ -131,7 +149,12 @@ def hypa_expected(spark, sf_dir):
 
 @register("hypa")
 def hypa(spark, sf_dir):
-    return spark.createDataFrame(ho.hypa(_rows(spark, sf_dir), 2), "path string, observed long, expected double, p_under double, p_over double, adjusted_under double, adjusted_over double, kind string")
+    return ho.hypa(_rows(spark, sf_dir), 2)
+
+
+@register("anomaly_pathways")
+def anomaly_pathways(spark, sf_dir):
+    return ho.anomaly_pathways(ho.hypa(_daytimes(spark, sf_dir), 2))
 
 
 @register("multi_order_model")
@@ -142,7 +165,7 @@ def multi_order_model(spark, sf_dir):
 
 @register("markov_order_test")
 def markov_order_test(spark, sf_dir):
-    return spark.createDataFrame(ho.markov_order(_rows(spark, sf_dir), 2, 100), "order int, g2 double, df long, p_asymptotic double, p_permutation double, chosen int")
+    return spark.createDataFrame(mg.markov_order(_rows(spark, sf_dir), 2, 100), "order int, g2 double, df long, p_asymptotic double, p_permutation double, chosen int")
 
 
 def _rules(found):

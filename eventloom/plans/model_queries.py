@@ -12,6 +12,7 @@ from eventloom.functions.expressions import bounded
 from eventloom.kernels import chains, graphs, penalised, topology
 from eventloom.operators import association as asn
 from eventloom.operators import clustering as cl
+from eventloom.operators import margins as mg
 from eventloom.operators import networks as nw
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
@@ -522,6 +523,28 @@ def contingency_residuals(spark, sf_dir):
     return out.select("row", "column", "count", F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"))
 
 
+@register(
+    "mosaic_cells",
+    """WITH f AS (SELECT o_orderpriority AS a, c_nationkey AS b, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), k AS (SELECT a, b, n FROM f QUALIFY sum(n) OVER (PARTITION BY a) >= 10 AND sum(n) OVER (PARTITION BY b) >= 10),
+    g AS (SELECT x.a, y.b, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT a FROM k) x CROSS JOIN (SELECT DISTINCT b FROM k) y LEFT JOIN k ON k.a = x.a AND k.b = y.b), t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS c, sum(n) OVER () AS t FROM g)
+    SELECT a AS "row", b AS "column", CAST(n AS BIGINT) AS count, round(r * c / t, 6) AS expected, round((n - r * c / t) / sqrt(r * c / t * (1 - r / t) * (1 - c / t)), 6) AS residual, round(100 * n / r, 6) AS percent FROM t""",
+)
+def mosaic_cells(spark, sf_dir):
+    out = mg.mosaic_cells(_priorities(spark, sf_dir), "o_orderpriority", "c_nationkey", 10, "row")
+    return out.withColumns({c: F.round(c, 6) for c in ("expected", "residual", "percent")})
+
+
+def _priorities(spark, sf_dir):
+    """Orders' priorities and their customers' nations, a row for each order."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return orders.join(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+
+
+@register("mosaic_permutation")
+def mosaic_permutation(spark, sf_dir):
+    return mg.mosaic_permutation(mg.mosaic_cells(_priorities(spark, sf_dir), "o_orderpriority", "c_nationkey"), 500)
+
+
 @register("mosaic_test")
 def mosaic_test(spark, sf_dir):
     x = cl.chi_square(cl.contingency(read_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus"))

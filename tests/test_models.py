@@ -14,6 +14,7 @@ from eventloom.operators import association, transitions
 from eventloom.operators import clustering as cl
 from eventloom.operators import context_tree as ct
 from eventloom.operators import higher_order as ho
+from eventloom.operators import margins as mg
 from eventloom.operators import hypergraphs as hg
 from eventloom.operators import resampling as rs
 from eventloom.operators import transactions as ta
@@ -132,7 +133,7 @@ def test_paths_and_orders(spark):
     rows = ho.trails(long(spark, *sequences), ["seq"])
     table = ho.multi_order_table(rows, 3)
     assert min(table, key=lambda t: t["bic"])["order"] == 2
-    tests = ho.markov_order(rows, 3, 50)
+    tests = mg.markov_order(rows, 3, 50)
     assert tests[1]["p_permutation"] < 0.05
     rules = ct.rules(rows, 3)
     assert rules.where("order = 2").count()
@@ -428,6 +429,7 @@ def test_time_formats(spark):
         assert got == "2024-03-05", text
 
 
-def test_anomalies_become_paths():
-    found = [{"path": "a b c", "kind": "over"}, {"path": "c d", "kind": "under"}, {"path": "e f", "kind": "normal"}]
-    assert ho.anomaly_pathways(found) == ["a b -> c", "c -> d"] and ho.anomaly_pathways(found, "under") == ["c -> d"]
+def test_anomalies_become_paths(spark):
+    found = spark.createDataFrame([("a b c", "over"), ("c d", "under"), ("e f", "normal")], "path string, kind string")
+    assert {r.path for r in ho.anomaly_pathways(found).collect()} == {"a b -> c", "c -> d"}
+    assert [r.path for r in ho.anomaly_pathways(found, "under").collect()] == ["c -> d"]
