@@ -13,6 +13,7 @@ from eventloom.kernels import chains, graphs, penalised, topology
 from eventloom.operators import association as asn
 from eventloom.operators import clustering as cl
 from eventloom.operators import margins as mg
+from eventloom.operators import mixtures as mx
 from eventloom.operators import networks as nw
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
@@ -502,16 +503,56 @@ def cluster_choice(spark, sf_dir):
     return spark.createDataFrame(out, "k int, method string, silhouette double, smallest int, largest int")
 
 
+def _mixture_rows(spark, sf_dir, covariates=False):
+    s = event_sequences(spark, sf_dir)
+    about = s.groupBy(*SEQ).agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("events")) if covariates else None
+    return mx.sequence_rows(s, SEQ, DAY_STATES, about, MIXTURE_TERMS if covariates else ())
+
+
+MIXTURE_TERMS = ["mean_value", "events"]
+
+
 @register("mixture_model")
 def mixture_model(spark, sf_dir):
-    rows = sorted(bounded(cl.mixture_counts(event_sequences(spark, sf_dir), SEQ, DAY_STATES), cl.MOST_KINDS, "kinds of sequences"))
-    n = len(DAY_STATES)
-    counts, first = np.array([r.counts for r in rows]).reshape(-1, n, n), np.array([DAY_STATES.index(r.first) for r in rows])
+    rows = _mixture_rows(spark, sf_dir)
     out = []
-    for k in (1, 2, 3):
-        fit = cl.chain_mixture(counts, first, k, 3, weight=np.array([r.n for r in rows]))
-        out.append((k, fit["log_likelihood"], fit["aic"], fit["bic"], fit["entropy"], float(fit["share"].max())))
-    return spark.createDataFrame(out, "k int, log_likelihood double, aic double, bic double, entropy double, largest_share double")
+    for k, m in mx.fit(rows, DAY_STATES, [1, 2, 3], 3, 30, 1e-3).items():
+        q = mx.quality(mx.assigned(rows, m), m).first()
+        out.append((k, m.log_likelihood, m.aic, m.bic, q.icl, q.entropy, q.mean_posterior, float(m.share.max())))
+    return spark.createDataFrame(out, "k int, log_likelihood double, aic double, bic double, icl double, entropy double, mean_posterior double, largest_share double")
+
+
+@register(
+    "mixture_single",
+    f"""WITH {P}, n AS (SELECT unnest({DAY_STATES}) AS x), w2 AS (SELECT a.x AS f, b.x AS t, coalesce(w, 0) AS w FROM n a CROSS JOIN n b LEFT JOIN c ON c.f = a.x AND c.t = b.x), q AS (SELECT w, (w + 0.01) / sum(w + 0.01) OVER (PARTITION BY f) AS p FROM w2),
+    h0 AS (SELECT state, count(*) AS k FROM s WHERE pos = 1 GROUP BY state), i AS (SELECT coalesce(k, 0) AS k FROM n LEFT JOIN h0 ON state = x), j AS (SELECT k, (k + 0.01) / sum(k + 0.01) OVER () AS p FROM i),
+    l AS (SELECT (SELECT sum(w * ln(p)) FROM q) + (SELECT sum(k * ln(p)) FROM j) AS ll, (SELECT sum(k) FROM j) AS m)
+    SELECT 1 AS k, round(ll, 4) AS log_likelihood, round(2 * 24 - 2 * ll, 4) AS aic, round(24 * ln(m) - 2 * ll, 4) AS bic FROM l""",
+)
+def mixture_single(spark, sf_dir):
+    """The mixture of one component, which is the chain of all sequences."""
+    m = mx.fit(_mixture_rows(spark, sf_dir), DAY_STATES, [1], 1, 3)[1]
+    return spark.createDataFrame([(1, *[round(x, 4) for x in (m.log_likelihood, m.aic, m.bic)])], "k int, log_likelihood double, aic double, bic double")
+
+
+@register("mixture_covariates")
+def mixture_covariates(spark, sf_dir):
+    m = mx.fit(_mixture_rows(spark, sf_dir, True), DAY_STATES, [2], 3, 20, 1e-6, terms=MIXTURE_TERMS)[2]
+    return mx.coefficients(spark, m, MIXTURE_TERMS)
+
+
+@register("component_networks")
+def component_networks(spark, sf_dir):
+    m = mx.fit(_mixture_rows(spark, sf_dir), DAY_STATES, [2], 3, 20, 1e-3)[2]
+    return mx.networks(spark, m).select("component", "share", F.col("from").alias("from_state"), F.col("to").alias("to_state"), "weight")
+
+
+@register("component_sizes")
+def component_sizes(spark, sf_dir):
+    """Sequences by the component that they most likely come from."""
+    rows = _mixture_rows(spark, sf_dir, True)
+    found = mx.assigned(rows, mx.fit(rows, DAY_STATES, [2], 3, 20, 1e-6, terms=MIXTURE_TERMS)[2])
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("posterior")).alias("mean_posterior"), F.avg(F.col("x")[1]).alias("mean_events"))
 
 
 _CONT = "c AS (SELECT o_orderpriority AS \"row\", o_orderstatus AS \"column\", count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY \"row\") AS r, sum(n) OVER (PARTITION BY \"column\") AS k, sum(n) OVER () AS t FROM c)"
