@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import average_ranks, bounded
+from eventloom.functions.expressions import average_ranks
 from eventloom.kernels import penalised
 from eventloom.kernels.distributions import normal_sf
+from eventloom.operators.concordance import kendall
 
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,21 +20,6 @@ def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.dropna().where(~F.greatest(*[F.isnan(c).cast("int") for c in columns], F.lit(0)).cast("boolean"))
 
 
-#: Pairs of values that a rank correlation of counts takes.
-MOST_VALUES = 4000
-
-
-def kendall(cells: np.ndarray) -> float:
-    """Tau-b of rows (x, y, count)."""
-    if not len(cells):
-        return math.nan
-    x, y, n = cells.T
-    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
-    w = np.outer(n, n)
-    a, b = (w * dx * dx).sum(), (w * dy * dy).sum()
-    return float((w * dx * dy).sum() / math.sqrt(a * b)) if a and b else math.nan
-
-
 def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with a value and a variance."""
     v = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in columns]).first()
@@ -43,7 +29,7 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> tuple[np.ndarray, int]:
     """The correlation matrix of complete rows and their number: one aggregate, p * (p - 1) / 2
     values. Spearman ranks each column first, by counts of its distinct values; Kendall's
-    tau-b takes counts of pairs of values, of which there may be MOST_VALUES."""
+    tau-b counts by ranges of values (see concordance)."""
     rows = complete(df, columns)
     if method == "spearman":
         for c in columns:
@@ -53,8 +39,7 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
         r = np.eye(len(columns))
         for i in range(len(columns)):
             for j in range(i):
-                cells = rows.groupBy(columns[i], columns[j]).agg(F.count(F.lit(1)).alias("n"))
-                r[i, j] = r[j, i] = kendall(np.array([tuple(x) for x in bounded(cells, MOST_VALUES, "pairs of values")], float))
+                r[i, j] = r[j, i] = kendall(rows, columns[i], columns[j])
         return r, rows.count()
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
     x = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()

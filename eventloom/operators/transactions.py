@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.joins import MOST, pairs_by_key
 from eventloom.storage import forget, written
 
 
@@ -48,15 +49,15 @@ def _similarity(kind: str, n: Column, a: Column, b: Column, row: Column) -> Colu
     return n if kind == "none" else top / F.when(low[kind] == 0, 1).otherwise(low[kind])
 
 
-def cooccurrence(rows: DataFrame, similarity: str = "none", least: float = 0.0, min_occur: int = 1, diagonal: bool = True, top_n: int | None = None) -> DataFrame:
+def cooccurrence(rows: DataFrame, similarity: str = "none", least: float = 0.0, min_occur: int = 1, diagonal: bool = True, top_n: int | None = None, most: int = MOST) -> DataFrame:
     """from, to, weight: transactions that hold both items, under a similarity.
 
     The join is by transaction; its size is the sum of squared transaction sizes, so items
-    rarer than min_occur go before it."""
+    rarer than min_occur go before it, and large transactions are joined in parts."""
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_occur)
     kept = rows.join(counts, "item") if min_occur > 1 else rows
-    a, b = kept.select("tid", F.col("item").alias("from")), kept.select("tid", F.col("item").alias("to"))
-    both = a.join(b, "tid").groupBy("from", "to").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    met = pairs_by_key(kept.select("tid", "item"), ["tid"], "item", most)
+    both = met.groupBy(F.col("a_item").alias("from"), F.col("b_item").alias("to")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     both = both if diagonal else both.where(F.col("from") != F.col("to"))
     both = both.join(counts.select(F.col("item").alias("from"), F.col("n").cast("double").alias("fa")), "from").join(counts.select(F.col("item").alias("to"), F.col("n").cast("double").alias("fb")), "to")
     row = F.sum("n").over(Window.partitionBy("from"))

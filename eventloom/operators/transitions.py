@@ -9,10 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import bounded
+from eventloom.session import ensure_importable
+from eventloom.storage import written
 
 
 def pairs(df: DataFrame, seq: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -81,51 +86,157 @@ def co_occurrence(df: DataFrame, seq: Sequence[str], group: Sequence[str] = (),
 def attention(df: DataFrame, seq: Sequence[str], scale: float = 1.0, direction: str = "forward", time: str | None = None, decay: Callable[[Column], Column] | None = None) -> DataFrame:
     """All pairs of positions of a sequence, weighted by a decay of their distance.
 
-    The default, exp(-distance / scale) of positions, is a sum that is carried along a
-    sequence, one for each state (see _decayed): linear in the sequence. A decay or a time
-    column of one's own takes a join by sequence, whose size is the sum of squared lengths."""
+    The default, exp(-distance / scale) of positions or of a time column, is a sum that is
+    carried along a sequence (see _decayed): linear in the sequence. A decay of one's own takes
+    a join by sequence, whose size is the sum of squared lengths; so do sequences whose time
+    falls along their positions, as their distances don't add up."""
     rows = df.where("state IS NOT NULL")
-    if decay is None and time is None:
-        ahead = _decayed(rows, seq, scale)
-        back = ahead.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight")
-        out = {"forward": ahead, "backward": back}.get(direction)
-        return ahead.union(back).groupBy("from", "to").agg(F.sum("weight").alias("weight")) if out is None else out
     at = F.col(time or "pos").cast("double")
     rows = rows.select(*seq, "pos", at.alias("t"), "state")
+    if decay is not None:
+        return _all_pairs(rows, seq, direction, decay)
+    falling = None
+    if time is not None:
+        rows = rows.where("t IS NOT NULL")
+        before = F.lag("t").over(Window.partitionBy(*seq).orderBy("pos"))
+        falling = rows.select(*seq, (F.col("t") < before).alias("_falls")).where("_falls").select(*seq).distinct()
+        odd, rows = rows.join(falling, list(seq), "left_semi"), rows.join(falling, list(seq), "left_anti")
+    ahead = _decayed(rows, seq, scale)
+    back = ahead.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight")
+    out = {"forward": ahead, "backward": back}.get(direction)
+    out = ahead.union(back) if out is None else out
+    if falling is not None:
+        out = out.union(_all_pairs(odd, seq, direction, lambda gap: F.exp(-gap / scale)))
+    return out.groupBy("from", "to").agg(F.sum("weight").alias("weight")).where("weight > 0")
+
+
+def _all_pairs(rows: DataFrame, seq: Sequence[str], direction: str, decay: Callable[[Column], Column]) -> DataFrame:
     a = rows.select(*seq, F.col("pos").alias("pa"), F.col("t").alias("ta"), F.col("state").alias("from"))
     b = rows.select(*seq, F.col("pos").alias("pb"), F.col("t").alias("tb"), F.col("state").alias("to"))
     side = {"forward": F.col("pa") < F.col("pb"), "backward": F.col("pa") > F.col("pb"), "both": F.col("pa") != F.col("pb")}[direction]
-    gap = F.abs(F.col("ta") - F.col("tb"))
-    value = decay(gap) if decay else F.exp(-gap / scale)
-    return a.join(b, list(seq)).where(side).groupBy("from", "to").agg(F.sum(value).alias("weight"))
+    return a.join(b, list(seq)).where(side).groupBy("from", "to").agg(F.sum(decay(F.abs(F.col("ta") - F.col("tb")))).alias("weight"))
+
+
+def _scan(v: np.ndarray, t: np.ndarray, start: np.ndarray, scale: float) -> np.ndarray:
+    """Each row's own vector plus those of earlier rows of its sequence, decayed to its time:
+    sums over the last 1, 2, 4, ... rows, each made of two of the one before. start: the first
+    row of a row's sequence."""
+    n, d, at = len(v), 1, np.arange(len(v))
+    longest = int((at - start).max(initial=0))
+    while d <= longest:
+        from_ = at - d >= start
+        i = at[from_]
+        add = v[i - d] * np.exp(-(t[i] - t[i - d]) / scale)[:, None]
+        v = v.copy()
+        v[i] += add
+        d *= 2
+    return v[:n]
+
+
+def _same(column: pa.Array) -> np.ndarray:
+    """Whether each value is that of the row before (nulls are alike)."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    equal = pc.fill_null(pc.equal(a, b), False)
+    return pc.or_(equal, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
 
 def _decayed(rows: DataFrame, seq: Sequence[str], scale: float) -> DataFrame:
-    """from, to, weight: the sum of exp(-(b - a) / scale) over positions a < b.
-
-    A sequence is cut into stretches of 300 scales, in which exp(a / scale) keeps its
-    precision: a position takes the sums of earlier ones of its stretch, and those of the two
-    stretches before, each brought to its own beginning; what is further back is below the
-    least number that a double holds."""
-    states = [r.state for r in bounded(rows.select("state").distinct(), 1000, "states")]
-    width = max(1, int(300 * scale))
-    cut = F.floor(F.col("pos") / width)
-    at = rows.select(*seq, "pos", "state", cut.alias("_cut"), ((F.col("pos") - cut * width) / scale).alias("_x"))
-    earlier = Window.partitionBy(*seq, "_cut").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    own = [F.coalesce(F.sum(F.when(F.col("state") == s, F.exp("_x"))).over(earlier), F.lit(0.0)).alias(f"_own{i}") for i, s in enumerate(states)]
-    inside = at.select(*seq, "state", "_cut", "_x", *own)
-    # what a stretch leaves at its end: sums of exp(-(end - a) / scale)
-    left = at.groupBy(*seq, "_cut").agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.exp(F.col("_x") - width / scale))), F.lit(0.0)).alias(f"_left{i}") for i, s in enumerate(states)])
-    one = left.select(*seq, (F.col("_cut") + 1).alias("_cut"), *[F.col(f"_left{i}") for i in range(len(states))])
-    two = left.select(*seq, (F.col("_cut") + 2).alias("_cut"), *[(F.col(f"_left{i}") * math.exp(-width / scale)).alias(f"_left{i}") for i in range(len(states))])
-    before = one.union(two).groupBy(*seq, "_cut").agg(*[F.sum(f"_left{i}").alias(f"_left{i}") for i in range(len(states))])
-    both = inside.join(before, [*seq, "_cut"], "left")
-    total = [F.sum(F.exp(-F.col("_x")) * (F.col(f"_own{i}") + F.coalesce(f"_left{i}", F.lit(0.0)))).alias(f"_w{i}") for i in range(len(states))]
-    sums = both.groupBy(F.col("state").alias("to")).agg(*total)
-    edge = F.explode(F.array(*[F.struct(F.lit(s).alias("from"), F.col(f"_w{i}").alias("weight")) for i, s in enumerate(states)])) if states else None
-    if edge is None:
-        return rows.select(F.col("state").alias("from"), F.col("state").alias("to"), F.lit(0.0).alias("weight")).limit(0)
-    return sums.select("to", edge.alias("e")).select("e.from", "to", "e.weight").where("weight > 0")
+    """from, to, weight: the sum of exp(-(b - a) / scale) over rows a before b of a sequence.
+
+    Rows are sorted by ranges of sequence and position, so a sequence of any length is spread
+    over tasks. A task scans its rows in batches, carrying a
+    vector of decayed sums, one a state, from batch to batch. Of its first and last sequence,
+    which may go on in other tasks, it also tells what it leaves at the end, and how what comes
+    from before would count; the parts of a sequence, at most one a task, then hand that on to
+    each other."""
+    ensure_importable(rows.sparkSession)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in seq}
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.select(*seq, "pos", "t", "state").repartitionByRange(n, *seq, "pos").sortWithinPartitions(*seq, "pos")
+    sums = pa.map_(pa.string(), pa.float64())
+    about = {"_from": pa.string(), "_to": pa.string(), "_weight": pa.float64(), "_pos": pa.int64(), "_first": pa.float64(), "_last": pa.float64(), "_ins": sums, "_outs": sums}
+
+    def run(batches):
+        names: dict[str, int] = {}
+        edges: dict[tuple[int, int], float] = {}
+        carry, head, parts, types = None, None, [], None
+
+        def close():
+            ins, outs = ([(s, float(x[i])) for s, i in names.items() if i < len(x) and x[i] > 0] for x in (carry["ins"], carry["v"]))
+            parts.append((*head, carry["pos"], carry["first"], carry["t"], ins, outs))
+
+        for whole in batches:
+            types = types or [whole.schema.field(c).type for c in seq]
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                keys = [b.column(c) for c in range(len(seq))]
+                pos, t = b.column(len(seq)).to_pylist(), b.column(len(seq) + 1).to_numpy()
+                code = np.fromiter((names.setdefault(s, len(names)) for s in b.column(len(seq) + 2).to_pylist()), np.int64, b.num_rows)
+                new = np.ones(b.num_rows, bool)
+                new[1:] = ~np.logical_and.reduce([_same(k) for k in keys])
+                first = tuple(k[0].as_py() for k in keys)
+                goes_on = head is not None and head == first
+                v = np.zeros((b.num_rows, len(names)))
+                v[np.arange(b.num_rows), code] = 1.0
+                start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
+                scanned = _scan(v, t, start, scale)
+                mine = start == 0  # rows of the sequence that may have begun before
+                if goes_on:
+                    old = np.zeros(len(names))
+                    old[: len(carry["v"])] = carry["v"]
+                    scanned[mine] += old * np.exp(-(t[mine] - carry["t"]) / scale)[:, None]
+                earlier = scanned - v
+                for to in np.unique(code).tolist():
+                    total = earlier[code == to].sum(0)
+                    for i in np.flatnonzero(total).tolist():
+                        edges[i, to] = edges.get((i, to), 0.0) + float(total[i])
+                if not goes_on and head is not None and not parts:
+                    close()  # a task's first sequence has ended
+                cut = np.flatnonzero(new)
+                if not goes_on:
+                    carry = {"pos": pos[0], "first": float(t[0]), "ins": np.zeros(0)}
+                ins = np.zeros(len(names))
+                ins[: len(carry["ins"])] = carry["ins"]
+                carry["ins"] = ins + np.bincount(code[mine], np.exp(-(t[mine] - carry["first"]) / scale), len(names))
+                head = first
+                if len(cut) > 1:
+                    if not parts:
+                        end = int(cut[1]) - 1
+                        carry |= {"v": scanned[end], "t": float(t[end])}
+                        close()
+                    at = int(cut[-1])
+                    head, last = tuple(k[at].as_py() for k in keys), start == at
+                    carry = {"pos": pos[at], "first": float(t[at]), "ins": np.bincount(code[last], np.exp(-(t[last] - t[at]) / scale), len(names))}
+                carry |= {"v": scanned[-1], "t": float(t[-1])}
+        if head is not None:
+            close()
+        names_of = list(names)
+        rows_out = [(*p[: len(seq)], None, None, None, *p[len(seq) :]) for p in parts]
+        rows_out += [(*[None] * len(seq), names_of[i], names_of[j], x, None, None, None, None, None) for (i, j), x in edges.items()]
+        if rows_out:
+            fields = dict(zip(seq, types, strict=True)) | about
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), fields.values(), strict=True)], names=list(fields))
+
+    def hand_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Parts of one sequence, in order: what each leaves counts in all behind it."""
+        state: dict[str, float] = {}
+        time, out = 0.0, {}
+        for r in pdf.sort_values("_pos").to_dict("records"):
+            fade = math.exp(-(r["_first"] - time) / scale) if state else 0.0
+            for a, x in state.items():
+                for b, y in dict(r["_ins"]).items():
+                    out[a, b] = out.get((a, b), 0.0) + x * fade * y
+            fade = math.exp(-(r["_last"] - time) / scale) if state else 0.0
+            state = {a: x * fade for a, x in state.items()}
+            for a, x in dict(r["_outs"]).items():
+                state[a] = state.get(a, 0.0) + x
+            time = r["_last"]
+        return pd.DataFrame([(a, b, x) for (a, b), x in out.items()], columns=["from", "to", "weight"])
+
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "_from string, _to string, _weight double, _pos long, _first double, _last double, _ins map<string,double>, _outs map<string,double>"])
+    found = written(ordered.mapInArrow(run, schema))
+    inside = found.where("_weight IS NOT NULL").select(F.col("_from").alias("from"), F.col("_to").alias("to"), F.col("_weight").alias("weight"))
+    across = found.where("_weight IS NULL").groupBy(*seq).applyInPandas(hand_on, "from string, to string, weight double")
+    return inside.union(across).groupBy("from", "to").agg(F.sum("weight").alias("weight")).where("weight > 0")
 
 
 def _long_codes(df: DataFrame, keys: Sequence[str], codes: Sequence[str], at: str) -> DataFrame:

@@ -14,6 +14,7 @@ from eventloom.operators import association as asn
 from eventloom.operators import clustering as cl
 from eventloom.operators import margins as mg
 from eventloom.operators import mixtures as mx
+from eventloom.operators import near_sequences as ns
 from eventloom.operators import networks as nw
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
@@ -235,6 +236,20 @@ def concordance_network(spark, sf_dir):
     return _edge_rows(spark, rows, ["weight"]).withColumn("weight", F.round("weight", 6))
 
 
+@register(
+    "concordance_of_prices",
+    """WITH r AS (SELECT l_quantity AS q, l_extendedprice AS p, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL), k AS (SELECT DISTINCT q FROM r), v AS (SELECT DISTINCT p FROM r),
+    g AS (SELECT v.p, k.q, coalesce(r.n, 0) AS n FROM v CROSS JOIN k LEFT JOIN r ON r.p = v.p AND r.q = k.q), c AS (SELECT p, q, n, sum(n) OVER (PARTITION BY q ORDER BY p) - n AS less, sum(n) OVER (PARTITION BY q) AS total FROM g),
+    u AS (SELECT p, q, n, less, total - less - n AS more FROM c), z AS (SELECT n, sum(less - more) OVER (PARTITION BY p ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM u),
+    a AS (SELECT CAST(sum(n * s) AS DOUBLE) AS s, CAST(sum(n) AS DOUBLE) AS t FROM z), x AS (SELECT CAST(sum(m * m) AS DOUBLE) AS x FROM (SELECT sum(n) AS m FROM r GROUP BY q)), y AS (SELECT CAST(sum(m * m) AS DOUBLE) AS y FROM (SELECT sum(n) AS m FROM r GROUP BY p))
+    SELECT 'l_quantity' AS from_state, 'l_extendedprice' AS to_state, round(2 * s / sqrt((t * t - x) * (t * t - y)), 6) AS weight FROM a, x, y""",
+)
+def concordance_of_prices(spark, sf_dir):
+    names = ["l_quantity", "l_extendedprice"]
+    rows = asn.network(read_table(spark, sf_dir, "lineitem").select(*names), names, "cor", cor_method="kendall")
+    return _edge_rows(spark, rows, ["weight"]).withColumn("weight", F.round("weight", 6))
+
+
 def _order_measures(spark, sf_dir):
     """Each order's lines, those returned, and sums over them: numbers that go together."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -439,6 +454,26 @@ def distinct_sequences(spark, sf_dir):
     return _texts(spark, sf_dir)
 
 
+def _session_texts(spark, sf_dir):
+    """Sessions as texts, a letter for each event."""
+    s = event_sequences(spark, sf_dir)
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("state", 1, 1).alias("c")))), lambda e: e["c"]), "")
+    return s.groupBy(*SEQ).agg(letters.alias("text")).select("text")
+
+
+_SESSION_TEXTS = S + ", x AS (SELECT DISTINCT string_agg(state[1], '' ORDER BY pos) AS t FROM s GROUP BY user_id, session)"
+
+
+@register("near_sequences", f"WITH {_SESSION_TEXTS} SELECT a.t AS a, b.t AS b, CAST(levenshtein(a.t, b.t) AS INTEGER) AS d FROM x a JOIN x b ON a.t < b.t AND abs(length(a.t) - length(b.t)) <= 2 WHERE levenshtein(a.t, b.t) <= 2")
+def near_sequences(spark, sf_dir):
+    return ns.near_pairs(_session_texts(spark, sf_dir), 2)
+
+
+@register("near_sequences_share")
+def near_sequences_share(spark, sf_dir):
+    return ns.share_compared(_session_texts(spark, sf_dir), 2)
+
+
 @register("distance_levenshtein", f"WITH {_QUARTERS} SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS DOUBLE) AS d FROM q a JOIN q b ON a.x < b.x")
 def distance_levenshtein(spark, sf_dir):
     return cl.distances(_texts(spark, sf_dir), "lv")
