@@ -14,6 +14,7 @@ from eventloom.operators import association as asn
 from eventloom.operators import clustering as cl
 from eventloom.operators import margins as mg
 from eventloom.operators import mixtures as mx
+from eventloom.operators import moderated as md
 from eventloom.operators import near_sequences as ns
 from eventloom.operators import networks as nw
 from eventloom.operators import resampling as rs
@@ -308,6 +309,33 @@ def mixed_network(spark, sf_dir):
     return _edge_rows(spark, [{"from": names[j], "to": names[i], "weight": w[i, j]} for i in range(4) for j in range(i)], ["weight"])
 
 
+@register("moderated_network")
+def moderated_network(spark, sf_dir):
+    """Edges between an order's other measures where none, one and three of its lines came back."""
+    df, columns = _order_measures(spark, sf_dir)
+    model = md.fit(df, columns, "returned")
+    return md.networks(spark, model, [0.0, 1.0, 3.0]).withColumnsRenamed({"from": "from_state", "to": "to_state"})
+
+
+@register(
+    "moderated_moments",
+    f"""WITH {_MEASURES}, a AS (SELECT avg(lines) AS ml, stddev_samp(lines) AS sl, avg(quantity) AS mq, stddev_samp(quantity) AS sq, avg(price) AS mp, stddev_samp(price) AS sp FROM o),
+    z AS (SELECT (lines - ml) / sl AS l, (quantity - mq) / sq AS q, (price - mp) / sp AS p FROM o, a)
+    SELECT x AS term, y AS "with", round(v, 6) AS mean_product FROM (SELECT 'quantity' AS x, 'lines*price' AS y, avg(q * l * p) AS v FROM z UNION ALL SELECT 'lines*quantity', 'lines*price', avg(l * q * l * p) FROM z UNION ALL SELECT 'price', 'quantity', avg(p * q) FROM z)""",
+)
+def moderated_moments(spark, sf_dir):
+    """Three of the sums of products that the moderated network is fitted to."""
+    df, _ = _order_measures(spark, sf_dir)
+    names = ["lines", "quantity", "price"]
+    rows = asn.complete(df, names)
+    about = rows.agg(*[f(c) for c in names for f in (F.avg, F.stddev_samp)]).first()
+    terms = [(0,), (1,), (2,), (0, 1), (0, 2)]
+    x = md.product_moments(rows, names, np.array(about[::2]), np.array(about[1::2]), terms)
+    x = x / x[0, 0]
+    out = [("quantity", "lines*price", x[2, 5]), ("lines*quantity", "lines*price", x[4, 5]), ("price", "quantity", x[3, 2])]
+    return spark.createDataFrame([(a, b, round(float(v), 6)) for a, b, v in out], "term string, with string, mean_product double")
+
+
 @register("predictability")
 def predictability(spark, sf_dir):
     r, _ = asn.correlations(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS)
