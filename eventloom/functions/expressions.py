@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.storage import written
+
 
 def average_rank(value: str, *by: str) -> Column:
     """Rank from 1, equal values sharing the mean of theirs."""
@@ -16,7 +18,7 @@ def average_ranks(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
     of theirs. Values are cut into ranges at approximate quantiles; counts below are summed in
     each range, and the ranges' totals, of which there are `parts`, are added to them. A cut
     anywhere gives the same ranks, so quantiles need not be exact."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count")))
     cuts = sorted(set(counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005)))
     at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
     ranged = counts.withColumn("_range", at)

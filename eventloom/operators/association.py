@@ -6,13 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.expressions import average_ranks
+from eventloom.functions.expressions import average_ranks, bounded
 from eventloom.kernels import penalised
 from eventloom.kernels.distributions import normal_sf
 from eventloom.operators.concordance import kendall
+from eventloom.session import ensure_importable
 
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,6 +43,8 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
             for j in range(i):
                 r[i, j] = r[j, i] = kendall(rows, columns[i], columns[j])
         return r, rows.count()
+    if len(columns) > WIDE:
+        return _wide_correlations(rows, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
     x = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     r = np.eye(len(columns))
@@ -49,6 +53,33 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     return r, x.n
 
 
+#: Beyond so many columns one aggregate for each pair would be too much code for a plan.
+WIDE = 12
+
+
+def _wide_correlations(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
+    """The same from a matrix of products, which tasks add up a batch at a time."""
+    ensure_importable(rows.sparkSession)
+    about = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    center, p = np.array([about[f"m{i}"] or 0.0 for i in range(len(columns))]), len(columns)
+
+    def run(batches):
+        total = np.zeros((p, p))
+        for b in batches:
+            if b.num_rows:
+                z = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)]) - center
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], names=["sums"])
+
+    cells = rows.select(*columns).mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x"))
+    flat = np.zeros(p * p)
+    for r in cells.groupBy("at").agg(F.sum("x").alias("x")).collect():  # columns squared
+        flat[r["at"]] = r.x
+    m = flat.reshape(p, p)
+    d = np.sqrt(np.maximum(np.diag(m), 1e-300))
+    return m / np.outer(d, d), about.n
+
+
 def network(df: DataFrame, columns: Sequence[str], method: str = "cor", threshold: float = 0.0, **params) -> list[dict]:
     """Undirected edges by cor, pcor or glasso (information criterion)."""
     columns = varying(df, columns)
@@ -88,7 +119,7 @@ def panel_moments(rows: DataFrame, id_column: str, design: Sequence[str]) -> tup
     whole = rows.agg(*[F.sum(F.col(design[i]) * F.col(design[j])).alias(f"m{i}_{j}") for i, j in cells]).first()
     per = rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(design)])
     kinds = per.groupBy("n").agg(F.count(F.lit(1)).alias("persons"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in cells])
-    return square(whole), [(float(x.n), float(x.persons), np.array([x[f"s{i}"] for i in range(d)], float), square(x)) for x in kinds.orderBy("n").collect()]
+    return square(whole), [(float(x.n), float(x.persons), np.array([x[f"s{i}"] for i in range(d)], float), square(x)) for x in bounded(kinds.orderBy("n"), 100_000, "lengths of series")]
 
 
 def random_intercept(whole: np.ndarray, kinds: list, x: list[int], y: int) -> dict:

@@ -323,7 +323,7 @@ def rank_test(df: DataFrame, group: str, value: str) -> dict:
     from eventloom.kernels.distributions import chi2_sf
 
     ranks = average_ranks(df, value)
-    g = df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    g = bounded(df.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")), 10_000, "groups")
     n = sum(x.n for x in g)
     ties = ranks.agg(F.sum(F.pow("count", 3) - F.col("count"))).first()[0] or 0.0
     h = (12 / (n * (n + 1)) * sum(x.r**2 / x.n for x in g) - 3 * (n + 1)) / (1 - ties / (n**3 - n))

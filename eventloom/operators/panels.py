@@ -18,6 +18,7 @@ from eventloom.kernels import graphs, penalised
 from eventloom.kernels.distributions import adjust
 from eventloom.operators.association import complete
 from eventloom.operators.resampling import correlation
+from eventloom.storage import written
 
 BLOCK = 20_000
 
@@ -38,7 +39,8 @@ def moment_replicates(df: DataFrame, columns: Sequence[str], iterations: int, se
     share of them without. Blocks' parts of the draws come from generators seeded alike."""
     rows = complete(df, columns)
     blocks = max(1, rows.count() // BLOCK + 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
+    # the row's number keeps equal rows, however many, from meeting in one block
+    dealt = written(rows.withColumn("block", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")))
     sizes = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
     order = sorted(sizes)
     total = sum(sizes.values())

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
+
 #: Texts that stand for a missing state.
 VOID = ("%", "*", "", "NA", "NaN")
 
@@ -93,7 +95,7 @@ def long_to_wide(df: DataFrame, seq: Sequence[str], length: int, prefix: str = "
 
 def states_of(df: DataFrame, state: str = "state") -> list[str]:
     """The alphabet in binary order. It is small by nature: states label a model's nodes."""
-    return sorted(r[0] for r in df.select(clean(F.col(state)).alias("s")).where("s IS NOT NULL").distinct().collect())
+    return sorted(r[0] for r in bounded(df.select(clean(F.col(state)).alias("s")).where("s IS NOT NULL").distinct(), 10_000, "states"))
 
 
 def one_hot(df: DataFrame, state: str, states: Sequence[str], prefix: str = "") -> DataFrame:

@@ -17,6 +17,7 @@ from eventloom.operators import mixtures as mx
 from eventloom.operators import moderated as md
 from eventloom.operators import near_sequences as ns
 from eventloom.operators import networks as nw
+from eventloom.operators import person_paths as pp
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
 from eventloom.plans.sequence_queries import DAY_STATES, SEQ, P, S, event_sequences
@@ -28,7 +29,7 @@ EDGE = "from_state string, to_state string"
 
 def _matrix(edges, states=None):
     """The dense matrix of a network's edges: as many rows as states."""
-    rows = edges.select("from", "to", "weight").collect()
+    rows = bounded(edges.select("from", "to", "weight"), 250_000, "edges")
     states = states or sorted({r["from"] for r in rows} | {r["to"] for r in rows})
     at = {s: i for i, s in enumerate(states)}
     m = np.zeros((len(states), len(states)))
@@ -169,11 +170,14 @@ def q_analysis(spark, sf_dir):
 
 @register("hypergraph_centrality")
 def hypergraph_centrality(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("u"), "event_type").agg(F.count(F.lit(1)).cast("double").alias("n")).collect()
-    users, kinds = sorted({r.u for r in e}), sorted({r.event_type for r in e})
+    """Nations that send orders of the same priorities, on the days they do."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.dayofweek("o_orderdate").alias("day"))
+    o = orders.join(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    e = bounded(o.groupBy(F.col("c_nationkey").alias("u"), F.concat_ws("-", "o_orderpriority", "day").alias("kind")).agg(F.count(F.lit(1)).cast("double").alias("n")), 100_000, "cells of a hypergraph")
+    users, kinds = sorted({r.u for r in e}), sorted({r.kind for r in e})
     m = np.zeros((len(users), len(kinds)))
     for r in e:
-        m[users.index(r.u), kinds.index(r.event_type)] = r.n
+        m[users.index(r.u), kinds.index(r.kind)] = r.n
     x = {k: topology.hypergraph_centrality(m, k) for k in ("clique", "Z", "H")}
     return spark.createDataFrame([(int(u), *[float(v[i]) for v in x.values()]) for i, u in enumerate(users)], "node int, clique double, z double, h double")
 
@@ -336,14 +340,50 @@ def moderated_moments(spark, sf_dir):
     return spark.createDataFrame([(a, b, round(float(v), 6)) for a, b, v in out], "term string, with string, mean_product double")
 
 
+def _days(spark, sf_dir):
+    """Each user's days: events, their mean value and the hours between the first and last."""
+    e = read_table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"))
+    hours = (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 3.6e9
+    return e.agg(F.count(F.lit(1)).cast("double").alias("events"), F.avg("value").alias("value"), hours.alias("hours"))
+
+
+DAY_MEASURES = ["events", "value", "hours"]
+_DAYS = "d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS events, avg(value) AS value, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours FROM events GROUP BY ALL)"
+
+
+@register(
+    "person_moments",
+    f"""WITH {_DAYS}, l AS (SELECT *, lag(events) OVER w AS events0, lag(value) OVER w AS value0, lag(hours) OVER w AS hours0 FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+    c AS (SELECT * FROM l WHERE events IS NOT NULL AND value IS NOT NULL AND hours IS NOT NULL AND events0 IS NOT NULL AND value0 IS NOT NULL AND hours0 IS NOT NULL)
+    SELECT user_id AS person, count(*) AS n, round(covar_pop(events, events0), 6) AS events_events0, round(covar_pop(hours, value0), 6) AS hours_value0, round(var_pop(hours), 6) AS hours_hours FROM c GROUP BY user_id
+    HAVING count(*) >= 2 AND var_pop(events) > 0 AND var_pop(value) > 0 AND var_pop(hours) > 0 AND var_pop(events0) > 0 AND var_pop(value0) > 0 AND var_pop(hours0) > 0""",
+)
+def person_moments(spark, sf_dir):
+    """Some of the covariances that a person's path model is fitted to."""
+    m = pp.person_moments(_days(spark, sf_dir), "user_id", ["day"], DAY_MEASURES)
+    return m.select("person", "n", *[F.round(F.col("cov")[6 * i + j], 6).alias(name) for i, j, name in ((0, 3, "events_events0"), (2, 4, "hours_value0"), (2, 2, "hours_hours"))])
+
+
+@register("person_paths")
+def person_paths(spark, sf_dir):
+    return pp.person_paths(_days(spark, sf_dir), "user_id", ["day"], DAY_MEASURES)
+
+
+@register("path_shares")
+def path_shares(spark, sf_dir):
+    return pp.path_shares(person_paths(spark, sf_dir))
+
+
 @register("predictability")
 def predictability(spark, sf_dir):
     r, _ = asn.correlations(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS)
     return spark.createDataFrame([(c, float(x)) for c, x in zip(NUMBERS, penalised.predictability(np.linalg.inv(r)), strict=True)], "node string, r2 double")
 
 
-def _embedding_columns(spark, sf_dir, n=6):
+def _embedding_columns(spark, sf_dir):
+    """All components of the vectors."""
     e = read_table(spark, sf_dir, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
     return e.select(*[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(n)]), [f"v{i}" for i in range(n)]
 
 
@@ -712,7 +752,7 @@ def certainty_moments(spark, sf_dir):
 def bootstrap_association(spark, sf_dir):
     from eventloom.operators import panels
 
-    df, columns = _embedding_columns(spark, sf_dir, 6)
+    df, columns = _embedding_columns(spark, sf_dir)
     return _edge_rows(spark, panels.bootstrap_association(df, columns, "pcor", 50), ["weight", "mean", "low", "high", "inclusion"])
 
 
@@ -729,7 +769,7 @@ def network_comparison_test(spark, sf_dir):
 def strength_stability(spark, sf_dir):
     from eventloom.operators import panels
 
-    df, columns = _embedding_columns(spark, sf_dir, 6)
+    df, columns = _embedding_columns(spark, sf_dir)
     return spark.createDataFrame([tuple(float(v) for v in r.values()) for r in panels.strength_stability(df, columns, "pcor", (0.1, 0.5), 30)], "drop double, mean double, share_above double, coefficient double")
 
 
@@ -746,8 +786,8 @@ def item_composites(spark, sf_dir):
 def loading_stability(spark, sf_dir):
     from eventloom.operators import panels
 
-    df, columns = _embedding_columns(spark, sf_dir, 6)
-    rows = panels.loading_stability(df, {"a": columns[:3], "b": columns[3:]}, "pcor", 50)
+    df, columns = _embedding_columns(spark, sf_dir)
+    rows = panels.loading_stability(df, {"a": columns[: len(columns) // 2], "b": columns[len(columns) // 2 :]}, "pcor", 50)
     return spark.createDataFrame([tuple(r.values()) for r in rows], "item string, cluster string, own double, low double, high double, misfit_share double")
 
 
@@ -755,6 +795,6 @@ def loading_stability(spark, sf_dir):
 def layered_association(spark, sf_dir):
     from eventloom.operators import panels
 
-    df, columns = _embedding_columns(spark, sf_dir, 6)
-    x = panels.layered_association(df, {"a": columns[:3], "b": columns[3:]}, "pcor")
+    df, columns = _embedding_columns(spark, sf_dir)
+    x = panels.layered_association(df, {"a": columns[: len(columns) // 2], "b": columns[len(columns) // 2 :]}, "pcor")
     return spark.createDataFrame([(r["item"], r["cluster"], r["own"], r["other"], r["cross"], bool(r["misfit"])) for r in x["loadings"]], "item string, cluster string, own double, other string, cross_weight double, misfit boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from eventloom.functions.expressions import bounded
 from eventloom.kernels import graphs, likeness, regression, topology
 from eventloom.operators import clustering as cl
 from eventloom.operators import higher_order as ho
@@ -127,7 +128,8 @@ def cluster_network(spark, sf_dir):
 def covariate_model(spark, sf_dir):
     """Which of two kinds of order a covariate goes with: counts of combinations are all that
     the model is given, however many orders there are."""
-    o = read_table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price")).orderBy("o_orderstatus", "o_orderpriority").collect()
+    o = read_table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price"))
+    o = sorted(bounded(o, 1000, "combinations"), key=lambda r: (r.o_orderstatus, r.o_orderpriority))
     levels = sorted({r.o_orderpriority for r in o})
     x = np.array([[1.0, *[float(r.o_orderpriority == v) for v in levels[1:]]] for r in o])
     y, n = np.array([int(r.o_orderstatus == "O") for r in o]), np.array([r.n for r in o], float)

@@ -83,6 +83,17 @@ def test_kendall_of_constants_and_many_values(spark):
     assert cc.kendall(df, "x", "x") == 1.0
 
 
+def test_correlations_of_many_columns(spark):
+    from eventloom.operators import association as asn
+
+    x = np.random.default_rng(1).standard_normal((200, 20)) @ np.random.default_rng(2).standard_normal((20, 20)) + 100
+    names = [f"v{i}" for i in range(20)]
+    df = spark.createDataFrame([*(tuple(map(float, r)) for r in x), (None, *[1.0] * 19)], ", ".join(f"{c} double" for c in names)).repartition(3)
+    r, n = asn.correlations(df, names)
+    assert n == 200 and np.allclose(r, np.corrcoef(x.T))
+    assert np.allclose(asn.correlations(df, names[:5])[0], np.corrcoef(x.T)[:5, :5])
+
+
 # ---- attention -----------------------------------------------------------------------
 
 
