@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.expressions import bounded
 from eventloom.kernels import penalised
 from eventloom.operators import association, networks, sequences, transitions
+from eventloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -66,10 +67,24 @@ def list_estimators() -> list[Estimator]:
     return [_ESTIMATORS[k] for k in sorted(_ESTIMATORS)]
 
 
-def build_network(df: DataFrame, method: str = "relative", seq: Sequence[str] = (), start: str | None = None, end: str | None = None, scaling: str | None = None, threshold: float = 0.0, **params) -> DataFrame:
+#: Groups that one call makes networks of.
+MOST_GROUPS = 1000
+
+
+def build_network(df: DataFrame, method: str = "relative", seq: Sequence[str] = (), start: str | None = None, end: str | None = None, scaling: str | None = None, threshold: float = 0.0, group: str | None = None, level: str | None = None, id_column: str | None = None, **params) -> DataFrame:
     """Edges of the network that `method` makes of df: markers first, then the estimator,
-    then scaling and the threshold."""
+    then scaling and the threshold.
+
+    group: a network for each of its values, all over the same nodes, those of any group; the
+    result has the column `group`, and weight 0 where a group lacks an edge. level: `between`
+    (persons' means) or `within` (deviations from these) of numeric columns, by id_column."""
+    if group is not None:
+        return _by_group(df, group, method=method, seq=seq, start=start, end=end, scaling=scaling, threshold=threshold, level=level, id_column=id_column, **params)
     estimator = get_estimator(method)
+    if level is not None:
+        if id_column is None or "columns" not in params:
+            raise ValueError("a level needs id_column and columns")
+        df = association.between_within(df.select(id_column, *params["columns"]), id_column, params["columns"], level)
     if (start or end) and seq:
         df = sequences.with_markers(df, seq, start, end)
     edges = estimator.run(df, seq, **params) if seq else estimator.run(df, **params)
@@ -78,6 +93,23 @@ def build_network(df: DataFrame, method: str = "relative", seq: Sequence[str] =
     return networks.threshold(edges, threshold) if threshold else edges
 
 
+def _by_group(df: DataFrame, group: str, **how) -> DataFrame:
+    """The networks of all groups, filled up over the nodes of all of them."""
+    kind = df.schema[group].dataType
+    values = sorted(r[0] for r in bounded(df.where(F.col(group).isNotNull()).select(group).distinct(), MOST_GROUPS, "groups"))
+    found = None
+    for v in values:
+        part = build_network(df.where(F.col(group) == F.lit(v)), **how).select(F.lit(v).cast(kind).alias("group"), "from", "to", F.col("weight").cast("double").alias("weight"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return df.sparkSession.createDataFrame([], f"group {kind.simpleString()}, from string, to string, weight double")
+    found = written(found)
+    labels = found.select(F.explode(F.array("from", "to")).alias("node")).agg(F.collect_set("node").alias("n"))  # the pooled alphabet
+    groups = df.sparkSession.createDataFrame([(v,) for v in values], found.select("group").schema)
+    grid = groups.withColumn("_one", F.lit(1)).join(labels.withColumn("_one", F.lit(1)), "_one").select("group", F.explode("n").alias("from"), "n").select("group", "from", F.explode("n").alias("to"))
+    return grid.join(found, ["group", "from", "to"], "left").select("group", "from", "to", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 def _numeric(method):
     def run(df: DataFrame, columns: Sequence[str], **params) -> DataFrame:
         rows = [(e["from"], e["to"], e["weight"]) for e in association.network(df, columns, method, **params)]

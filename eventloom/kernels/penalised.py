@@ -216,6 +216,11 @@ def predictability(theta: np.ndarray) -> np.ndarray:
     return np.clip(1 - 1 / np.diag(theta), 0, 1)
 
 
+def prediction_error(r2: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Root mean squared error of predictions that explain r2 of deviations sd."""
+    return sd * np.sqrt(np.maximum(1 - r2, 0))
+
+
 def neighbour_predictability(r: np.ndarray, w: np.ndarray) -> np.ndarray:
     out = np.zeros(len(r))
     for j in range(len(r)):

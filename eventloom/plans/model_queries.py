@@ -221,6 +221,18 @@ def predictability_of_three(spark, sf_dir):
     return spark.createDataFrame([(c, float(x)) for c, x in zip(THREE, penalised.predictability(np.linalg.inv(r)), strict=True)], "node string, r2 double").withColumn("r2", F.round("r2", 6))
 
 
+@register(
+    "prediction_errors",
+    f"WITH {_R3}, v AS (SELECT stddev_samp(l_quantity) AS q, stddev_samp(l_extendedprice) AS p, stddev_samp(l_discount) AS d FROM lineitem WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NUMBERS)}) SELECT 'l_quantity' AS node, round(q * sqrt(1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)), 5) AS rmse FROM r, v UNION ALL SELECT 'l_extendedprice', round(p * sqrt(1 - (a * a + c * c - 2 * a * b * c) / (1 - b * b)), 5) FROM r, v UNION ALL SELECT 'l_discount', round(d * sqrt(1 - (b * b + c * c - 2 * a * b * c) / (1 - a * a)), 5) FROM r, v",
+)
+def prediction_errors(spark, sf_dir):
+    rows = asn.complete(read_table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS)
+    r, _ = asn.correlations(rows.select(*THREE), THREE)
+    sd = np.array(rows.agg(*[F.stddev_samp(c) for c in THREE]).first())
+    error = penalised.prediction_error(penalised.predictability(np.linalg.inv(r)), sd)
+    return spark.createDataFrame([(c, round(float(x), 5)) for c, x in zip(THREE, error, strict=True)], "node string, rmse double")
+
+
 _RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in NUMBERS)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom import estimators
 from eventloom.operators import sequences as sq
 from eventloom.operators import transitions as tr
 from eventloom.registry import register
@@ -110,6 +111,29 @@ def transition_by_group(spark, sf_dir):
     return tr.relative(s, SEQ, ["grp"]).select("grp", F.col("from").alias("from_state"), F.col("to").alias("to_state"), F.round("weight", 9).alias("weight"))
 
 
+@register(
+    "network_by_group",
+    f"""WITH {P}, d AS (SELECT user_id % 3 AS g, f, t, count(*) AS w FROM p GROUP BY ALL), n AS (SELECT f AS s FROM d UNION SELECT t FROM d), q AS (SELECT g, f, t, w / sum(w) OVER (PARTITION BY g, f) AS w FROM d)
+    SELECT k.g AS "group", a.s AS from_state, b.s AS to_state, round(coalesce(q.w, 0), 9) AS weight FROM (SELECT DISTINCT g FROM d) k CROSS JOIN n a CROSS JOIN n b LEFT JOIN q ON q.g = k.g AND q.f = a.s AND q.t = b.s""",
+)
+def network_by_group(spark, sf_dir):
+    """The registry's estimator for each group of users, over the states of all groups."""
+    s = event_sequences(spark, sf_dir).withColumn("grp", F.col("user_id") % 3)
+    found = estimators.build_network(s, "tna", SEQ, group="grp")
+    return found.select("group", F.col("from").alias("from_state"), F.col("to").alias("to_state"), F.round("weight", 9).alias("weight"))
+
+
+@register(
+    "network_between_users",
+    """WITH m AS (SELECT user_id, avg(value) AS value, avg(CAST(hour(ts) AS DOUBLE)) AS hour FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT 'hour' AS to_state, 'value' AS from_state, round(corr(value, hour), 6) AS weight FROM m""",
+)
+def network_between_users(spark, sf_dir):
+    """Correlations of users' means."""
+    rows = read_table(spark, sf_dir, "events").select("user_id", "value", F.hour("ts").cast("double").alias("hour")).where("value IS NOT NULL")
+    found = estimators.build_network(rows, "cor", level="between", id_column="user_id", columns=["value", "hour"])
+    return found.select(F.col("from").alias("from_state"), F.col("to").alias("to_state"), F.round("weight", 6).alias("weight"))
+
+
 @register(
     "transition_windowed",
     f"""WITH {S}, k AS (SELECT user_id, session, (pos - 1) // 3 AS win, state, count(*) AS n FROM s GROUP BY ALL)

@@ -140,3 +140,22 @@ def test_estimators_are_a_registry(spark):
     estimators.remove_estimator("mine")
     with pytest.raises(KeyError):
         estimators.get_estimator("mine")
+
+
+def test_networks_by_group_share_their_nodes(spark):
+    rows = [("x", 1, 1, "A"), ("x", 1, 2, "B"), ("x", 1, 3, "A"), ("y", 2, 1, "B"), ("y", 2, 2, "C"), (None, 3, 1, "A"), (None, 3, 2, "C")]
+    df = spark.createDataFrame(rows, "g string, seq int, pos int, state string")
+    for method in ("frequency", "attention"):
+        found = {(r.group, r["from"], r["to"]): r.weight for r in estimators.build_network(df, method, ["seq"], group="g").collect()}
+        assert len(found) == 2 * 9 and {g for g, _, _ in found} == {"x", "y"}
+        assert found["x", "A", "B"] > 0 == found["x", "B", "C"] and found["y", "B", "C"] > 0 == found["y", "A", "B"]
+    assert estimators.build_network(df.where("g IS NULL"), "frequency", ["seq"], group="g").count() == 0
+
+
+def test_networks_between_and_within_persons(spark):
+    rows = [(p, float(p + d), float(p - d)) for p in range(6) for d in (-1, 0, 1)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    weight = lambda level: estimators.build_network(df, "cor", level=level, id_column="id", columns=["a", "b"]).first().weight
+    assert round(weight("between"), 9) == 1 and round(weight("within"), 9) == -1
+    with pytest.raises(ValueError, match="id_column"):
+        estimators.build_network(df, "cor", level="between", columns=["a", "b"])
