@@ -20,6 +20,7 @@ from eventloom.operators import networks as nw
 from eventloom.operators import person_paths as pp
 from eventloom.operators import resampling as rs
 from eventloom.operators import transitions as tr
+from eventloom.plans.graph_queries import dependencies_sql
 from eventloom.plans.sequence_queries import DAY_STATES, SEQ, P, S, event_sequences
 from eventloom.registry import register
 from eventloom.session import read_table
@@ -121,16 +122,36 @@ def net_centrality(spark, sf_dir):
     return spark.createDataFrame([(s, *[float(v[i]) for v in x.values()]) for i, s in enumerate(states)], "state string" + "".join(f", {k} double" for k in x))
 
 
-@register("net_edge_betweenness")
+#: The chain of states as a network of its own, whose states are all sources.
+_STATES = f"u AS MATERIALIZED (WITH {P} SELECT f, t, w / z AS w FROM (SELECT f, t, w, sum(w) OVER (PARTITION BY f) AS z FROM c) WHERE f <> t)"
+_ALL_STATES = f"v AS MATERIALIZED (WITH {P} SELECT f AS src FROM c UNION SELECT t FROM c)"
+
+
+@register("net_edge_betweenness", f"WITH {dependencies_sql(_STATES, _ALL_STATES)} SELECT k.src AS from_state, l.src AS to_state, round(coalesce(sum(x.n), 0), 6) AS betweenness FROM v k CROSS JOIN v l LEFT JOIN x ON x.a = k.src AND x.b = l.src GROUP BY 1, 2")
 def net_edge_betweenness(spark, sf_dir):
     p, states = _chain(spark, sf_dir)
-    return _cells(spark, ("from_state", "to_state"), graphs.edge_betweenness(p), states, "betweenness")
+    return _cells(spark, ("from_state", "to_state"), graphs.edge_betweenness(p), states, "betweenness").withColumn("betweenness", F.round("betweenness", 6))
+
 
+def _shorter(k):
+    return f"d{k} AS (SELECT f, t, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT a.f, b.t, a.d + b.d FROM d{k - 1} a JOIN d{k - 1} b ON a.t = b.f AND a.f <> b.t) GROUP BY f, t)"
 
-@register("network_summary")
+
+@register(
+    "network_summary",
+    f"""WITH {P}, q AS (SELECT f, t, w / sum(w) OVER (PARTITION BY f) AS w FROM c), n AS (SELECT f AS s FROM q UNION SELECT t FROM q), m AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM n),
+    d0 AS (SELECT f, t, w AS d FROM q WHERE f <> t), {_shorter(1)}, {_shorter(2)}, {_shorter(3)},
+    i AS (SELECT s, coalesce((SELECT sum(w) FROM q WHERE f = s), 0) AS a, coalesce((SELECT sum(w) FROM q WHERE t = s), 0) AS b FROM n),
+    r AS (SELECT sum(least(x.w, coalesce(y.w, 0))) / sum(x.w) AS r FROM q x LEFT JOIN q y ON y.f = x.t AND y.t = x.f WHERE x.f <> x.t),
+    o AS (SELECT 'nodes' AS metric, n AS value FROM m UNION ALL SELECT 'edges', CAST(count(*) AS DOUBLE) FROM q UNION ALL SELECT 'density', least(1, (SELECT count(*) FROM q) / (n * (n - 1))) FROM m UNION ALL SELECT 'mean_distance', avg(d) FROM d3
+    UNION ALL SELECT 'mean_in_strength', avg(a) FROM i UNION ALL SELECT 'sd_in_strength', stddev_samp(a) FROM i UNION ALL SELECT 'mean_out_strength', avg(b) FROM i UNION ALL SELECT 'sd_out_strength', stddev_samp(b) FROM i
+    UNION ALL SELECT 'centralisation_in', sum(t - a) / ((count(*) - 1) * max(t)) FROM (SELECT a, max(a) OVER () AS t FROM i) UNION ALL SELECT 'centralisation_out', sum(t - b) / ((count(*) - 1) * max(t)) FROM (SELECT b, max(b) OVER () AS t FROM i) UNION ALL SELECT 'reciprocity', r FROM r)
+    SELECT metric, round(value, 9) + 0.0 AS value FROM o""",
+)
 def network_summary(spark, sf_dir):
     m, _ = _chain(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in graphs.summary(m).items()], "metric string, value double")
+    rows = spark.createDataFrame([(k, float(v)) for k, v in graphs.summary(m).items()], "metric string, value double")
+    return rows.withColumn("value", F.round("value", 9) + 0.0)
 
 
 @register("net_prune")
