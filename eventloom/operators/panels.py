@@ -125,9 +125,11 @@ def composites(df: DataFrame, clusters: dict[str, Sequence[str]], weights: dict[
     weights = weights or {}
     out = []
     for name, items in clusters.items():
-        top = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * weights.get(c, 1.0) for c in items), F.lit(0.0))
-        low = sum((F.when(F.col(c).isNotNull(), abs(weights.get(c, 1.0))).otherwise(0.0) for c in items), F.lit(0.0))
-        out.append((top / F.when(low > 0, low)).alias(name))
+        # sums of arrays: a chain of additions over many items would be a plan that grows with each use
+        tops = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * weights.get(c, 1.0) for c in items])
+        lows = F.array(*[F.when(F.col(c).isNotNull(), abs(weights.get(c, 1.0))).otherwise(0.0) for c in items])
+        add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+        out.append((add(tops) / F.nullif(add(lows), F.lit(0.0))).alias(name))
     return df.select(*out)
 
 
@@ -165,9 +167,10 @@ def layered_association(df: DataFrame, clusters: dict[str, Sequence[str]], metho
     from eventloom.operators.association import correlations, network
 
     items = [c for members in clusters.values() for c in members]
+    df = written(df.select(*items))
     r, n = correlations(df, items)
     loadings = item_loadings(_model(method, n)(r), clusters)
-    out = {"macro": network(composites(df, clusters), list(clusters), method), "loadings": loadings}
+    out = {"macro": network(written(composites(df, clusters)), list(clusters), method), "loadings": loadings}
     for name, members in clusters.items():
         out[name] = network(df, list(members), method) if len(members) > 1 else []
     return out

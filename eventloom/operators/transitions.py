@@ -184,7 +184,11 @@ def _decayed(rows: DataFrame, seq: Sequence[str], scale: float) -> DataFrame:
                     old = np.zeros(len(names))
                     old[: len(carry["v"])] = carry["v"]
                     scanned[mine] += old * np.exp(-(t[mine] - carry["t"]) / scale)[:, None]
-                earlier = scanned - v
+                earlier = np.zeros_like(scanned)  # not scanned - v: next to 1 small sums would be lost
+                inner = np.flatnonzero(~new)
+                earlier[inner] = scanned[inner - 1] * np.exp(-(t[inner] - t[inner - 1]) / scale)[:, None]
+                if goes_on:
+                    earlier[0] = old * np.exp(-(t[0] - carry["t"]) / scale)
                 for to in np.unique(code).tolist():
                     total = earlier[code == to].sum(0)
                     for i in np.flatnonzero(total).tolist():

@@ -25,7 +25,7 @@ COMPARED = [
     "sessions", "transition_network", "attention_network", "sequence_cooccurrence", "cooccurrence_jaccard", "cooccurrence_top", "cooccurrence_wide", "association_rules", "rule_pathways",
     "path_counts", "order_tests", "gram_pathways", "sequence_statistics", "macro_density", "predict_links", "predict_links_undirected", "evaluate_links", "link_pathways", "presence_patterns", "row_entropy",
     "stationary_distribution", "correlation_network", "rank_correlation_network", "concordance_network", "partial_correlation_of_three", "predictability_of_three", "order_correlations", "rank_statistic", "distinct_sequences", "distance_qgram", "distance_cosine",
-    "network_strengths", "network_paths", "network_betweenness", "network_edge_betweenness", "network_diffusion", "supplier_clustering", "katz_links", "higher_order_rules", "higher_order_network", "pathways", "kgram_statistics", "mosaic_cells", "hypa_expected", "mixture_single", "concordance_of_prices", "near_sequences", "moderated_moments", "person_moments", "network_by_group", "network_between_users", "prediction_errors", "attention_network_time",
+    "network_strengths", "network_summary", "net_edge_betweenness", "network_paths", "network_betweenness", "network_edge_betweenness", "network_diffusion", "supplier_clustering", "katz_links", "higher_order_rules", "higher_order_network", "kgram_statistics", "mosaic_cells", "hypa_expected", "mixture_single", "concordance_of_prices", "near_sequences", "moderated_moments", "person_moments", "network_by_group", "network_between_users", "prediction_errors", "attention_network_time",
 ]
 #: Queries without SQL whose result must hold something.
 NOT_EMPTY = ["glasso_network", "ising_network", "mixed_network", "multilevel_lag_network", "multilevel_coefficients", "build_clusters", "cluster_network", "mixture_model", "mixture_covariates", "component_networks", "mosaic_permutation", "near_sequences_share", "moderated_network", "layered_association"]
