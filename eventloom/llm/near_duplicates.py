@@ -362,11 +362,21 @@ def links(sig: DataFrame, docs: DataFrame, least: float = SIMILARITY, size: int
     return out
 
 
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Edges (node, hub) with the same components, and no more of them: a node stays at its
+    least hub alone, and its other hubs go to that one. As members of a large group share
+    their hubs, about one edge a member is left of one for each of its bands."""
+    least = edges.groupBy("node").agg(F.min("hub").alias("first"))
+    other = edges.join(least, "node").where("hub <> first").select(F.col("hub").alias("node"), F.col("first").alias("hub"))
+    return least.withColumnRenamed("first", "hub").union(other.distinct())
+
+
 def classes(edges: DataFrame, names: DataFrame, files: int | None = None) -> DataFrame:
     """node, label: the least name in each connected component of edges (node, hub).
 
     names: node, name. Each round a node takes the least label beside it, then the label
     of its label, so the rounds needed grow with the logarithm of a component's width."""
+    edges = _fewer(edges)
     both = written(edges.union(edges.select("hub", "node")).toDF("a", "b").distinct(), files=files)
     ends = both.select(F.col("a").alias("node")).distinct()
     labels = written(names.join(ends, "node").select("node", F.struct("name", "node").alias("label")), files=files)

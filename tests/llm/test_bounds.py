@@ -82,6 +82,40 @@ def test_near_duplicates_with_clashing_names(docs, clashing):
     assert key(docs) == key(clashing)
 
 
+@pytest.mark.parametrize("members", [200, 1000])
+def test_links_of_a_large_group_are_about_one_a_member(spark, members):
+    """Each of a group's members is alike to twelve hubs, each of which is alike to others of them."""
+    name = lambda i: i.to_bytes(16, "big")
+    pairs = [(i, h) for i in range(12, members) for h in range(12) if (i + h) % 3] + [(h, h - 1) for h in range(5, 12)]
+    pairs += [(5000 + i, 5001 + i) for i in range(6)] + [(6001, 6000), (6001, 6002), (6003, 6002)]
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "node binary, hub binary")
+    fewer = [(int.from_bytes(r.node), int.from_bytes(r.hub)) for r in near_duplicates._fewer(edges).collect()]
+    assert len(fewer) <= members + 12 * 12 + 9 and len(pairs) > 7 * (members - 12)
+    group = lambda found: {frozenset(c) for c in components(found)}
+    assert group(fewer) == group(pairs)
+    names = edges.select("node").union(edges.select("hub")).distinct().select("node", F.col("node").alias("name"))
+    got = collections.defaultdict(set)
+    for r in near_duplicates.classes(edges, names).collect():
+        got[r.label.name].add(int.from_bytes(r.node))
+    assert {frozenset(c) for c in got.values()} == group(pairs)
+
+
+def components(pairs):
+    top = {v: v for p in pairs for v in p}
+
+    def find(v):
+        while top[v] != v:
+            v = top[v]
+        return v
+
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    found = collections.defaultdict(set)
+    for v in top:
+        found[find(v)].add(v)
+    return found.values()
+
+
 def test_probes_grow_with_functions():
     assert [neighbours.functions_for(n) for n in (2000, 23_000, 23_400, 186_000, 1_500_000)] == [8, 8, 9, 10, 11]
     assert [neighbours.probes_for(f) for f in (7, 8, 9, 10, 11)] == [100, 100, 180, 324, 583]
