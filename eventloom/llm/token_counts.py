@@ -10,8 +10,9 @@ the longest cut within a budget" without encoding anything again.
 No piece holds the space mark after another character, so a text falls apart before each
 run of space marks into segments that encode by themselves. The counts at every prefix of a
 segment are stored in a bounded table; a text's count is the sum of its segments' last ones,
-and a cut within a budget is found in the one segment where the sum passes it. Memory a
-worker needs is bounded by that table and one batch.
+and a cut within a budget is found in the one segment where the sum passes it. Words of a
+batch that are not in the table go through the same programme side by side, one place of all
+of them at a time. Memory a worker needs is bounded by that table and one batch.
 
 Models are those that take text as it is: no normalisation, a space mark in front, white
 space kept. Others are refused, as are those with a piece that has the mark inside.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ MARK = "▁"
 INF = float("inf")
 #: Bits of a piece's number in the key of a pair.
 SHIFT = 20
+#: Texts whose words are looked up together, words that are counted side by side.
+LOT, ABREAST = 512, 1 << 15
 
 
 class MergeRules:
@@ -102,6 +106,87 @@ class MergeRules:
         return self.pairs[first, second]
 
 
+class Table:
+    """Whole numbers for 64-bit keys; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], -1)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
+class Abreast:
+    """The dynamic programme for many segments side by side: at each place the pieces that end
+    there are tried for all of them from the shortest on, by steps in a trie of pieces read
+    backwards. Whether a pair fits is kept in a slot for it; a pair whose slot another has
+    taken is asked for anew."""
+
+    def __init__(self, names: list[str], fits: Callable[[int], bool], slot_bits: int = 21):
+        self.fits, self.shift = fits, np.uint64(64 - slot_bits)
+        self.slots = np.full(1 << slot_bits, -1, np.int64)
+        chars = sorted(set("".join(names)))
+        self.known = np.array(list(map(ord, chars)), np.int64)
+        number = {c: i for i, c in enumerate(chars)}
+        self.n = len(chars)
+        steps: dict[int, int] = {}
+        piece_at = [-1]
+        for i, name in enumerate(names):
+            node = 0
+            for c in reversed(name):
+                key = node * self.n + number[c]
+                if key not in steps:
+                    steps[key] = len(piece_at)
+                    piece_at.append(-1)
+                node = steps[key]
+            piece_at[node] = i
+        self.steps = Table(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps)))
+        self.piece_at = np.array(piece_at)
+
+    def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = first << SHIFT | second
+        slot = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+        found = self.slots[slot]
+        if len(other := np.flatnonzero(found >> 1 != keys)):
+            new, back = np.unique(keys[other], return_inverse=True)
+            told = new << 1 | np.fromiter(map(self.fits, new.tolist()), np.int64, len(new))
+            found[other] = self.slots[slot[other]] = told[back]
+        return (found & 1).astype(bool)
+
+    def counts(self, segments: list[str]) -> list[int]:
+        """The tokens of each segment; -1 for one with an unknown character."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        char = np.minimum(np.searchsorted(self.known, code), self.n - 1)
+        start = np.cumsum(size) - size
+        strange = np.zeros(len(segments), bool)
+        strange[np.repeat(np.arange(len(segments)), size)[self.known[char] != code]] = True
+        out = np.where(strange, -1, 0)
+        rows = np.flatnonzero(~strange)
+        rows = rows[np.argsort(-size[rows], kind="stable")]
+        start, size = start[rows], size[rows]
+        count, last = np.zeros((2, int(size.max(initial=0)) + 1, len(rows)), np.int64)
+        for end in range(1, len(count)):
+            row = np.arange(np.count_nonzero(size >= end))
+            node = np.zeros(len(row), np.int64)
+            for at in range(end - 1, -1, -1):
+                node = self.steps[node * self.n + char[start[row] + at]]
+                row, node = row[node >= 0], node[node >= 0]
+                piece = self.piece_at[node]
+                fits = piece >= 0
+                if at and fits.any():
+                    fits[fits] = self._compatible(last[at, row[fits]], piece[fits])
+                last[end, row[fits]] = piece[fits]
+                count[end, row[fits]] = count[at, row[fits]] + 1
+                row, node = row[~fits], node[~fits]
+                if not len(row):
+                    break
+        out[rows] = count[size, np.arange(len(rows))]
+        return out.tolist()
+
+
 class PrefixCounter:
     """Counts of a sentencepiece BPE model, for whole texts and for every prefix."""
 
@@ -131,6 +216,7 @@ class PrefixCounter:
         self.stored = Memo(lambda s: array("I", self.prefixes(s)), max(1, keep >> 2), LONGEST_KEPT)
         self.by_segment = Memo(lambda s: self.stored[s][-1], keep, LONGEST_KEPT)
         self.by_word = Memo(lambda w: self.stored[MARK + w][-1], keep, LONGEST_KEPT)
+        self.abreast = Abreast(self.names, self.pairs.__getitem__)
 
     _segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -157,7 +243,7 @@ class PrefixCounter:
         """Tokens of a whole text, as the library's encode gives them."""
         if not text:
             return 0
-        if text[0] == " " or "  " in text or MARK in text or not self.lines:
+        if not self._plain(text):
             return sum(map(self.by_segment.__getitem__, self.segments(text)))
         total = 0
         for k, line in enumerate(text.split("\n")):
@@ -172,6 +258,31 @@ class PrefixCounter:
             total += sum(map(self.by_word.__getitem__, words))
         return total
 
+    def _plain(self, text: str) -> bool:
+        """Whether the text's segments are its words, with a mark in front, in lines."""
+        return self.lines and text[0] != " " and "  " not in text and MARK not in text
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of whole texts: unknown words of a lot are counted side by side before."""
+        out: list[int] = []
+        for i in range(0, len(texts), LOT):
+            lot = texts[i : i + LOT]
+            lines = [t.split("\n") for t in lot if t and self._plain(t)]
+            self._learn(self.by_word, MARK, {w for some in lines for t in some for w in t.split(" ")})
+            self._learn(self.by_segment, "", {t.split(" ", 1)[0] for some in lines for t in some[1:]} - {""})
+            out += map(self.count, lot)
+        return out
+
+    def _learn(self, table: Memo, before: str, words: set[str]) -> None:
+        """Put the words' counts where count looks for them; long ones and such with unknown
+        characters are left to it."""
+        new = [w for w in words.difference(table) if len(w) < LONGEST_KEPT and w not in table.old]
+        for i in range(0, len(new), ABREAST):
+            some = new[i : i + ABREAST]
+            for w, n in zip(some, self.abreast.counts([before + w for w in some]), strict=True):
+                if n >= 0:
+                    table.put(w, n)
+
     def cut(self, text: str | None, budget: int) -> int:
         """The most characters of text whose tokens keep within budget, from stored counts.
 
@@ -231,7 +342,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, budgets: t
         c = counter(model_file, keep)
         for b in batches:
             texts = b.column(2).to_pylist()
-            counts = [c.count(t) for t in texts]
+            counts = c.counts(texts)
             out = [b.column(0), b.column(1), pa.array(counts, pa.int64())]
             if budgets:
                 # a text that is within a budget as a whole is its own longest prefix

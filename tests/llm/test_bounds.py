@@ -60,6 +60,24 @@ def test_tables_of_words_are_bounded_in_bytes():
     assert max((len(k) for k in (*bpe.matched, "")), default=0) <= LONGEST_KEPT
 
 
+def test_new_words_are_counted_side_by_side(monkeypatch):
+    """Words that no table holds don't cost a pass each, and counts stay the library's."""
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(4)
+    word = lambda: "".join(r.choice(("an", "Th", "ore", "é", "ß", "x", ".", "9", "(", "qu")) for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() + "\n" * (r.random() < 0.1) + word() for _ in range(40)) for _ in range(60)]
+    odd = [None, "", " ", "\n", "\n\n a", " two  spaces ", "a\u2581b", "\U0001f642 \u4e00x\U0001f642", "y" * 200, "y" * 63 + " " + "z" * 64 + "\n" + "w" * 65, "a\r\n\tb \x00"]
+    c, calls = token_counts.PrefixCounter(PIECES), []
+    plain = c.prefixes
+    monkeypatch.setattr(c, "prefixes", lambda s: calls.append(s) or plain(s))
+    assert c.counts(texts) == [len(sp.encode(t)) for t in texts] and not calls
+    assert c.counts(odd) == [len(sp.encode(t or "")) for t in odd]
+    few = token_counts.PrefixCounter(PIECES, 1 << 6)  # tables and slots that forget
+    few.abreast = token_counts.Abreast(few.names, few.pairs.__getitem__, 4)
+    assert few.counts(texts) == [len(sp.encode(t)) for t in texts]
+    parts = sorted({w for t in texts for w in t.split()} - {""})
+    assert c.abreast.counts(parts) == [c.prefixes(w)[-1] for w in parts]
+
+
 def test_chunks_are_refused_for_other_patterns(spark):
     assert public_tokenizers.PATTERN in byte_bpe.SPACE_STARTS
     other = r"\S+\s?|\s+"  # the space belongs to the word before
