@@ -96,7 +96,7 @@ def _hash(words: list[bytes]) -> np.ndarray:
 
 def suffixes(ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """A row for each word: it and those after it in its piece, `length` in all, then zeros."""
-    out = np.zeros((length, len(ids)), np.int64)
+    out = np.zeros((length, len(ids)), np.int32)
     out[0] = ids
     for j in range(1, length):
         out[j, :-j or None] = ids[j:]
@@ -105,9 +105,25 @@ def suffixes(ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def _order(columns: np.ndarray, n: int) -> np.ndarray:
-    """Rows sorted by all columns, whose values are below n."""
-    pairs = [columns[j] * n + columns[j + 1] if j + 1 < len(columns) else columns[j] for j in range(0, len(columns), 2)]
-    return np.lexsort(pairs[::-1])
+    """Rows sorted by all columns, whose values are below n.
+
+    As many columns as 63 bits hold make a key; only rows that are tied by the first key are
+    sorted by the others."""
+    each = 63 // max(1, int(n - 1).bit_length())
+    keys = []
+    for j in range(0, len(columns), each):
+        key = columns[j].astype(np.int64)
+        for c in columns[j + 1 : j + each]:
+            key = key * n + c
+        keys.append(key)
+    order = np.argsort(keys[0])
+    if len(keys) > 1 and len(order):
+        first = keys[0][order]
+        same = first[1:] == first[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        rows = order[tied]
+        order[tied] = rows[np.lexsort([k[rows] for k in keys[::-1]])]
+    return order
 
 
 def _shared(columns: np.ndarray) -> np.ndarray:
@@ -131,11 +147,17 @@ def buckets_of(columns: np.ndarray, hashes: np.ndarray, hot: np.ndarray, lang: s
     return ((mix(key, 9) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(words: list[bytes], columns: np.ndarray, counts: np.ndarray) -> bytes:
+def _packed(words: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> bytes:
     """Words that occur, and suffixes in numbers of these."""
-    used, at = np.unique(columns, return_inverse=True)
-    names = b"\n".join(words[i] for i in used[used > 0].tolist())
-    at = at.reshape(columns.shape) + (used[0] > 0)
+    if columns.size * 8 < len(words):
+        used, at = np.unique(np.append(_END, columns), return_inverse=True)
+        at = at[1:].reshape(columns.shape)
+    else:  # marks of words cost less than a sort
+        there = np.zeros(len(words), bool)
+        there[columns] = there[_END] = True
+        used = np.flatnonzero(there)
+        at = (np.cumsum(there) - 1)[columns]
+    names = b"\n".join(words[used[1:]].tolist())
     head = np.array([len(names), columns.shape[1], len(columns)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + names + at.astype(np.uint32).tobytes() + counts.astype(np.int64).tobytes())
 
@@ -164,11 +186,12 @@ def _sender(hot: dict[str, set[bytes]], n_buckets: int, length: int):
                 counts = np.diff(np.r_[first, columns.shape[1]])
                 columns = columns[:, first]
                 bucket = buckets_of(columns, _hash(words), np.array([w in few for w in words]), lang, n_buckets)
-                by = np.argsort(bucket, kind="stable")
+                by = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+                names = np.array(words, object)
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket[by])) + 1, len(by)]
                 for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     at = by[i:j]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([int(bucket[at[0]])], pa.int64()), pa.array([_packed(words, columns[:, at], counts[at])], pa.binary())], names=["lang", "bucket", "suffixes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([int(bucket[at[0]])], pa.int64()), pa.array([_packed(names, columns[:, at], counts[at])], pa.binary())], names=["lang", "bucket", "suffixes"])
 
     return run
 
@@ -190,7 +213,7 @@ def _counter(hot: dict[str, set[bytes]], least: int):
         rows = [_unpacked(x) for x in table.column("suffixes").to_pylist()]
         words = sorted(set().union(*(w for w, _, _ in rows)))
         number = {w: i for i, w in enumerate(words, 1)}
-        columns = np.concatenate([np.fromiter((0, *map(number.__getitem__, w)), np.int64, len(w) + 1)[c] for w, c, _ in rows], 1)
+        columns = np.concatenate([np.fromiter((0, *map(number.__getitem__, w)), np.int32, len(w) + 1)[c] for w, c, _ in rows], 1)
         counts = np.concatenate([x for _, _, x in rows])
         by = _order(columns, len(words) + 1)[::-1]
         columns, counts = columns[:, by], counts[by]

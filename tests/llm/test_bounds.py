@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, language_id, near_duplicates, neighbours, packing, token_counts
+from eventloom.llm import byte_bpe, collocations, language_id, near_duplicates, neighbours, packing, token_counts
 from eventloom.llm.common import LONGEST_KEPT, Memo, n_blocks, written
 
 PIECES, RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,6 +78,32 @@ def test_new_words_are_counted_side_by_side(monkeypatch):
     assert c.abreast.counts(parts) == [c.prefixes(w)[-1] for w in parts]
 
 
+@pytest.mark.parametrize("n", [3, 1000, 1 << 20, 1 << 31, 1 << 40])
+def test_suffixes_are_sorted_by_ties_alone(n, monkeypatch):
+    """Only rows that the first key leaves tied are sorted again."""
+    r = np.random.default_rng(1)
+    columns = r.integers(0, min(n, 9), (5, 2000)) * (n // min(n, 9))
+    columns[:, 1000:] = r.integers(0, n, (5, 1000))
+    again = []
+    plain = np.lexsort
+    monkeypatch.setattr(collocations.np, "lexsort", lambda keys: again.append(len(keys[0])) or plain(keys))
+    rows = columns[:, collocations._order(columns, n)].T.tolist()
+    assert rows == sorted(columns.T.tolist()) and sum(again) <= 1100 + 1000 * (n < 9)
+    assert collocations._order(columns[:, :0], n).tolist() == []
+
+
+@pytest.mark.parametrize("n_words", [40, 100_000])
+def test_packed_suffixes_come_back(n_words):
+    words = np.array([b"\n", b"", *(b"w%d" % i for i in range(n_words - 2))], object)
+    columns = np.random.default_rng(2).integers(2, 30, (5, 50)).astype(np.int32)
+    columns[3:, ::3] = 0
+    columns[0, 0] = n_words - 1
+    for some in (columns, columns[:3, 1:2]):
+        names, at, counts = collocations._unpacked(collocations._packed(words, some, np.arange(some.shape[1])))
+        assert [[([b"\n", *names])[i] for i in c] for c in at.tolist()] == [[words[i] for i in c] for c in some.tolist()]
+        assert counts.tolist() == list(range(some.shape[1])) and len(set(names)) == len(names) == len(set(some[some > 0].tolist()))
+
+
 def test_chunks_are_refused_for_other_patterns(spark):
     assert public_tokenizers.PATTERN in byte_bpe.SPACE_STARTS
     other = r"\S+\s?|\s+"  # the space belongs to the word before
