@@ -245,6 +245,8 @@ class Chunks:
         other white space."""
         if not s or s[0].isspace() or s[-1].isspace():
             return None
+        if s[-1] in ".,;:!?" and s[:-1].isalpha():  # two matches
+            return self.match(" " + s[:-1]) + self.match(s[-1])
         return self.encode(" " + s)
 
     def packed(self, text: str) -> bytes:

@@ -104,6 +104,16 @@ def test_packed_suffixes_come_back(n_words):
         assert counts.tolist() == list(range(some.shape[1])) and len(set(names)) == len(names) == len(set(some[some > 0].tolist()))
 
 
+def test_a_word_and_its_end_mark_are_looked_up_as_two_matches(monkeypatch):
+    bpe = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, True)
+    plain = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    for text in ("a Wordx. wordy, \u00e9t\u00e9! b.. c' d's. e\u0301. \u01c5?", "x \u00aa. \u2160. 9. \u0e01\u0e33. q\u200d. don't.", "a b .", "a . b", "a b.\u00a0 c", "z .: y:"):
+        assert bpe.encode(text) == plain.encode(text)
+    calls, split = [], bpe.split
+    monkeypatch.setattr(bpe, "split", lambda s: calls.append(s) or split(s))
+    assert bpe.encode("Some wordsq. thatq, endq!") == plain.encode("Some wordsq. thatq, endq!") and calls == ["Some"]
+
+
 def test_chunks_are_refused_for_other_patterns(spark):
     assert public_tokenizers.PATTERN in byte_bpe.SPACE_STARTS
     other = r"\S+\s?|\s+"  # the space belongs to the word before
