@@ -24,7 +24,7 @@ go by id and piece; a text of any length is cut into pieces of the largest capac
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from eventloom.llm.common import LONGEST_KEPT, Memo, ensure_importable
 CAPACITIES, OVERHEAD, QUADRATIC, GROUP_ROWS = (512, 1024, 2048, 4096, 8192), 16, 65536, 20000
 #: Bytes of text in a group of pack_sequences, about: its tokens are one task's work.
 GROUP_BYTES = 32 << 20
+#: Tokens of the sequences that a group hands on at a time, about.
+HANDED_TOKENS = 1 << 19
 
 
 def cost(capacity: int, overhead: float = OVERHEAD, quadratic: float = QUADRATIC) -> float:
@@ -139,6 +141,41 @@ def _library(rank_file: str, pattern: str) -> tuple[Callable[[str], bytes], np.d
     return _LIBRARY[rank_file, pattern]
 
 
+def _sequences(first: int, batches: Iterable[pa.RecordBatch], capacities: tuple[int, ...], overhead: float, quadratic: float, handed: int = HANDED_TOKENS) -> Iterator[pa.RecordBatch]:
+    """A group's sequences, about `handed` tokens of them at a time; bins count from first.
+
+    Its tokens are held once, as they came, and widened only as they are handed on. Workers are
+    used again: what one needed to cut texts is not kept beside the groups that follow."""
+    _LIBRARY.clear()
+    pa.default_memory_pool().release_unused()
+    largest, ids, rest = max(capacities), [], []
+    for b in batches:
+        ids += b.column("ids").to_pylist()
+        # taken, that is copied: a slice would keep the whole batch
+        rest.append(b.select(["doc_id", "piece", "n_tokens"]).take(pa.array(np.arange(b.num_rows))))
+        del b
+    table = pa.Table.from_batches(rest).append_column("row", pa.array(np.arange(len(ids))))
+    kind = np.dtype(f"<u{len(ids[0]) // table.column('n_tokens')[0].as_py()}")
+    table, bins, final, starts = _packed(table, capacities, overhead, quadratic)
+    order = np.argsort(bins, kind="stable")  # pieces of a bin keep their order
+    ends = np.cumsum([0, *np.bincount(bins, minlength=len(final))]).astype(np.int32)
+    table = table.take(pa.array(order)).combine_chunks()
+    held = np.cumsum([0, *table.column("n_tokens").to_pylist()])[ends]
+    rows = table.column("row").to_pylist()
+    values = [pa.concat_arrays(table.column("doc_id").chunks), pa.array(np.asarray(table.column("piece")) * largest), pa.array(np.array(starts, np.int32)[order])]
+    cuts = [*np.unique(np.searchsorted(held, np.arange(0, held[-1], handed))).tolist(), len(final)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i == j:
+            continue
+        at, to = ends[i], ends[j]
+        tokens = np.frombuffer(b"".join([ids[r] for r in rows[at:to]]), kind).astype(np.int32)
+        bounds = pa.array(ends[i : j + 1] - at)
+        cols = [pa.array(first + np.arange(i, j)), pa.array(final[i:j], pa.int32()), pa.array(np.diff(held[i : j + 1]), pa.int64())]
+        cols += [pa.ListArray.from_arrays(bounds, v.slice(at, to - at)) for v in values]
+        cols.append(pa.ListArray.from_arrays(pa.array((held[i : j + 1] - held[i]).astype(np.int32)), pa.array(tokens)))
+        yield pa.RecordBatch.from_arrays(cols, names=["bin_id", "bin_capacity", "n_tokens", "doc_ids", "token_starts", "starts", "ids"])
+
+
 def pack_sequences(docs: DataFrame, rank_file: str, pattern: str, capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, quadratic: float = QUADRATIC, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each sequence: bin_id, bin_capacity, n_tokens; for the pieces in it, in
     order, doc_ids, token_starts (where a piece begins in its document) and starts (where in
@@ -169,20 +206,7 @@ def pack_sequences(docs: DataFrame, rank_file: str, pattern: str, capacities: tu
     pieces = rows.mapInArrow(cut, "doc_id long, piece long, n_tokens long, ids binary")
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
-    def run(key, table):
-        _, kind = _library(rank_file, pattern)
-        table, bins, final, starts = _packed(table, capacities, overhead, quadratic)
-        order = np.argsort(bins, kind="stable")  # pieces of a bin keep their order
-        ends = np.cumsum([0, *np.bincount(bins, minlength=len(final))]).astype(np.int32)
-        table = table.take(pa.array(order))
-        tokens = np.frombuffer(b"".join(table.column("ids").to_pylist()), kind).astype(np.int32)
-        held = np.cumsum([0, *table.column("n_tokens").to_pylist()])[ends]
-
-        def lists(bounds, values):
-            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values)
-
-        place = pa.array(np.asarray(table.column("piece")) * largest)
-        cols = [pa.array((key[0].as_py() << 32) + np.arange(len(final))), pa.array(final, pa.int32()), pa.array(np.diff(held), pa.int64()), lists(ends, table.column("doc_id")), lists(ends, place), lists(ends, pa.array(np.array(starts, np.int32)[order])), lists(held, pa.array(tokens))]
-        return pa.table(cols, names=["bin_id", "bin_capacity", "n_tokens", "doc_ids", "token_starts", "starts", "ids"])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sequences(key[0].as_py() << 32, batches, capacities, overhead, quadratic)
 
     return dealt.groupBy("group").applyInArrow(run, "bin_id long, bin_capacity int, n_tokens long, doc_ids array<long>, token_starts array<long>, starts array<int>, ids array<int>")

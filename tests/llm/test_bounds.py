@@ -2,8 +2,10 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -131,6 +133,33 @@ def test_pieces_of_equal_length_are_packed_by_id_and_piece(spark):
     assert [r.doc_ids for r in packing.pack_sequences(docs, RANKS, public_tokenizers.PATTERN, (64,)).collect()] == [[1, 2, 3]]
 
 
+def test_a_group_of_sequences_is_held_once_without_what_cut_it(monkeypatch):
+    """Beside its packed ids a group takes a fraction of them, and the tables of words are gone."""
+    monkeypatch.setattr(packing, "_LIBRARY", {(RANKS, ""): None})
+    r = np.random.default_rng(6)
+    lengths = r.integers(1, 8193, 1600)
+    ids = [r.integers(0, 50000, n).astype("<u2") for n in lengths]
+
+    def batches():
+        for at in range(0, 1600, 400):
+            part = slice(at, at + 400)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + 400)), pa.array(np.zeros(400, np.int64)), pa.array(lengths[part]), pa.array([x.tobytes() for x in ids[part]])], names=["doc_id", "piece", "n_tokens", "ids"])
+
+    group = lambda: packing._sequences(7 << 32, batches(), packing.CAPACITIES, packing.OVERHEAD, packing.QUADRATIC, 1 << 16)
+    seen = {}
+    for row in (row for b in group() for row in b.to_pylist()):
+        assert row["bin_id"] == (7 << 32) + len(seen) and len(row["ids"]) == row["n_tokens"] <= row["bin_capacity"]
+        seen[row["bin_id"]] = [(d, row["ids"][s:e]) for d, s, e in zip(row["doc_ids"], row["starts"], [*row["starts"][1:], row["n_tokens"]], strict=True)]
+    assert {d: x for found in seen.values() for d, x in found} == {i: x.tolist() for i, x in enumerate(ids)}
+    packed, most, floor = 2 * int(lengths.sum()), 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for b in group():
+        assert len(b.column("ids").flatten()) <= (1 << 16) + 8192 and not packing._LIBRARY
+        most = max(most, tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - floor)
+    tracemalloc.stop()
+    assert most < 2 * packed
+
+
 def test_near_duplicates_with_clashing_names(docs, clashing):
     key = lambda d: collections.Counter(map(str, near_duplicates.near_duplicates(d).select("doc_id", "class_id", "n_copies").collect()))
     assert key(docs) == key(clashing)
