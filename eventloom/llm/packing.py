@@ -24,6 +24,7 @@ go by id and piece; a text of any length is cut into pieces of the largest capac
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -135,7 +136,7 @@ def _library(rank_file: str, pattern: str) -> tuple[Callable[[str], bytes], np.d
         ranks = read_ranks(rank_file)
         lib = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
-        encode = lambda s: np.array(lib.encode_ordinary(s), kind).tobytes()
+        encode = lambda s: array(kind.char, lib.encode_ordinary(s)).tobytes()
         look_up = Chunks(encode, Memo(encode, 1 << 18, LONGEST_KEPT).__getitem__, 1 << 18).packed
         _LIBRARY[rank_file, pattern] = look_up if pattern in SPACE_STARTS else encode, kind
     return _LIBRARY[rank_file, pattern]
