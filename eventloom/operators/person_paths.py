@@ -7,8 +7,8 @@ until there is none; paths that too few keep significant are taken out again. Th
 person's own paths are added as long as the model doesn't fit well.
 
 A person's series enters as its covariances with its past, sums that Spark aggregates, so no
-person's rows meet in one place. A round is one pass over persons, with a small model each;
-of it one row comes to the driver, the round's best path.
+person's rows meet in one place. A round is one pass over persons, whose small models are
+fitted side by side; of it one row comes to the driver, the round's best path.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.kernels.distributions import chi2_quantile
-from eventloom.kernels.paths import PathModel
+from eventloom.kernels.paths import PathModels
 from eventloom.session import ensure_importable
 from eventloom.storage import written
 
 #: What counts as an excellent fit, by measure, and how many of these are enough.
 CUTOFFS = {"rmsea": 0.05, "srmr": 0.05, "nnfi": 0.95, "cfi": 0.95}
 EXCELLENT = 2
+#: Persons whose models are fitted side by side.
+BATCH = 1000
 
 
 def person_moments(df: DataFrame, person: str, time: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -54,53 +56,54 @@ def candidate_paths(p: int, exogenous: Sequence[int] = (), fixed: Sequence[tuple
     return [(i, j) for i in range(p) if i not in exogenous for j in range(2 * p) if i != j and (i, j) not in fixed]
 
 
-def _arranged(cov, p: int, exogenous: Sequence[int]) -> tuple[np.ndarray, list[int]]:
-    """Covariances with outcomes first, then exogenous variables and the past; and the order."""
+def _models(pdf: pd.DataFrame, p: int, exogenous: Sequence[int], all_: Sequence[tuple[int, int]], free: np.ndarray) -> PathModels:
+    """Persons' models, of which all may have the paths all_ and have those that are free."""
+    at = _places(p, exogenous)
+    order = sorted(at, key=at.get)
+    cov = np.array(pdf["cov"].tolist(), float).reshape(-1, 2 * p, 2 * p)
+    return PathModels(cov[:, order][:, :, order], pdf["n"].to_numpy(), p - len(exogenous), [(at[i], at[j]) for i, j in all_], np.broadcast_to(free, (len(cov), len(all_))))
+
+
+def _places(p: int, exogenous: Sequence[int]) -> dict[int, int]:
+    """Where variables are in a model: outcomes first, then exogenous ones and the past."""
     order = [i for i in range(p) if i not in exogenous] + list(exogenous) + list(range(p, 2 * p))
-    s = np.array(cov, float).reshape(2 * p, 2 * p)
-    return s[np.ix_(order, order)], order
-
-
-def _model(cov, n: int, p: int, exogenous: Sequence[int], paths: Sequence[tuple[int, int]]) -> PathModel | None:
-    s, order = _arranged(cov, p, exogenous)
-    at = {v: k for k, v in enumerate(order)}
-    try:
-        m = PathModel(s, int(n), p - len(exogenous), [(at[i], at[j]) for i, j in paths])
-    except np.linalg.LinAlgError:
-        return None
-    return m if m.converged else None
-
-
-def _search(cov, n, p, exogenous, group, candidates, cutoff, z_cut, cutoffs, excellent) -> tuple[list, PathModel | None]:
-    """A person's own paths beside those that are given, and the model with them."""
-    _, order = _arranged(cov, p, exogenous)
-    at = {v: k for k, v in enumerate(order)}
-    own, barred = [], set()
-    m = _model(cov, n, p, exogenous, group)
-    while m is not None:
-        fits = m.fit_measures()
-        good = sum(fits[k] <= c if k in ("rmsea", "srmr") else fits[k] >= c for k, c in cutoffs.items())
-        left = [c for c in candidates if c not in group and c not in own and c not in barred]
-        if good >= excellent or not left or fits["df"] <= 0:
-            weak = [(abs(z), path) for z, path in zip(m.z(), [*group, *own], strict=True) if path in own and abs(z) < z_cut]
-            if not weak:
-                return own, m
-            gone = min(weak)[1]  # taken out, and not tried again
-            own.remove(gone)
-            barred.add(gone)
-            m = _model(cov, n, p, exogenous, [*group, *own])
-            continue
-        gains = m.modification([(at[i], at[j]) for i, j in left])
-        best = int(np.argmax(gains))
-        if gains[best] < cutoff:
-            return own, m
-        new = _model(cov, n, p, exogenous, [*group, *own, left[best]])
-        if new is None or not new.stable():
-            barred.add(left[best])
-            continue
-        own.append(left[best])
-        m = new
-    return own, m
+    return {v: k for k, v in enumerate(order)}
+
+
+def _search(m: PathModels, cutoff: float, z_cut: float, cutoffs: dict, excellent: int) -> np.ndarray:
+    """Adds persons' own paths to models that have those of all: for each the round in
+    which it came, 0 if none. All persons take a step at once: m.converged tells which have a model."""
+    added, barred = np.zeros(m.free.shape, int), np.zeros(m.free.shape, bool)
+    left, turn = np.flatnonzero(m.converged), 0
+    while len(left):
+        turn += 1
+        now = m.of(left)
+        fits = now.fit_measures()
+        good = np.sum([fits[k] <= c if k in ("rmsea", "srmr") else fits[k] >= c for k, c in cutoffs.items()], axis=0) if cutoffs else np.zeros(len(left), int)
+        could = ~now.free & ~barred[left]
+        full = (good >= excellent) | ~could.any(1) | (fits["df"] <= 0)
+        # a path that is weak at the end is taken out, and not tried again
+        z = np.where(full[:, None] & (added[left] > 0), np.abs(now.z()), np.inf)
+        gains = np.where(could & ~full[:, None], now.modification(), -1.0)
+        path = np.where(full, z.argmin(1), gains.argmax(1))
+        each = np.arange(len(left))
+        go = np.where(full, z[each, path] < z_cut, gains[each, path] >= cutoff)
+        left, path, full = left[go], path[go], full[go]
+        free = m.free[left]
+        free[np.arange(len(left)), path] = ~full
+        new = PathModels(m.s[left], m.n[left], m.p, m.paths, free)
+        fine = full | (new.converged & new.stable())
+        m.put(left[fine], new, fine)
+        barred[left[full | ~fine], path[full | ~fine]] = True
+        added[left[fine], path[fine]] = np.where(full[fine], 0, turn)
+        left = left[m.converged[left]]
+    return added
+
+
+def _batches(frames, most: int = BATCH):
+    for pdf in frames:
+        for k in range(0, len(pdf), most):
+            yield pdf.iloc[k : k + most]
 
 
 def shared_paths(moments: DataFrame, p: int, fixed: Sequence[tuple[int, int]], exogenous: Sequence[int] = (), share: float = 0.75) -> list[tuple[int, int]]:
@@ -113,18 +116,15 @@ def shared_paths(moments: DataFrame, p: int, fixed: Sequence[tuple[int, int]], e
     found: list[tuple[int, int]] = []
 
     def round_of(paths, asked, gains: bool):
+        all_ = [*paths, *(a for a in asked if a not in paths)]
+        which = [all_.index(a) for a in asked]
+
         def run(frames):
-            for pdf in frames:
-                out = []
-                for cov, n in zip(pdf["cov"], pdf["n"], strict=True):
-                    m = _model(cov, n, p, exogenous, paths)
-                    if m is None:
-                        continue
-                    _, order = _arranged(cov, p, exogenous)
-                    at = {v: k for k, v in enumerate(order)}
-                    values = m.modification([(at[i], at[j]) for i, j in asked]) if gains else np.abs(m.z())[[paths.index(a) for a in asked]]
-                    out += [(k, float(x)) for k, x in enumerate(values)]
-                yield pd.DataFrame(out, columns=["at", "x"])
+            for pdf in _batches(frames):
+                m = _models(pdf, p, exogenous, all_, np.arange(len(all_)) < len(paths))
+                m = m.of(np.flatnonzero(m.converged))
+                x = (m.modification() if gains else np.abs(m.z()))[:, which]
+                yield pd.DataFrame({"at": np.tile(np.arange(len(which)), len(x)), "x": x.reshape(-1)})
 
         rows = moments.mapInPandas(run, "at int, x double").groupBy("at")
         if gains:
@@ -166,19 +166,25 @@ def person_paths(df: DataFrame, person: str, time: Sequence[str], columns: Seque
     limits = cutoffs or CUTOFFS
     measures = ("chisq", "df", "rmsea", "srmr", "nnfi", "cfi")
 
+    all_ = [*fixed, *group, *(c for c in candidates if c not in group)]
+    given = len(fixed) + len(group)
+    at = _places(p, exo)
+
     def run(frames):
-        for pdf in frames:
-            out = []
-            for who, n, cov in zip(pdf["person"], pdf["n"], pdf["cov"], strict=True):
-                own, m = _search(cov, n, p, exo, [*fixed, *group], candidates, cutoff, z_cut, limits, excellent)
-                if m is None:
-                    continue
-                _, order = _arranged(cov, p, exo)
-                at = {v: k for k, v in enumerate(order)}
-                beta, fits = m.standardised(), m.fit_measures()
-                for level, some in (("fixed", fixed), ("group", group), ("own", own)):
-                    out += [(who, columns[i], columns[j % p], int(j >= p), level, float(beta[at[i], at[j]]), *[float(fits[k]) for k in measures]) for i, j in some]
-            yield pd.DataFrame(out, columns=["person", "outcome", "predictor", "lag", "level", "estimate", *measures])
+        for pdf in _batches(frames):
+            m = _models(pdf, p, exo, all_, np.arange(len(all_)) < given)
+            added = _search(m, cutoff, z_cut, limits, excellent)
+            beta, fits = m.standardised(), m.fit_measures()
+            # rows by person: paths of all, then own ones as they came
+            rank = np.where(m.free & m.converged[:, None], np.where(added > 0, given + added, np.arange(len(all_))), -1)
+            who, path = np.nonzero(rank >= 0)
+            order = np.lexsort((rank[who, path], who))
+            who, path = who[order], path[order]
+            i, j = np.array([x for x, _ in all_], int)[path], np.array([x for _, x in all_], int)[path]
+            place, name = np.array([at[x] for x in range(2 * p)]), np.array(columns, object)
+            level = np.where(path < len(fixed), "fixed", np.where(path < given, "group", "own")).astype(object)
+            out = {"person": pdf["person"].to_numpy()[who], "outcome": name[i], "predictor": name[j % p], "lag": (j >= p).astype(np.int32), "level": level, "estimate": beta[who, place[i], place[j]]}
+            yield pd.DataFrame(out | {k: fits[k][who] for k in measures})
 
     kind = df.schema[person].dataType.simpleString()
     return moments.mapInPandas(run, f"person {kind}, outcome string, predictor string, lag int, level string, estimate double, " + ", ".join(f"{k} double" for k in measures))
