@@ -176,3 +176,17 @@ def test_near_pairs_equal_all_pairs(spark, pivots):
     n = len(set(texts))
     assert about.texts == n and about.pairs == n * (n - 1) // 2 and about.compared <= about.pairs
     assert ns.near_pairs(df.limit(0), 2).count() == 0
+
+
+def test_distances_by_words_of_bits(spark):
+    """Texts shorter and longer than a word, and no row for each pair that is compared."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("abé") for _ in range(r.choice([0, 1, 2, 5, 9, 63, 64, 65, 80]))) for _ in range(60)]
+    texts += [t[:-1] + "c" for t in texts if t]
+    i, j = np.nonzero(np.triu(np.ones((len(texts),) * 2, bool), 1))
+    want = [plain_distance(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+    for k in (1, 80):
+        assert ns.pair_distances(texts, i, j, k).tolist() == [min(d, k + 1) for d in want]
+    # two cells of one part: 300 texts of one length, all pairs of which are compared
+    df = spark.createDataFrame([("".join(r.choice("ab") for _ in range(9)),) for _ in range(300)], "text string")
+    assert ns._cells(df, 9, [""]).count() == 1
